@@ -96,11 +96,12 @@ def fit_temperature(
     """Temperature in [0.05, 100] with the least mean log loss of ``label``.
 
     The loss is convex in 1/T. Each step is one distributed aggregate of its
-    slope and curvature; Newton steps that leave the bracket known to hold the
-    optimum are replaced by its geometric middle.
+    slope and curvature. A Newton step that leaves the bracket known to hold the
+    optimum goes to the bound it crosses, or to the geometric middle once that
+    bound is known to be too far.
     """
     low, high = 1.0 / TEMPERATURE_BOUNDS[1], 1.0 / TEMPERATURE_BOUNDS[0]
-    data = df.select(F.col(logits).alias("z"), F.col("label").alias("y"))
+    data = df.select(F.col(logits).alias("z"), F.col("label").alias("y")).persist()
 
     def derivatives(beta: float) -> tuple[float, float]:
         terms = data.select(S.likelihood_terms(F.col("z"), F.col("y"), beta).alias("t"))
@@ -113,19 +114,27 @@ def fit_temperature(
         return row["slope"], row["curvature"]
 
     beta = 1.0
-    for _ in range(max_passes):
-        slope, curvature = derivatives(beta)
-        if slope > 0:
-            high = beta
-        else:
-            low = beta
-        step = beta - slope / curvature if curvature > 0 else float("nan")
-        if not low < step < high:
-            step = (low * high) ** 0.5
-        if abs(step - beta) <= tolerance * beta:
+    tried = set()
+    try:
+        for _ in range(max_passes):
+            slope, curvature = derivatives(beta)
+            tried.add(beta)
+            if slope > 0:
+                high = beta
+            else:
+                low = beta
+            if low == high:
+                break
+            bound = low if slope > 0 else high
+            step = beta - slope / curvature if curvature > 0 else bound
+            if not low < step < high:
+                step = (low * high) ** 0.5 if bound in tried else bound
+            if abs(step - beta) <= tolerance * beta:
+                beta = step
+                break
             beta = step
-            break
-        beta = step
+    finally:
+        data.unpersist()
     return 1.0 / beta
 
 

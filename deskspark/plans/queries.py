@@ -510,12 +510,14 @@ def agreement(spark, folder):
 
 @query
 def fit_temperature(spark, folder):
-    val = P.scored(spark, folder).where("split = 'val'")
+    rows = P.scored(spark, folder)
     fitted = [
-        (m, calibration.fit_temperature(val.where(F.col("model") == m)))
+        (m, split, calibration.fit_temperature(rows.where((F.col("model") == m) & (F.col("split") == split))))
         for m in (P.STUDENT, P.BASELINE)
+        for split in ("train", "val")
     ]
-    return _round(spark.createDataFrame(fitted, "model string, temperature double"), "temperature")
+    found = spark.createDataFrame(fitted, "model string, split string, temperature double")
+    return _round(found, "temperature")
 
 
 @query
