@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 # What counts as each kind of personal data.
 # Digits, spaces and word characters are spelled out as Unicode classes because
 # Java's shorthands differ from them (Java's \s lacks U+001C..U+001F, its \b
-# depends on the Java version).
+# depends on the Java version). Runs that nothing after them could share are
+# possessive, so that long runs of spaces do not backtrack.
 DIGIT = r"\p{Nd}"
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 GAP = SPACE[:-1] + r"\-.]"
@@ -30,10 +31,10 @@ WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE_INTERNATIONAL = rf"\+{DIGIT}{{1,3}}(?:{GAP}?{DIGIT}{{1,4}}){{2,5}}"
-PHONE_PARENTHESES = rf"\({DIGIT}{{3}}\){SPACE}*{DIGIT}{{3}}{GAP}?{DIGIT}{{4}}"
+PHONE_PARENTHESES = rf"\({DIGIT}{{3}}\){SPACE}*+{DIGIT}{{3}}{GAP}?{DIGIT}{{4}}"
 PHONE_SEPARATED = rf"{WORD_START}{DIGIT}{{3}}{GAP}{DIGIT}{{3}}{GAP}{DIGIT}{{4}}{WORD_END}"
 CARD = rf"{WORD_START}(?:{DIGIT}[ -]?){{12,18}}{DIGIT}{WORD_END}"
-ACCOUNT_LEAD = rf"(?i:account{SPACE}+(?:no\.?|number|#)?|a/c|acct\.?){SPACE}*[#:.]?{SPACE}*"
+ACCOUNT_LEAD = rf"(?i:account{SPACE}++(?:no\.?|number|#)?|a/c|acct\.?){SPACE}*+[#:.]?{SPACE}*+"
 ACCOUNT_DIGITS = rf"{DIGIT}{{8,12}}"
 TOKENS = {"email": "[EMAIL]", "phone": "[PHONE]", "card": "[CARD]", "account": "[ACCT]"}
 PHONE_DIGITS = (7, 15)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
-from deskspark.operators.metrics import agreement, flatten_scores
 
 # Bins of the calibration error and bounds of the temperature.
 DEFAULT_BINS = 15
@@ -144,25 +143,66 @@ def calibration_report(
     """One row: fitted temperature, calibration error before and after, accuracies.
 
     ``df`` (``row_id, label, logits``) must hold validation rows only; rows whose
-    teacher label is unknown are left out, as in training.
+    teacher label is unknown are left out, as in training. The join is done once
+    and kept for the passes over it; both errors and both accuracies then come
+    from one aggregate.
     """
-    usable = df.join(
-        teacher.where("teacher_intent_id <> -1").select("row_id"), "row_id", "left_semi"
-    ).select("row_id", "label", F.col(logits).alias("logits"))
-    temperature = fit_temperature(usable)
-
-    def error_at(t: float) -> DataFrame:
-        flat = flatten_scores(usable.withColumn("probs", S.softmax(F.col("logits"), t)))
-        return expected_calibration_error(flat, (), n_bins).select("ece")
-
-    flat = usable.withColumn("pred", S.argmax(F.col("logits")))
-    return agreement(flat, teacher).select(
+    answers = teacher.where("teacher_intent_id <> -1").select("row_id", "teacher_intent_id")
+    usable = (
+        df.select("row_id", "label", F.col(logits).alias("logits"))
+        .join(answers, "row_id")
+        .drop("row_id")
+        .persist()
+    )
+    try:
+        temperature = fit_temperature(usable)
+        flat = usable.select(
+            "label",
+            "teacher_intent_id",
+            S.argmax(F.col("logits")).alias("pred"),
+            S.confidence(S.softmax(F.col("logits"))).alias("pre"),
+            S.confidence(S.softmax(F.col("logits"), temperature)).alias("post"),
+        )
+        staged = flat.select(
+            "label",
+            "pred",
+            "teacher_intent_id",
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(s).alias("stage"), F.col(s).alias("conf"))
+                        for s in ("pre", "post")
+                    ]
+                )
+            ),
+        )
+        right = (F.col("label") == F.col("pred")).cast("long")
+        alike = (F.col("teacher_intent_id") == F.col("pred")).cast("long")
+        bins = staged.groupBy("stage", confidence_bin(F.col("conf"), n_bins).alias("bin")).agg(
+            F.count("*").alias("n"),
+            F.sum("conf").alias("conf_sum"),
+            F.sum(right).alias("hits"),
+            F.sum(alike).alias("alike"),
+        )
+
+        def total(column: Column, stage: str) -> Column:
+            return F.sum(F.when(F.col("stage") == stage, column))
+
+        gap = F.abs(F.col("conf_sum") - F.col("hits"))
+        n = total(F.col("n"), "pre")
+        row = bins.agg(
+            (total(gap, "pre") / n).alias("ece_pre"),
+            (total(gap, "post") / n).alias("ece_post"),
+            (total(F.col("hits"), "pre") / n).alias("val_accuracy_vs_truth"),
+            (total(F.col("alike"), "pre") / n).alias("val_accuracy_vs_teacher"),
+            n.alias("n_val"),
+        )
+        found = row.collect()
+    finally:
+        usable.unpersist()
+    return df.sparkSession.createDataFrame(found, row.schema).select(
         F.lit(temperature).alias("temperature"),
-        error_at(1.0).scalar().alias("ece_pre"),
-        error_at(temperature).scalar().alias("ece_post"),
-        F.col("vs_truth").alias("val_accuracy_vs_truth"),
-        F.col("vs_teacher").alias("val_accuracy_vs_teacher"),
-        F.col("n").alias("n_val"),
+        "*",
         F.lit(n_bins).alias("n_bins"),
         F.current_timestamp().alias("fitted_at_utc"),
     )

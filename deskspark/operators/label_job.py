@@ -119,9 +119,9 @@ def run_label_job(
     run = uuid.uuid4().hex
     chunk = F.floor(F.col("row_id") / chunk_rows).cast("long")
     pending = resume_pending(messages, read_responses(spark, checkpoint))
-    chunks = sorted(r[0] for r in pending.select(chunk.alias("c")).distinct().collect())
+    chunks = pending.select(chunk.alias("c")).distinct().orderBy("c")
     spent = 0.0
-    for c in chunks:
+    for (c,) in chunks.toLocalIterator():
         ids = F.col("row_id").between(c * chunk_rows, (c + 1) * chunk_rows - 1)
         part = resume_pending(messages.where(ids), read_responses(spark, checkpoint).where(ids))
         stored = append_responses(label_messages(part, load_labeler), checkpoint, run, c)

@@ -78,13 +78,10 @@ def exact_percentiles(
     ungrouped call always gives one.
     """
     by = list(by)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("_value"))
-        .agg(F.count("*").alias("_n"))
-    )
+    present = df.where(F.col(value).isNotNull())
+    counts = present.groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, by, [F.col("_value").asc()], ["_n"])
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    sizes = present.groupBy(*by).agg(F.count("*").alias("_size"))
     sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_size")
     same = F.lit(True)
     for c in by:

@@ -11,6 +11,7 @@ the sample is a filter that moves no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,33 +160,36 @@ def class_drift(
     )
 
 
-def shared_texts(df: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
-    """Per pair of splits, how many distinct texts they share.
+def shared_texts(
+    df: DataFrame, splits: Sequence[str], split: str = "split", text: str = "text"
+) -> DataFrame:
+    """Per pair of ``splits``, how many distinct texts they share.
 
-    Texts are grouped by hash with the combine before the shuffle, so a text
-    repeated any number of times moves as a few rows.
+    Each text keeps one bit per split it occurs in. The bits are combined before
+    the shuffle, so a text repeated any number of times moves as one row a task.
     """
+    bit = F.coalesce(*[F.when(F.col(split) == s, F.lit(1 << i)) for i, s in enumerate(splits)])
     owners = (
-        df.groupBy(F.sha2(text, 256).alias("text_key"), split)
-        .agg(F.lit(1).alias("_one"))
-        .groupBy("text_key")
-        .agg(F.sort_array(F.collect_set(split)).alias("splits"))
-        .where(F.size("splits") > 1)
+        df.where(F.col(split).isin(*splits))
+        .groupBy(F.sha2(text, 256).alias("text_key"))
+        .agg(F.bit_or(bit).alias("owners"))
     )
-    pairs = F.flatten(
-        F.transform(
-            F.col("splits"),
-            lambda a: F.transform(
-                F.filter(F.col("splits"), lambda b: b > a),
-                lambda b: F.struct(a.alias("split_a"), b.alias("split_b")),
-            ),
+    pairs = [(a, b) for a in range(len(splits)) for b in range(a + 1, len(splits))]
+
+    def both(a: int, b: int) -> Column:
+        mask = (1 << a) | (1 << b)
+        return F.count_if(F.col("owners").bitwiseAND(mask) == mask)
+
+    counted = owners.agg(*[both(a, b).alias(f"_{a}_{b}") for a, b in pairs])
+    rows = [
+        F.struct(
+            F.lit(splits[a]).alias("split_a"),
+            F.lit(splits[b]).alias("split_b"),
+            F.col(f"_{a}_{b}").alias("shared_texts"),
         )
-    )
-    return (
-        owners.select(F.inline(pairs))
-        .groupBy("split_a", "split_b")
-        .agg(F.count("*").alias("shared_texts"))
-    )
+        for a, b in pairs
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def dataset_quality(df: DataFrame, split: str = "split") -> DataFrame:

@@ -517,6 +517,7 @@ FROM (SELECT l.*,
     *PREDICTED,
     *_FIT,
 )
+_sql("threshold_store", "SELECT label_id, threshold FROM limits WHERE model = 'baseline'", *PREDICTED, *_FIT)
 _sql(
     "routing_stats",
     """SELECT model, count(*) AS n_rows, count(*) FILTER (accepted) AS n_accepted, round(avg(accepted::INT), 6) AS acceptance_rate,
@@ -580,6 +581,15 @@ FROM everyone e JOIN f1s f ON f.model = e.model JOIN errors b ON b.model = e.mod
     "errors AS (SELECT model, sum(n * abs(mc - acc)) / sum(n) AS ece FROM grouped GROUP BY model)",
 )
 
+_sql(
+    "results_document",
+    """SELECT model, 'class_' || label_id AS class_name, support, round(f1, 6) AS f1 FROM per_class""",
+    *PREDICTED,
+    _TEACHER,
+    _ALL_FLAT,
+    _PER_CLASS.replace("flat", "everyone"),
+)
+
 # --- sampling and data checks ------------------------------------------------
 
 
@@ -620,9 +630,10 @@ _sql(
 _DOC_SPLIT = f"docs AS (SELECT doc_id, text, {_SPLIT.format('doc_id')} AS split FROM documents)"
 _sql(
     "split_leakage",
-    """SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared_texts
-FROM (SELECT DISTINCT split, text FROM docs) a JOIN (SELECT DISTINCT split, text FROM docs) b ON a.text = b.text AND a.split < b.split
-GROUP BY 1, 2""",
+    """SELECT p.a AS split_a, p.b AS split_b, count(y.text) AS shared_texts
+FROM (VALUES ('golden', 'train'), ('golden', 'val'), ('train', 'val')) p(a, b)
+JOIN (SELECT DISTINCT split, text FROM docs) x ON x.split = p.a
+LEFT JOIN (SELECT DISTINCT split, text FROM docs) y ON y.split = p.b AND y.text = x.text GROUP BY 1, 2""",
     _DOC_SPLIT,
 )
 _sql(

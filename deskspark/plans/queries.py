@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
-from deskspark.functions.teacher import build_prompt, valid_length
-from deskspark.operators import calibration, cost, label_job, labeling, metrics, ml
+from deskspark.functions import teacher as T
+from deskspark.operators import calibration, cost, evaluation, labeling, metrics, ml
+from deskspark.operators import label_job as jobs
 from deskspark.operators import redaction, sampling, scoring, taxonomy, thresholds
 from deskspark.operators.classes import class_ids
 from deskspark.operators.prefix import exact_percentiles
 from deskspark.plans import tables as P
 from deskspark.session import run_folder
-from deskspark.sources import audit, embeddings, golden, labels, latency
+from deskspark.sources import audit, embeddings, golden, labels, latency, results
 from deskspark.streaming.scoring import start_scoring, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +114,7 @@ def pii_profile(spark, folder):
 def validate_messages(spark, folder):
     docs = P.documents(spark, folder).withColumn("n_chars", F.length("text"))
     return (
-        docs.groupBy(valid_length(F.col("text")).cast("int").alias("accepted"))
+        docs.groupBy(T.valid_length(F.col("text")).cast("int").alias("accepted"))
         .agg(F.count("*").alias("n_rows"), F.max("n_chars").alias("longest"))
     )
 
@@ -163,15 +164,11 @@ def taxonomy_missing(spark, folder):
 
 
 @query
-def build_prompt_text(spark, folder):
+def build_prompt(spark, folder):
     block = taxonomy.taxonomy_block(P.label_map(spark, folder), _described(spark, folder))
-    prompts = P.conversations(spark, folder).select(
-        "row_id", build_prompt(F.col("text"), block.scalar()).alias("prompt")
+    return P.conversations(spark, folder).select(
+        "row_id", T.build_prompt(F.col("text"), block.scalar()).alias("prompt")
     )
-    return prompts
-
-
-QUERIES["build_prompt"] = QUERIES.pop("build_prompt_text")
 
 
 @query
@@ -296,7 +293,7 @@ def golden_snapshot(spark, folder):
 def resume_pending(spark, folder):
     messages = P.conversations(spark, folder).select("row_id", "text")
     done = messages.where(F.length("text") < 300)
-    return label_job.resume_pending(messages, done).select(
+    return jobs.resume_pending(messages, done).select(
         "row_id", F.length("text").alias("n_chars")
     )
 
@@ -305,16 +302,16 @@ def resume_pending(spark, folder):
 def resume_union(spark, folder):
     messages = P.conversations(spark, folder).select("row_id", "text")
     done = messages.where(F.length("text") < 300)
-    fresh = label_job.resume_pending(messages, done)
-    return label_job.resume_union(done, fresh).select("row_id", F.length("text").alias("n_chars"))
+    fresh = jobs.resume_pending(messages, done)
+    return jobs.resume_union(done, fresh).select("row_id", F.length("text").alias("n_chars"))
 
 
 @query
-def label_job_run(spark, folder):
+def label_job(spark, folder):
     messages = P.conversations(spark, folder).select(
         "row_id", "text", F.lit(0).alias("gold_label_id")
     )
-    answers = label_job.run_label_job(
+    answers = jobs.run_label_job(
         messages,
         run_folder(spark, "label-job"),
         P.load_length_labeler,
@@ -324,9 +321,6 @@ def label_job_run(spark, folder):
     return answers.select("row_id", "response", "input_tokens", "output_tokens")
 
 
-QUERIES["label_job"] = QUERIES.pop("label_job_run")
-
-
 @query
 def budget_cutoff(spark, folder):
     rows = P.teacher_labels(spark, folder).select("row_id", "input_tokens", "output_tokens")
@@ -564,6 +558,18 @@ def threshold_summary(spark, folder):
     return _round(found, "val_precision", "val_recall")
 
 
+@query
+def threshold_store(spark, folder):
+    """The stored thresholds of one model, read back."""
+    path = run_folder(spark, "thresholds")
+    classes = P.label_map(spark, folder)
+    val = _flat(spark, folder).where("model = 'baseline' AND split = 'val'")
+    limits = thresholds.fit_thresholds(val, classes, TARGET)
+    summary = thresholds.threshold_summary(val, limits, classes)
+    results.write_thresholds(limits, summary, TARGET, val.count(), path)
+    return results.read_thresholds(spark, path)
+
+
 @query
 def routing_stats(spark, folder):
     flat = _flat(spark, folder)
@@ -640,35 +646,38 @@ def cost_breakdown(spark, folder):
     return cost.cost_breakdown(_model_costs(spark, folder))
 
 
+def _golden_rows(spark, folder) -> DataFrame:
+    """Golden predictions of all models; only the teacher is billed by tokens."""
+    columns = ["model", "row_id", "label", "pred", "conf", "latency_ms"]
+    tokens = ["input_tokens", "output_tokens"]
+    classes = P.label_map(spark, folder)
+    taught = P.teacher_predictions(spark, folder, len(class_ids(classes)))
+    own = P.predictions(spark, folder).where("split = 'golden'").select(*columns)
+    return own.unionByName(
+        taught.where("split = 'golden'").select(*columns, *tokens), allowMissingColumns=True
+    )
+
+
 @query
 def headline_metrics(spark, folder):
     """One row per model over the golden rows."""
-    classes = P.label_map(spark, folder)
-    columns = ["model", "row_id", "label", "pred", "conf", "latency_ms"]
-    golden_rows = F.col("split") == "golden"
-    teacher = P.teacher_predictions(spark, folder, len(class_ids(classes)))
-    flat = (
-        P.predictions(spark, folder)
-        .where(golden_rows)
-        .select(*columns)
-        .unionByName(teacher.where(golden_rows).select(*columns))
-    )
-    hit = (F.col("label") == F.col("pred")).cast("double")
-    accuracy = flat.groupBy("model").agg(F.avg(hit).alias("top_1_accuracy"))
-    f1 = metrics.macro_f1(metrics.confusion_counts(flat, BY), classes, BY)
-    error = calibration.expected_calibration_error(flat, BY).select("model", "ece")
-    p95 = exact_percentiles(flat, "latency_ms", {"latency_ms_p95": 0.95}, BY)
-    billed = cost.teacher_cost_per_1k(P.teacher_labels(spark, folder).where(golden_rows))
-    timed = cost.student_cost_per_1k(flat.where(F.col("model") != P.TEACHER), BY)
-    costs = timed.unionByName(billed.withColumn("model", F.lit(P.TEACHER))).drop("n")
-    found = accuracy
-    for part in (f1, error, p95, costs):
-        found = found.join(part, "model")
+    found = evaluation.headline(_golden_rows(spark, folder), P.label_map(spark, folder), BY)
     return _round(
-        found, "top_1_accuracy", "macro_f1", "ece", "latency_ms_p95", "cost_per_1k_usd"
+        found.drop("n"), "top_1_accuracy", "macro_f1", "ece", "latency_ms_p95", "cost_per_1k_usd"
     )
 
 
+@query
+def results_document(spark, folder):
+    """The stored document's per-class scores, read back."""
+    path = run_folder(spark, "results")
+    found = evaluation.evaluation_tables(_golden_rows(spark, folder), P.label_map(spark, folder), BY)
+    results.write_results(spark, found, {"target_precision": TARGET}, path)
+    row = "model: string, class_name: string, support: bigint, f1: double"
+    stored = spark.read.schema(f"tables struct<per_class: array<struct<{row}>>>")
+    return _round(stored.json(path).select(F.inline("tables.per_class")), "f1")
+
+
 # --- sampling and data checks ------------------------------------------------
 
 
@@ -700,7 +709,7 @@ def split_class_drift(spark, folder):
 @query
 def split_leakage(spark, folder):
     docs = P.documents(spark, folder).withColumn("split", P.hashed_split("doc_id"))
-    return sampling.shared_texts(docs)
+    return sampling.shared_texts(docs, sorted(labels.SPLITS))
 
 
 @query

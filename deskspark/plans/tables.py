@@ -169,6 +169,8 @@ def teacher_predictions(spark: SparkSession, folder: str, n_classes: int) -> Dat
         "split",
         F.col("gold_label_id").alias("label"),
         "latency_ms",
+        "input_tokens",
+        "output_tokens",
         F.transform(probs, lambda p: F.round(p, 9)).alias("probs"),
     )
     return flatten_scores(rows)

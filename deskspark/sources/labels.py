@@ -133,7 +133,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def write_run_summary(df: DataFrame, path: str) -> None:
     """Summary of a run as one JSON line."""
-    labeling_summary(df).coalesce(1).write.mode("errorifexists").json(path)
+    labeling_summary(df).write.mode("errorifexists").json(path)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
