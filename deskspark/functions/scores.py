@@ -75,41 +75,60 @@ def project_classes(scores: Column, seen_ids: Column, n_classes: int) -> Column:
     )
 
 
+# Far enough below any score for its weight to be 0, near enough for its square
+# to be finite: a score of minus infinity itself would give 0 * infinity.
+_FLOOR = -1e150
+
+
+def shifted_scores(logits: Column) -> Column:
+    """Scores minus the row's largest, which is all a softmax depends on."""
+    return let(
+        F.array_max(logits),
+        lambda top: F.transform(logits, lambda z: F.greatest(z - top, F.lit(_FLOOR))),
+    )
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def log_loss(logits: Column, label: Column, temperature: float = 1.0) -> Column:
     """Negative log likelihood of ``label`` under ``softmax(logits / temperature)``."""
-    return likelihood_terms(logits, label, 1.0 / float(temperature))["loss"]
+    beta = 1.0 / float(temperature)
+    return let(
+        shifted_scores(logits),
+        lambda d: F.ln(_total(F.transform(d, lambda x: F.exp(x * beta))))
+        - F.element_at(d, label + 1) * beta,
+    )
 
 
-def likelihood_terms(logits: Column, label: Column, beta: float) -> Column:
-    """Loss of one row at inverse temperature ``beta`` with its two derivatives.
+def loss_derivatives(shifted: Column, label: Column, beta: Column) -> Column:
+    """``struct<slope, curvature>`` of one row's loss at inverse temperature ``beta``.
 
-    Scores of minus infinity carry no weight; they are left out of the sums,
-    where zero times infinity would give NaN.
+    The sums run over plain double arrays: array lambdas are interpreted, and
+    one that builds a struct per element costs several times as much.
     """
 
-    def terms(top: Column) -> Column:
-        def add(acc: Column, z: Column) -> Column:
-            d = z - top
-            e = F.exp(d * beta)
-            return F.when(z == NO_SCORE, acc).otherwise(
-                F.struct(
-                    (acc["s0"] + e).alias("s0"),
-                    (acc["s1"] + e * d).alias("s1"),
-                    (acc["s2"] + e * d * d).alias("s2"),
-                )
-            )
+    def moments(weights: Column) -> Column:
+        first = F.zip_with(weights, shifted, lambda w, d: w * d)
 
-        zero = F.struct(F.lit(0.0).alias("s0"), F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
-        gap = F.element_at(logits, label + 1) - top
-
-        def finish(s: Column) -> Column:
-            mean = s["s1"] / s["s0"]
+        def finish(m: Column) -> Column:
+            mean = m["s1"] / m["s0"]
             return F.struct(
-                (F.ln(s["s0"]) - gap * beta).alias("loss"),
-                (mean - gap).alias("slope"),
-                (s["s2"] / s["s0"] - mean * mean).alias("curvature"),
+                (mean - F.element_at(shifted, label + 1)).alias("slope"),
+                (m["s2"] / m["s0"] - mean * mean).alias("curvature"),
             )
 
-        return F.aggregate(logits, zero, add, finish)
-
-    return let(F.array_max(logits), terms)
+        return let(
+            let(
+                first,
+                lambda f: F.struct(
+                    _total(weights).alias("s0"),
+                    _total(f).alias("s1"),
+                    _total(F.zip_with(f, shifted, lambda a, d: a * d)).alias("s2"),
+                ),
+            ),
+            finish,
+        )
+
+    return let(F.transform(shifted, lambda d: F.exp(d * beta)), moments)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
+from deskspark.operators.classes import MAX_CLASSES
 
 # Bins of the calibration error and bounds of the temperature.
 DEFAULT_BINS = 15
@@ -89,52 +90,90 @@ def mean_log_loss(
     return df.groupBy(*by).agg(F.avg(loss).alias("nll"))
 
 
-def fit_temperature(
-    df: DataFrame, logits: str = "logits", tolerance: float = 1e-9, max_passes: int = 60
-) -> float:
-    """Temperature in [0.05, 100] with the least mean log loss of ``label``.
+def _next_beta(state: dict, slope: float, curvature: float, tolerance: float) -> float:
+    """One safeguarded Newton step on the inverse temperature."""
+    beta = state["beta"]
+    state["tried"].add(beta)
+    state["high" if slope > 0 else "low"] = beta
+    low, high = state["low"], state["high"]
+    if low == high:
+        return beta
+    bound = low if slope > 0 else high
+    step = beta - slope / curvature if curvature > 0 else bound
+    if abs(step - beta) <= tolerance * beta:
+        return beta
+    if not low < step < high:
+        step = (low * high) ** 0.5 if bound in state["tried"] else bound
+    return step
+
+
+def fit_temperatures(
+    df: DataFrame,
+    by: Sequence[str] = (),
+    logits: str = "logits",
+    tolerance: float = 1e-9,
+    max_passes: int = 60,
+) -> DataFrame:
+    """Per group, the temperature in [0.05, 100] with the least mean log loss of ``label``.
 
-    The loss is convex in 1/T. Each step is one distributed aggregate of its
-    slope and curvature. A Newton step that leaves the bracket known to hold the
-    optimum goes to the bound it crosses, or to the geometric middle once that
-    bound is known to be too far.
+    The loss is convex in 1/T. Each pass is one aggregate of its slope and
+    curvature for all groups still moving. A Newton step that leaves the bracket
+    known to hold the optimum goes to the bound it crosses, or to the geometric
+    middle once that bound is known to be too far. Groups are models or splits,
+    not data: more than ``MAX_CLASSES`` of them is refused.
     """
+    by = list(by)
+    spark = df.sparkSession
     low, high = 1.0 / TEMPERATURE_BOUNDS[1], 1.0 / TEMPERATURE_BOUNDS[0]
-    data = df.select(F.col(logits).alias("z"), F.col("label").alias("y")).persist()
-
-    def derivatives(beta: float) -> tuple[float, float]:
-        terms = data.select(S.likelihood_terms(F.col("z"), F.col("y"), beta).alias("t"))
-        row = terms.agg(
-            F.avg(F.col("t")["slope"]).alias("slope"),
-            F.avg(F.col("t")["curvature"]).alias("curvature"),
-        ).first()
-        if row["slope"] is None:
-            raise ValueError("No rows to fit a temperature on")
-        return row["slope"], row["curvature"]
-
-    beta = 1.0
-    tried = set()
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    data = df.select(
+        F.to_json(group).alias("g"),
+        S.shifted_scores(F.col(logits)).alias("z"),
+        F.col("label").alias("y"),
+    ).persist()
+    terms = S.loss_derivatives(F.col("z"), F.col("y"), F.col("beta"))
+    slope_and_curvature = [F.avg("t.slope").alias("slope"), F.avg("t.curvature").alias("curvature")]
     try:
+        groups = [r["g"] for r in data.select("g").distinct().limit(MAX_CLASSES + 1).collect()]
+        if not groups:
+            raise ValueError("No rows to fit a temperature on")
+        if len(groups) > MAX_CLASSES:
+            raise ValueError(f"More than {MAX_CLASSES} groups to fit")
+        states = {g: {"beta": 1.0, "low": low, "high": high, "tried": set()} for g in groups}
+        moving = set(groups)
         for _ in range(max_passes):
-            slope, curvature = derivatives(beta)
-            tried.add(beta)
-            if slope > 0:
-                high = beta
-            else:
-                low = beta
-            if low == high:
+            betas = spark.createDataFrame(
+                [(g, states[g]["beta"]) for g in moving], "g string, beta double"
+            )
+            found = (
+                data.join(F.broadcast(betas), "g")
+                .select("g", terms.alias("t"))
+                .groupBy("g")
+                .agg(*slope_and_curvature)
+                .collect()
+            )
+            for row in found:
+                state = states[row["g"]]
+                step = _next_beta(state, row["slope"], row["curvature"], tolerance)
+                if step == state["beta"]:
+                    moving.discard(row["g"])
+                state["beta"] = step
+            if not moving:
                 break
-            bound = low if slope > 0 else high
-            step = beta - slope / curvature if curvature > 0 else bound
-            if not low < step < high:
-                step = (low * high) ** 0.5 if bound in tried else bound
-            if abs(step - beta) <= tolerance * beta:
-                beta = step
-                break
-            beta = step
     finally:
         data.unpersist()
-    return 1.0 / beta
+    fitted = spark.createDataFrame(
+        [(g, 1.0 / state["beta"]) for g, state in states.items()], "g string, temperature double"
+    )
+    if not by:
+        return fitted.select("temperature")
+    key = df.select(*by).schema
+    return fitted.select(F.from_json("g", key).alias("g"), "temperature").select("g.*", "temperature")
+
+
+def fit_temperature(df: DataFrame, logits: str = "logits") -> float:
+    """The temperature of all rows taken together."""
+    return fit_temperatures(df, (), logits).first()["temperature"]
 
 
 def calibration_report(

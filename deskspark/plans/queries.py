@@ -504,13 +504,7 @@ def agreement(spark, folder):
 
 @query
 def fit_temperature(spark, folder):
-    rows = P.scored(spark, folder)
-    fitted = [
-        (m, split, calibration.fit_temperature(rows.where((F.col("model") == m) & (F.col("split") == split))))
-        for m in (P.STUDENT, P.BASELINE)
-        for split in ("train", "val")
-    ]
-    found = spark.createDataFrame(fitted, "model string, split string, temperature double")
+    found = calibration.fit_temperatures(P.scored(spark, folder), ["model", "split"])
     return _round(found, "temperature")
 
 

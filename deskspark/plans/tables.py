@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
+from deskspark.operators.classes import class_rows
 from deskspark.operators.labeling import classify_responses, enrich_labels
 from deskspark.operators.metrics import flatten_scores
-from deskspark.schemas import TEACHER_LABELS
+from deskspark.schemas import CLASSES, TEACHER_LABELS
 
 STUDENT, BASELINE, TEACHER = "student", "baseline", "teacher"
 STUDENT_SHARPNESS, BASELINE_SHARPNESS = 30.0, 40.0
@@ -56,8 +57,10 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_map(spark: SparkSession, folder: str) -> DataFrame:
+    """The class list, found once and held as a local table like a stored one."""
     labels = read(spark, folder, "embeddings").select(F.col("label").alias("label_id")).distinct()
-    return labels.withColumn("label_name", F.concat(F.lit("class_"), F.col("label_id")))
+    named = labels.withColumn("label_name", F.concat(F.lit("class_"), F.col("label_id")))
+    return spark.createDataFrame(class_rows(named), CLASSES)
 
 
 def centroids(spark: SparkSession, folder: str) -> DataFrame:
