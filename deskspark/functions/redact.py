@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 DIGIT = r"\p{Nd}"
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 GAP = SPACE[:-1] + r"\-.]"
-WORD_START = r"(?<![\p{L}\p{N}_])"
+# Java looks back one UTF-16 unit unless the pattern holds a character beyond
+# them; the digit added here (already in \p{N}) makes it look back a character.
+WORD_START = "(?<![\\p{L}\\p{N}_\U0001d7ce])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE_INTERNATIONAL = rf"\+{DIGIT}{{1,3}}(?:{GAP}?{DIGIT}{{1,4}}){{2,5}}"
