@@ -104,47 +104,76 @@ def luhn_valid(digits: Column) -> Column:
     return F.length(digits).between(*CARD_DIGITS) & (total % 10 == 0)
 
 
-def _locate(text: Column, pattern: str, marking: str) -> Column:
-    """All matches of ``pattern`` with code-point offsets, in text order."""
-    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(marking)), _CLOSE, -1)
+def _blocks(values: Column) -> Column:
+    """``values`` cut into about as many consecutive blocks as each holds values.
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece) - 1
+    Growing an array inside ``aggregate`` copies it at every step. Doing that per
+    block, and once over the blocks, keeps a text with very many matches from
+    costing the square of their number.
+    """
+
+    def cut(size: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), size)
+        return F.transform(firsts, lambda first: F.slice(values, first, size))
+
+    return _let(F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1)), cut)
+
+
+def _running(values: Column, join) -> Column:
+    """Inclusive scan of non-negative ints; ``join`` is addition or maximum."""
+    none = _empty("array<int>")
+
+    def extend(scan: Column, value: Column) -> Column:
+        before = F.when(F.size(scan) == 0, 0).otherwise(F.get(scan, F.size(scan) - 1))
+        return F.concat(scan, F.array(join(before, value)))
+
+    def carry_over(scans: Column) -> Column:
+        upto = F.aggregate(F.transform(scans, lambda scan: F.get(scan, F.size(scan) - 1)), none, extend)
+        return _let(
+            upto,
+            lambda totals: F.flatten(
+                F.transform(
+                    scans,
+                    lambda scan, b: _let(
+                        F.when(b == 0, 0).otherwise(F.get(totals, b - 1)),
+                        lambda before: F.transform(scan, lambda v: join(before, v)),
+                    ),
+                )
+            ),
+        )
+
+    scans = F.transform(_blocks(values), lambda block: F.aggregate(block, none, extend))
+    return _let(scans, carry_over)
+
+
+def _locate(marked: Column) -> Column:
+    """The matches marked in a text, with code-point offsets, in text order."""
+
+    def match(piece: Column, end: Column) -> Column:
         raw = F.substring_index(piece, _OPEN, -1)
-        match = F.struct(
+        return F.struct(
             (end - F.length(raw)).alias("span_start"), end.alias("span_end"), raw.alias("raw")
         )
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(match)).alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), _empty(_MATCH_LIST).alias("found"))
-    # The last piece is the text after the final match.
-    return _let(
-        pieces,
-        lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, step)["found"],
-    )
 
+    def place(found: Column) -> Column:
+        # One character of each piece is the opening mark.
+        lengths = F.transform(found, lambda p: F.length(p) - 1)
+        ends = _running(lengths, lambda a, b: a + b)
+        return _let(ends, lambda at: F.transform(found, lambda p, i: match(p, F.get(at, i))))
 
-def _keep(kind: str, match: Column) -> Column:
-    if kind == "phone":
-        return F.length(F.regexp_replace(match["raw"], r"\P{Nd}", "")).between(*PHONE_DIGITS)
-    if kind == "card":
-        return _let(ascii_digits(match["raw"]), luhn_valid)
-    return F.lit(True)
-
-
-def _found_by(text: Column, finder: int) -> Column:
-    kind, pattern, marking = _FINDERS[finder]
-    kept = F.filter(_locate(text, pattern, marking), lambda m: _keep(kind, m))
-    return F.transform(
-        kept,
-        lambda m: F.struct(
-            (m["span_start"] - m["span_end"]).alias("neg_len"),
-            m["span_start"].alias("span_start"),
-            F.lit(finder).alias("finder"),
-            m["span_end"].alias("span_end"),
-            F.lit(kind).alias("kind"),
-            m["raw"].alias("raw"),
-        ),
+    # The last piece is the text after the final match.
+    pieces = F.split(marked, _CLOSE, -1)
+    found = _let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+    return _let(found, lambda f: F.when(F.size(f) == 0, _empty(_MATCH_LIST)).otherwise(place(f)))
+
+
+def _keep(kind: Column, raw: Column) -> Column:
+    """Whether a match has the digits its kind needs."""
+    n_digits = F.length(F.regexp_replace(raw, r"\P{Nd}", ""))
+    return (
+        F.when(kind == "phone", n_digits.between(*PHONE_DIGITS))
+        .when(kind == "card", _let(ascii_digits(raw), luhn_valid))
+        .otherwise(True)
     )
 
 
@@ -163,23 +192,31 @@ def _without_marks(text: Column) -> Column:
 
 def _finders(text: Column, kinds: tuple[str, ...]) -> Column:
     """Candidates of all finders of ``kinds``, sorted longest first."""
+    wanted = [f for f in _FINDERS if f[0] in kinds]
+
+    def candidates(of_finder: Column, finder: Column) -> Column:
+        kind = F.get(F.array(*[F.lit(f[0]) for f in wanted]), finder)
+        kept = F.filter(_locate(of_finder), lambda m: _keep(kind, m["raw"]))
+        return F.transform(
+            kept,
+            lambda m: F.struct(
+                (m["span_start"] - m["span_end"]).alias("neg_len"),
+                m["span_start"].alias("span_start"),
+                finder.alias("finder"),
+                m["span_end"].alias("span_end"),
+                kind.alias("kind"),
+                m["raw"].alias("raw"),
+            ),
+        )
 
     def collect(clean: Column) -> Column:
-        # The two gates are evaluated once per text, the finders only behind them.
-        lists = []
-        for gate in ("email", "digits"):
-            wanted = [
-                _found_by(clean, i)
-                for i, (kind, _, _) in enumerate(_FINDERS)
-                if kind in kinds and (kind == "email") == (gate == "email")
-            ]
-            if wanted:
-                lists.append(
-                    F.when(_may_match(clean, gate), F.concat(*wanted)).otherwise(
-                        _empty(f"array<{_CANDIDATE}>")
-                    )
-                )
-        return F.array_sort(F.concat(*lists))
+        marked = [
+            F.when(
+                _may_match(clean, kind), F.regexp_replace(clean, F.lit(pattern), F.lit(marking))
+            ).otherwise("")
+            for kind, pattern, marking in wanted
+        ]
+        return F.array_sort(F.flatten(F.transform(F.array(*marked), candidates)))
 
     return _let(_without_marks(text), collect)
 
@@ -204,44 +241,54 @@ def _accept(cluster: Column) -> Column:
         )
         return F.when(clash, taken).otherwise(F.concat(taken, F.array(c)))
 
-    greedy = F.aggregate(F.array_sort(cluster), _empty(f"array<{_CANDIDATE}>"), step)
-    return F.when(F.size(cluster) <= 1, cluster).otherwise(greedy)
+    def settle(run: Column) -> Column:
+        greedy = F.aggregate(F.array_sort(run), _empty(f"array<{_CANDIDATE}>"), step)
+        return F.when(F.size(run) <= 1, run).otherwise(greedy)
+
+    return _let(cluster, settle)
 
 
 def _resolve(candidates: Column) -> Column:
     """Non-overlapping candidates in text order.
 
-    Only overlapping neighbours compete, so candidates are swept in text order
-    and each run of overlapping ones is settled on its own. That keeps a text
-    with many matches from comparing all of them with each other.
+    Only overlapping neighbours compete, so candidates are put in text order, cut
+    wherever one starts beyond all earlier ends, and each run of overlapping ones
+    is settled on its own.
     """
     by_place = F.array_sort(
-        F.transform(
-            candidates, lambda c: F.struct(c["span_start"].alias("at"), c.alias("c"))
-        )
+        F.transform(candidates, lambda c: F.struct(c["span_start"].alias("at"), c.alias("c")))
     )
-    nothing = _empty(f"array<{_CANDIDATE}>")
 
-    def step(acc: Column, item: Column) -> Column:
-        c = item["c"]
-        apart = c["span_start"] >= acc["reach"]
-        return F.struct(
-            F.when(apart, F.concat(acc["settled"], _accept(acc["open"])))
-            .otherwise(acc["settled"])
-            .alias("settled"),
-            F.when(apart, F.array(c))
-            .otherwise(F.concat(acc["open"], F.array(c)))
-            .alias("open"),
-            F.when(apart, c["span_end"])
-            .otherwise(F.greatest(acc["reach"], c["span_end"]))
-            .alias("reach"),
+    def settle(ordered: Column) -> Column:
+        reach = _running(F.transform(ordered, lambda o: o["c"]["span_end"]), F.greatest)
+
+        def runs(reached: Column) -> Column:
+            starts_run = F.filter(
+                F.sequence(F.lit(0), F.size(ordered) - 1),
+                lambda i: (i == 0) | (F.get(ordered, i)["at"] >= F.get(reached, i - 1)),
+            )
+            return _let(
+                starts_run,
+                lambda firsts: F.transform(
+                    firsts,
+                    lambda first, k: F.slice(
+                        ordered,
+                        first + 1,
+                        F.coalesce(F.get(firsts, k + 1), F.size(ordered)) - first,
+                    ),
+                ),
+            )
+
+        clusters = _let(reach, runs)
+        return F.flatten(
+            F.transform(
+                clusters, lambda cluster: _accept(F.transform(cluster, lambda o: o["c"]))
+            )
         )
 
-    start = F.struct(
-        nothing.alias("settled"), nothing.alias("open"), F.lit(0).alias("reach")
-    )
-    kept = F.aggregate(
-        by_place, start, step, lambda acc: F.concat(acc["settled"], _accept(acc["open"]))
+    kept = _let(
+        by_place,
+        lambda o: F.when(F.size(o) == 0, _empty(f"array<{_CANDIDATE}>")).otherwise(settle(o)),
     )
     return F.array_sort(
         F.transform(
@@ -262,15 +309,45 @@ def salted_hash(salt: bytes, raw: Column) -> Column:
 
 
 def _rewrite(text: Column, spans: Column) -> Column:
+    """``text`` with each span replaced by its token.
+
+    Finding a place in a UTF-8 string means reading up to it, so each block of
+    spans works on its own stretch of the text.
+    """
     token = F.create_map(*[F.lit(x) for pair in TOKENS.items() for x in pair])
 
-    def piece(span: Column, i: Column) -> Column:
-        before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["span_end"])
-        kept = F.substring(text, before + 1, span["span_start"] - before)
-        return F.concat(kept, token[span["kind"]])
+    def end_of(span: Column) -> Column:
+        return F.coalesce(span["span_end"], F.lit(0))
+
+    def block_text(block: Column, at: Column) -> Column:
+        stretch = F.substring(text, at + 1, end_of(F.element_at(block, -1)) - at)
+
+        def piece(part: Column, span: Column, i: Column) -> Column:
+            before = F.when(i == 0, at).otherwise(F.get(block, i - 1)["span_end"])
+            kept = F.substring(part, before - at + 1, span["span_start"] - before)
+            return F.concat(kept, token[span["kind"]])
+
+        return _let(
+            stretch,
+            lambda part: F.array_join(F.transform(block, lambda s, i: piece(part, s, i)), ""),
+        )
+
+    def join(blocks: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                blocks,
+                lambda block, b: _let(
+                    F.when(b == 0, 0).otherwise(
+                        end_of(F.element_at(F.get(blocks, b - 1), -1))
+                    ),
+                    lambda at: block_text(block, at),
+                ),
+            ),
+            "",
+        )
 
     tail = F.substring(text, F.element_at(spans, -1)["span_end"] + 1, F.length(text))
-    return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+    return F.concat(_let(_blocks(spans), join), tail)
 
 
 def redact(text: Column, salt: bytes) -> Column:
