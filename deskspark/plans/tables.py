@@ -9,6 +9,7 @@ add doubles up in different orders.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
 from deskspark.operators.classes import class_rows
+from deskspark.operators.label_job import Answer
 from deskspark.operators.labeling import classify_responses, enrich_labels
 from deskspark.operators.metrics import flatten_scores
 from deskspark.schemas import CLASSES, TEACHER_LABELS
@@ -211,8 +213,6 @@ def language_logits(df: DataFrame, text: str) -> DataFrame:
 
 def load_language_model():
     """The same scorer as a Python model, for the ``mapInPandas`` path."""
-    import re
-
     patterns = [re.compile(word_pattern(words)) for words in LANGUAGE_WORDS.values()]
 
     def score(texts: Sequence[str]):
@@ -224,8 +224,6 @@ def load_language_model():
 
 def load_length_labeler():
     """A rule in place of the remote teacher: long or short, by message length."""
-    from deskspark.operators.label_job import Answer
-
     def label(text: str) -> Answer:
         intent = "long" if len(text) > 400 else "short"
         return Answer(f'{{"intent": "{intent}"}}', len(text) // 4 + 80, 15, 0.0, "rule-1")
