@@ -13,6 +13,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed_once(**columns: Column) -> Column:
+    """Generator that adds ``columns`` to a row, each evaluated exactly once.
+
+    A filter or join key on a projected column is pushed below the projection
+    with the expression copied into it, as is the null check a join adds; for
+    array lambdas or JSON parsing that repeats the costly part of a row. Nothing
+    is pushed below a generator's output.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     """Softmax of ``logits / temperature``; a score of minus infinity gives 0."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))

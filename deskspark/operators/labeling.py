@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskspark.functions.scores import computed_once
 from deskspark.functions.teacher import answered_intent, token_cost, valid_length
 from deskspark.operators.classes import small_classes, with_class_names
 from deskspark.operators.cost import TEACHER_RATES
@@ -32,9 +33,8 @@ def classify_responses(df: DataFrame, classes: DataFrame, response: str = "respo
     names = small_classes(classes).select(
         F.col("label_name").alias("_intent"), F.col("label_id").alias("_id")
     )
-    matched = df.withColumn("_intent", answered_intent(F.col(response))).join(
-        names, "_intent", "left"
-    )
+    parsed = df.select("*", computed_once(_intent=answered_intent(F.col(response))))
+    matched = parsed.join(names, "_intent", "left")
     error = F.when(F.col("_intent").isNull(), "parse_error").when(
         F.col("_id").isNull(), "unknown_intent"
     )

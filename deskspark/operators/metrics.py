@@ -23,12 +23,9 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 
 def flatten_scores(df: DataFrame, probs: str = "probs") -> DataFrame:
-    """Add flat ``pred`` and ``conf`` columns, the only ones most metrics need.
-
-    Array expressions are interpreted, so this is done once and the flat
-    columns reused.
-    """
-    return df.withColumns({"pred": S.argmax(F.col(probs)), "conf": S.confidence(F.col(probs))})
+    """Add flat ``pred`` and ``conf`` columns, the only ones most metrics need."""
+    flat = S.computed_once(pred=S.argmax(F.col(probs)), conf=S.confidence(F.col(probs)))
+    return df.select("*", flat)
 
 
 def confusion_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

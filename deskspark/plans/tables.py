@@ -148,11 +148,13 @@ def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("message "), "row_id").alias("text"),
         F.col("label").alias("gold_label_id"),
         "split",
-        answer.alias("response"),
-        (F.lit(700) + F.floor(F.abs(F.get(e, F.lit(0))) * 1000)).alias("input_tokens"),
-        (F.lit(8) + F.floor(F.abs(F.get(e, F.lit(3))) * 20)).alias("output_tokens"),
-        F.round(F.abs(F.get(e, F.lit(4))) * 2000.0 + 800.0, 3).alias("latency_ms"),
-        F.lit("teacher-1").alias("model_version"),
+        S.computed_once(
+            response=answer,
+            input_tokens=F.lit(700) + F.floor(F.abs(F.get(e, F.lit(0))) * 1000),
+            output_tokens=F.lit(8) + F.floor(F.abs(F.get(e, F.lit(3))) * 20),
+            latency_ms=F.round(F.abs(F.get(e, F.lit(4))) * 2000.0 + 800.0, 3),
+            model_version=F.lit("teacher-1"),
+        ),
     )
 
 

@@ -57,14 +57,22 @@ def read_labels(spark: SparkSession, path: str, expected_split: str) -> DataFram
 
 
 def lineage_check(df: DataFrame) -> DataFrame:
-    """Per split: the prompt fingerprints and versions it was labeled with."""
-    return df.groupBy("split").agg(
-        F.count("*").alias("n_rows"),
+    """Per split: the prompt fingerprints and versions it was labeled with.
+
+    Counting the combinations first keeps the pass over the rows a hash
+    aggregate; least and greatest strings would make it sort them.
+    """
+    prompts = df.groupBy("split", "prompt_fingerprint", "prompt_version").agg(
+        F.count("*").alias("n")
+    )
+    unknown = F.when(F.col("prompt_fingerprint").isNull(), F.col("n")).otherwise(0)
+    return prompts.groupBy("split").agg(
+        F.sum("n").alias("n_rows"),
         F.min("prompt_fingerprint").alias("fingerprint"),
         (F.min("prompt_fingerprint") == F.max("prompt_fingerprint")).alias("one_fingerprint"),
         F.min("prompt_version").alias("version"),
         (F.min("prompt_version") == F.max("prompt_version")).alias("one_version"),
-        F.count_if(F.col("prompt_fingerprint").isNull()).alias("null_fingerprints"),
+        F.sum(unknown).alias("null_fingerprints"),
     )
 
 
