@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
 from deskspark.operators.classes import MAX_CLASSES
+from deskspark.operators.sizes import computed_now
 
 # Bins of the calibration error and bounds of the temperature.
 DEFAULT_BINS = 15
@@ -46,8 +47,10 @@ def reliability_bins(
     hit = (F.col("label") == F.col("pred")).cast("double")
     # The bin is an expression over the flat column, so the group-by combines
     # down to n_bins rows per task before anything is shuffled.
-    full = df.groupBy(*by, confidence_bin(F.col("conf"), n_bins).alias("bin")).agg(
-        F.count("*").alias("n"), F.sum("conf").alias("conf_sum"), F.sum(hit).alias("hits")
+    full = computed_now(
+        df.groupBy(*by, confidence_bin(F.col("conf"), n_bins).alias("bin")).agg(
+            F.count("*").alias("n"), F.sum("conf").alias("conf_sum"), F.sum(hit).alias("hits")
+        )
     )
     groups = full.select(*by).distinct() if by else full.groupBy().agg(F.lit(1).alias("_one"))
     zeros = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))).select(

@@ -18,7 +18,7 @@ from deskspark.functions.teacher import token_cost
 from deskspark.operators import cost, metrics
 from deskspark.operators.calibration import DEFAULT_BINS, confidence_bin
 from deskspark.operators.prefix import exact_percentiles
-from deskspark.session import shared_folder
+from deskspark.operators.sizes import computed_now
 
 _SUMS = ("conf", "latency_ms", "input_tokens", "output_tokens")
 
@@ -54,9 +54,8 @@ def evaluation_cells(
 def stored_cells(
     df: DataFrame, by: Sequence[str] = ("model",), n_bins: int = DEFAULT_BINS
 ) -> DataFrame:
-    """Checkpointed cells, so that the tables made from them scan nothing twice."""
-    shared_folder(df.sparkSession)
-    return evaluation_cells(df, by, n_bins).checkpoint()
+    """Cells computed at once, so that the tables made from them scan nothing twice."""
+    return computed_now(evaluation_cells(df, by, n_bins))
 
 
 def cell_counts(cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

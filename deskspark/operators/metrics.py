@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
 from deskspark.operators.classes import class_ids, each_class, with_class_names
+from deskspark.operators.sizes import computed_now
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -29,7 +30,8 @@ def flatten_scores(df: DataFrame, probs: str = "probs") -> DataFrame:
 
 
 def confusion_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, "label", "pred").agg(F.count("*").alias("n"))
+    """Rows per (label, pred), computed at once: every class metric starts here."""
+    return computed_now(df.groupBy(*by, "label", "pred").agg(F.count("*").alias("n")))
 
 
 def top_k_accuracy(

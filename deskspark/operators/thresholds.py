@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from deskspark.operators.classes import each_class, with_class_names
 from deskspark.operators.prefix import running_totals
-from deskspark.operators.sizes import broadcast_checked
+from deskspark.operators.sizes import broadcast_checked, computed_now
 
 # Fixed value: a threshold no confidence reaches, so the class is never auto-routed.
 ESCALATE_ALL = 1.01
@@ -51,7 +51,8 @@ def _undecided(df: DataFrame, target: float, by: list[str]) -> DataFrame:
 
     A count per confidence step bounds the running precision inside the step
     from above. Steps that cannot reach the target, and steps above the lowest
-    one whose end surely meets it, need no row-level look.
+    one whose end surely meets it, need no row-level look. ``low`` is null where
+    no step can reach it.
     """
     step = F.floor(F.col("conf") * _CONFIDENCE_STEPS).cast("int")
     histogram = df.groupBy(*by, "pred", step.alias("step")).agg(
@@ -72,24 +73,18 @@ def _undecided(df: DataFrame, target: float, by: list[str]) -> DataFrame:
         F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("hits_above"),
     )
     reached = F.col("hits_above") + F.col("hits")
-    at_best = reached / (F.col("n_above") + F.greatest(F.col("hits"), F.lit(1)))
-    at_end = reached / (F.col("n_above") + F.col("n"))
-    spans = (
-        steps.where(at_best >= target)
-        .groupBy(*by, "pred")
-        .agg(
-            F.min("step").alias("low"),
-            F.coalesce(F.min(F.when(at_end >= target, F.col("step"))), F.max("step")).alias("high"),
-        )
-    )
-    first = steps.select(
-        *by,
-        "pred",
-        F.col("step").alias("high"),
-        "n_above",
-        "hits_above",
+    can = reached / (F.col("n_above") + F.greatest(F.col("hits"), F.lit(1))) >= target
+    does = reached / (F.col("n_above") + F.col("n")) >= target
+    # Counts above a step only grow as the step falls, so the count above the
+    # lowest of several steps is the largest of their counts.
+    return steps.groupBy(*by, "pred").agg(
+        F.min(F.when(can, F.col("step"))).alias("low"),
+        F.coalesce(F.min(F.when(does, F.col("step"))), F.max(F.when(can, F.col("step")))).alias("high"),
+        *[
+            F.coalesce(F.max(F.when(does, F.col(c))), F.min(F.when(can, F.col(c)))).alias(c)
+            for c in ("n_above", "hits_above")
+        ],
     )
-    return spans.join(first, [*by, "pred", "high"])
 
 
 def fit_thresholds(
@@ -106,10 +101,10 @@ def fit_thresholds(
     """
     _check_target(target_precision)
     by = list(by)
-    spans = broadcast_checked(_undecided(df, target_precision, by))
+    spans = computed_now(_undecided(df, target_precision, by))
     step = F.floor(F.col("conf") * _CONFIDENCE_STEPS).cast("int")
     open_rows = (
-        df.join(spans, [*by, "pred"])
+        df.join(broadcast_checked(spans), [*by, "pred"])
         .where(step.between(F.col("low"), F.col("high")))
         .select(
             *by,
@@ -132,11 +127,11 @@ def fit_thresholds(
         .groupBy(*by, F.col("pred").alias("label_id"))
         .agg(F.min("conf").alias("threshold"))
     )
-    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    groups = spans.select(*by).distinct() if by else df.sparkSession.range(1)
     absent = each_class(groups, classes).select(
         *by, "label_id", F.lit(None).cast("double").alias("threshold")
     )
-    return (
+    return computed_now(
         found.unionByName(absent)
         .groupBy(*by, "label_id")
         .agg(F.coalesce(F.min("threshold"), F.lit(ESCALATE_ALL)).alias("threshold"))
