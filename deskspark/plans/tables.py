@@ -58,11 +58,20 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_label_rows: dict[tuple[str, str], list] = {}
+
+
 def label_map(spark: SparkSession, folder: str) -> DataFrame:
-    """The class list, found once and held as a local table like a stored one."""
-    labels = read(spark, folder, "embeddings").select(F.col("label").alias("label_id")).distinct()
-    named = labels.withColumn("label_name", F.concat(F.lit("class_"), F.col("label_id")))
-    return spark.createDataFrame(class_rows(named), CLASSES)
+    """The class list: found once per application, then a local table like a stored one."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _label_rows:
+        labels = read(spark, folder, "embeddings").select("label").distinct()
+        _label_rows[key] = class_rows(
+            labels.select(
+                F.col("label").alias("label_id"), F.concat(F.lit("class_"), "label").alias("label_name")
+            )
+        )
+    return spark.createDataFrame(_label_rows[key], CLASSES)
 
 
 def centroids(spark: SparkSession, folder: str) -> DataFrame:
