@@ -199,7 +199,7 @@ def _tokens_cost(i: str, o: str) -> str:
 
 _sql(
     "validate_messages",
-    """SELECT (coalesce(length(text), 0) BETWEEN 1 AND 2000)::INT AS accepted, count(*) AS n_rows, max(length(text)) AS longest
+    """SELECT (coalesce(length(text), 0) BETWEEN 1 AND 2000)::INT AS accepted, count(*) AS n_rows, max(length(text))::INT AS longest
 FROM documents GROUP BY 1""",
 )
 _BLOCK = """described AS (SELECT label AS label_id, 'class_' || label AS label_name, 'seen ' || count(*) || ' times' AS description
@@ -297,17 +297,17 @@ _sql(
 _MESSAGES = "messages AS (SELECT conv_id * 1000 + turn AS row_id, text FROM conversations)"
 _sql(
     "resume_pending",
-    "SELECT row_id, length(text) AS n_chars FROM messages WHERE length(text) >= 300",
+    "SELECT row_id, length(text)::INT AS n_chars FROM messages WHERE length(text) >= 300",
     _MESSAGES,
 )
-_sql("resume_union", "SELECT row_id, length(text) AS n_chars FROM messages", _MESSAGES)
+_sql("resume_union", "SELECT row_id, length(text)::INT AS n_chars FROM messages", _MESSAGES)
 _sql(
     "label_job",
     f"""SELECT row_id, response, input_tokens, output_tokens FROM paid JOIN chunks USING (chunk) WHERE before <= {Q.JOB_CAP_USD}""",
     _MESSAGES,
     f"""paid AS (SELECT row_id, row_id // {Q.JOB_CHUNK_IDS} AS chunk,
     '{{"intent": "' || CASE WHEN length(text) > 400 THEN 'long' ELSE 'short' END || '"}}' AS response,
-    length(text) // 4 + 80 AS input_tokens, 15 AS output_tokens FROM messages)""",
+    length(text) // 4 + 80 AS input_tokens, 15::BIGINT AS output_tokens FROM messages)""",
     f"""chunks AS (SELECT chunk, sum(cost) OVER (ORDER BY chunk) - cost AS before FROM (
     SELECT chunk, {_tokens_cost('sum(input_tokens)', 'sum(output_tokens)')} AS cost FROM paid GROUP BY chunk))""",
 )
@@ -643,7 +643,7 @@ _sql(
 )
 _sql(
     "embed_cache_misses",
-    f"""SELECT DISTINCT sha256('{Q.ENCODER}' || chr(0) || text) AS cache_key, length(text) AS n_chars FROM docs
+    f"""SELECT DISTINCT sha256('{Q.ENCODER}' || chr(0) || text) AS cache_key, length(text)::INT AS n_chars FROM docs
 WHERE text NOT IN (SELECT text FROM docs WHERE split = 'train')""",
     _DOC_SPLIT,
 )

@@ -784,7 +784,7 @@ def audit_log(spark, folder):
     stored = audit.read_audit(spark, path)
     whole = F.col("event_date").isNotNull() & F.col("timestamp").isNotNull()
     return _stable(stored).withColumn(
-        "n_dated", F.lit(stored.agg(F.count_if(whole).alias("n")).first()["n"])
+        "n_dated", stored.agg(F.count_if(whole).alias("n")).scalar()
     )
 
 
