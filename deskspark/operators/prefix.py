@@ -9,10 +9,12 @@ earlier slices are added on top.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskspark.operators.sizes import broadcast_checked, computed_now
 from deskspark.session import shared_folder
 
 
@@ -67,44 +69,114 @@ def running_totals(
     )
 
 
+def _same_group(by: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return same
+
+
+def _brackets(rows: DataFrame, by: list[str], fractions: Sequence[float], accuracy: int) -> DataFrame:
+    """Per group, an interval around each percentile and the rows below it.
+
+    A sketch proposes the intervals; counting the rows below and inside them
+    proves them. An interval the wanted ranks are not in becomes everything.
+    """
+    margin = 2.0 / accuracy
+    marks = [min(1.0, max(0.0, q + side)) for q in fractions for side in (-margin, margin)]
+    sketch = rows.groupBy(*by).agg(
+        F.count("*").alias("_size"),
+        F.percentile_approx("_value", F.array(*[F.lit(m) for m in marks]), accuracy).alias("_marks"),
+    )
+    proposed = computed_now(
+        sketch.select(
+            *[F.col(c).alias(f"_of_{c}") for c in by],
+            "_size",
+            *[F.get("_marks", F.lit(2 * i)).alias(f"_low{i}") for i in range(len(fractions))],
+            *[F.get("_marks", F.lit(2 * i + 1)).alias(f"_high{i}") for i in range(len(fractions))],
+        )
+    )
+    value, counts, proven = F.col("_value"), [], []
+    for i, q in enumerate(fractions):
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        counts.append(F.count_if(value < low).alias(f"_below{i}"))
+        counts.append(F.count_if(value.between(low, high)).alias(f"_inside{i}"))
+        below, inside = F.col(f"_below{i}"), F.col(f"_inside{i}")
+        first = F.floor(F.lit(float(q)) * (F.col("_size") - 1))
+        last = F.least(first + 1, F.col("_size") - 1)
+        holds = (below <= first) & (below + inside > last)
+        proven += [
+            F.when(holds, low).otherwise(F.lit(float("-inf"))).alias(f"_low{i}"),
+            F.when(holds, high).otherwise(F.lit(float("inf"))).alias(f"_high{i}"),
+            F.when(holds, below).otherwise(0).alias(f"_below{i}"),
+        ]
+    counted = (
+        rows.join(broadcast_checked(proposed), _same_group(by))
+        .groupBy(*proposed.columns)
+        .agg(*counts)
+    )
+    return computed_now(counted.select(*[f"_of_{c}" for c in by], "_size", *proven))
+
+
 def exact_percentiles(
-    df: DataFrame, value: str, fractions: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    fractions: dict[str, float],
+    by: Sequence[str] = (),
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Linear-interpolation percentiles of ``value``, one column per fraction.
 
-    Exact at any size: values are counted first (combined before the shuffle),
-    then ranked by a running count, and only the two order statistics next to
-    each fraction survive. Groups without values give no row, except that an
-    ungrouped call always gives one.
+    Exact at any size. Only rows in a proven interval around a percentile are
+    ranked, about ``4 / accuracy`` of them per fraction; they are counted by
+    value before the shuffle and ranked by a running count, so neither a hot
+    group nor a hot value lands in one task. Groups without values give no row,
+    except that an ungrouped call always gives one.
     """
-    by = list(by)
-    present = df.where(F.col(value).isNotNull())
-    counts = present.groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
-    ranked = running_totals(counts, by, [F.col("_value").asc()], ["_n"])
-    sizes = present.groupBy(*by).agg(F.count("*").alias("_size"))
-    sizes = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_size")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    if by:
-        ranked = ranked.join(sizes, same)
-    else:
-        ranked = ranked.withColumn("_size", sizes.select("_size").scalar())
+    keys = list(by) or ["_all"]
+    rows = df.where(F.col(value).isNotNull()).select(
+        *(by or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_value")
+    )
+    shares = list(fractions.values())
+    brackets = broadcast_checked(_brackets(rows, keys, shares, accuracy))
+    inside = [
+        F.col("_value").between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(shares))
+    ]
+    near = rows.join(brackets, _same_group(keys)).where(reduce(Column.__or__, inside))
+    each = F.array(
+        *[
+            F.when(
+                inside[i],
+                F.struct(
+                    F.lit(i).alias("_f"),
+                    F.lit(float(q)).alias("_share"),
+                    F.col(f"_below{i}").alias("_below"),
+                ),
+            )
+            for i, q in enumerate(shares)
+        ]
+    )
+    counts = (
+        near.select(*keys, "_value", "_size", F.explode(F.array_compact(each)).alias("_b"))
+        .select(*keys, "_value", "_size", "_b.*")
+        .groupBy(*keys, "_f", "_value", "_share", "_below", "_size")
+        .agg(F.count("*").alias("_n"))
+    )
+    ranked = running_totals(counts, [*keys, "_f"], [F.col("_value").asc()], ["_n"])
+
+    upto = F.col("_below") + F.col("running__n")
+    place = F.col("_share") * (F.col("_size") - 1)
+    first = F.floor(place)
 
     def at_rank(rank: Column) -> Column:
-        covers = (F.col("running__n") > rank) & (F.col("running__n") - F.col("_n") <= rank)
-        return F.max(F.when(covers, F.col("_value")))
-
-    picked, wanted = [], []
-    for name, fraction in fractions.items():
-        place = F.lit(float(fraction)) * (F.col("_size") - 1)
-        low = F.floor(place)
-        high = F.least(low + 1, F.col("_size") - 1)
-        picked += [
-            at_rank(low).alias(f"_lo_{name}"),
-            at_rank(high).alias(f"_hi_{name}"),
-            F.max(place - low).alias(f"_part_{name}"),
-        ]
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        wanted.append((lo + (hi - lo) * F.col(f"_part_{name}")).alias(name))
-    return ranked.groupBy(*by).agg(*picked).select(*by, *wanted)
+        return F.max(F.when((upto > rank) & (upto - F.col("_n") <= rank), F.col("_value")))
+
+    found = ranked.groupBy(*keys, "_f").agg(
+        at_rank(first).alias("_lo"),
+        at_rank(F.least(first + 1, F.col("_size") - 1)).alias("_hi"),
+        F.max(place - first).alias("_part"),
+    )
+    answer = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
+    return found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_f") == i, answer)).alias(name) for i, name in enumerate(fractions)]
+    )

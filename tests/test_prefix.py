@@ -35,13 +35,14 @@ def test_running_totals_without_key_and_with_null_key(spark):
     assert [r["running_v"] for r in whole] == [5, 6]
 
 
-def test_percentiles_match_numpy(spark):
+@pytest.mark.parametrize("accuracy", [10_000, 100, 3])
+def test_percentiles_match_numpy(spark, accuracy):
     rng = np.random.default_rng(3)
     data = {"a": rng.gamma(2, 50, 501), "b": np.repeat([7.0, 9.0], [90, 10]), "c": np.array([4.5])}
     rows = [(m, float(v)) for m, vs in data.items() for v in vs] + [("a", None)]
     df = spark.createDataFrame(rows, "m string, v double")
     wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    got = {r["m"]: r for r in exact_percentiles(df, "v", wanted, ["m"]).collect()}
+    got = {r["m"]: r for r in exact_percentiles(df, "v", wanted, ["m"], accuracy).collect()}
     for m, vs in data.items():
         for name, q in wanted.items():
             assert got[m][name] == pytest.approx(np.percentile(vs, 100 * q), abs=1e-9)
@@ -54,3 +55,22 @@ def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([], "v double")
     [row] = exact_percentiles(df, "v", {"p50": 0.5}).collect()
     assert row["p50"] is None
+
+
+def test_wrong_intervals_are_noticed(spark, monkeypatch):
+    """A sketch that is far off must not change the answer."""
+    far = F.array(F.lit(-5.0), F.lit(-4.0))
+    monkeypatch.setattr(F, "percentile_approx", lambda *_: F.any_value(far))
+    df = spark.range(1001).select(F.col("id").cast("double").alias("v"))
+    assert exact_percentiles(df, "v", {"p50": 0.5}).first()["p50"] == 500.0
+
+
+def test_only_rows_near_the_percentiles_are_ranked(spark, monkeypatch):
+    from deskspark.operators import prefix
+
+    seen = []
+    whole = prefix.running_totals
+    monkeypatch.setattr(prefix, "running_totals", lambda df, *a, **k: seen.append(df.count()) or whole(df, *a, **k))
+    df = spark.range(100_000).select(F.col("id").cast("double").alias("v"))
+    assert exact_percentiles(df, "v", {"p50": 0.5, "p99": 0.99}).first()["p99"] == pytest.approx(98999.01)
+    assert seen[0] < 2000
