@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from deskspark.functions import scores as S
 from deskspark.operators.classes import class_rows
@@ -23,6 +24,7 @@ from deskspark.operators.label_job import Answer
 from deskspark.operators.labeling import classify_responses, enrich_labels
 from deskspark.operators.metrics import flatten_scores
 from deskspark.schemas import CLASSES, TEACHER_LABELS
+from deskspark.session import run_folder
 
 STUDENT, BASELINE, TEACHER = "student", "baseline", "teacher"
 STUDENT_SHARPNESS, BASELINE_SHARPNESS = 30.0, 40.0
@@ -58,9 +60,28 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 _label_rows: dict[tuple[str, str], list] = {}
 
 
+def stored(
+    spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]
+) -> DataFrame:
+    """A derived table, written once per application and read from then on.
+
+    Scores and teacher answers are stored tables in practice: metrics read them
+    several times and prune their columns.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _stored:
+        path = run_folder(spark, name)
+        table = make()
+        table.write.parquet(path)
+        _stored[key] = (path, table.schema)
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def label_map(spark: SparkSession, folder: str) -> DataFrame:
     """The class list: found once per application, then a local table like a stored one."""
     key = (spark.sparkContext.applicationId, folder)
@@ -103,31 +124,32 @@ def _with_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder).withColumn("m", centroids(spark, folder).scalar())
 
 
-def scored(spark: SparkSession, folder: str, models: Sequence[str] = (STUDENT, BASELINE)) -> DataFrame:
-    """``model, row_id, split, label, logits, latency_ms`` for each model and row.
-
-    Both models are computed in one pass over the embeddings.
-    """
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Both models in one pass over the embeddings."""
     e, m = F.col("e"), F.col("m")
     dot = _compare(e, m, lambda a, b: a * b)
     apart = _compare(e, m, lambda a, b: (a - b) * (a - b))
-    parts = {
-        STUDENT: F.struct(
-            F.lit(STUDENT).alias("model"),
-            _rounded(dot, STUDENT_SHARPNESS).alias("logits"),
-            F.round(F.abs(F.get(e, F.lit(1))) * 100.0 + 10.0, 3).alias("latency_ms"),
-        ),
-        BASELINE: F.struct(
-            F.lit(BASELINE).alias("model"),
-            _rounded(apart, -BASELINE_SHARPNESS).alias("logits"),
-            F.round(F.abs(F.get(e, F.lit(2))) * 50.0 + 5.0, 3).alias("latency_ms"),
-        ),
-    }
+    student = F.struct(
+        F.lit(STUDENT).alias("model"),
+        _rounded(dot, STUDENT_SHARPNESS).alias("logits"),
+        F.round(F.abs(F.get(e, F.lit(1))) * 100.0 + 10.0, 3).alias("latency_ms"),
+    )
+    baseline = F.struct(
+        F.lit(BASELINE).alias("model"),
+        _rounded(apart, -BASELINE_SHARPNESS).alias("logits"),
+        F.round(F.abs(F.get(e, F.lit(2))) * 50.0 + 5.0, 3).alias("latency_ms"),
+    )
     return _with_matrix(spark, folder).select(
-        "row_id", "split", "label", F.inline(F.array(*[parts[name] for name in models]))
+        "row_id", "split", "label", F.inline(F.array(student, baseline))
     )
 
 
+def scored(spark: SparkSession, folder: str, models: Sequence[str] = (STUDENT, BASELINE)) -> DataFrame:
+    """``model, row_id, split, label, logits, latency_ms`` for each model and row."""
+    rows = stored(spark, folder, "scores", lambda: _scores(spark, folder))
+    return rows.where(F.col("model").isin(*models))
+
+
 def rounded_probs(temperature: float = 1.0) -> Column:
     return F.transform(S.softmax(F.col("logits"), temperature), lambda p: F.round(p, 9))
 
@@ -137,8 +159,8 @@ def predictions(spark: SparkSession, folder: str, models: Sequence[str] = (STUDE
     return flatten_scores(scored(spark, folder, models).withColumn("probs", rounded_probs()))
 
 
-def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw JSON answers of a third rule; close calls give unusable answers."""
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    """A third rule in place of the teacher; close calls give unusable answers."""
     e, m = F.col("e"), F.col("m")
     near = F.transform(
         _compare(e, m, lambda a, b: F.abs(a - b)), lambda v, i: F.struct(F.round(v, 6).alias("d"), i.alias("c"))
@@ -157,16 +179,19 @@ def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("message "), "row_id").alias("text"),
         F.col("label").alias("gold_label_id"),
         "split",
-        S.computed_once(
-            response=answer,
-            input_tokens=F.lit(700) + F.floor(F.abs(F.get(e, F.lit(0))) * 1000),
-            output_tokens=F.lit(8) + F.floor(F.abs(F.get(e, F.lit(3))) * 20),
-            latency_ms=F.round(F.abs(F.get(e, F.lit(4))) * 2000.0 + 800.0, 3),
-            model_version=F.lit("teacher-1"),
-        ),
+        answer.alias("response"),
+        (F.lit(700) + F.floor(F.abs(F.get(e, F.lit(0))) * 1000)).alias("input_tokens"),
+        (F.lit(8) + F.floor(F.abs(F.get(e, F.lit(3))) * 20)).alias("output_tokens"),
+        F.round(F.abs(F.get(e, F.lit(4))) * 2000.0 + 800.0, 3).alias("latency_ms"),
+        F.lit("teacher-1").alias("model_version"),
     )
 
 
+def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw JSON answers with token counts and latency, as a labeling run stores them."""
+    return stored(spark, folder, "answers", lambda: _answers(spark, folder))
+
+
 def teacher_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The label table: checked answers with gold labels and lineage."""
     classes = label_map(spark, folder)

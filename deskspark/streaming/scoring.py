@@ -12,12 +12,21 @@ from deskspark.sources.audit import audit_rows
 
 
 def stream_files(
-    spark: SparkSession, folder: str, schema: StructType, file_glob: str = "*.parquet"
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    file_glob: str = "*.parquet",
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream, with a declared schema."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
-    )
+    """New Parquet files of a folder as a stream, with a declared schema.
+
+    ``files_per_batch`` bounds a micro-batch, so that a long backlog commits in
+    steps.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def start_scoring(

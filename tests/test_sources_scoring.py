@@ -105,7 +105,7 @@ def test_stream_equals_batch_and_resumes(spark, requests):
     source, out, state = (run_folder(spark, n) for n in ("in", "out", "state"))
 
     def drain():
-        messages = stream_files(spark, source, requests.schema)
+        messages = stream_files(spark, source, requests.schema, files_per_batch=1)
         job = start_scoring(messages, lambda df: predict(spark, P.language_logits, df), out, state, once=True)
         job.awaitTermination()
         return audit.read_audit(spark, out)
