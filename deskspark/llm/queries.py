@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deskspark.llm import decontaminate, secrets, simhash
+from deskspark.llm import decontaminate, mixing, quality_rules, secrets, simhash, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,19 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(found)
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archive_pages(_table(spark, folder, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(mixing.mix_sources(_table(spark, folder, "documents")))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_counts(secrets.find_secrets(_table(spark, folder, "documents")))
 
@@ -29,7 +42,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_decontaminate, op5_warc, op6_quality_rules, op7_mixing, op9_secrets, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}
