@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deskspark.llm import decontaminate, mixing, quality_rules, secrets, simhash, warc
+from deskspark.llm import decontaminate, language, mixing, quality_rules, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,30 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(found)
 
 
+def _fold(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    profiles = language.learn_profiles(docs.where(_fold(5) != 0), "text", "lang")
+    return language.identify(docs, profiles).select(
+        "doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def _judged(scores: DataFrame, held_out: Column, at: float) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted")
+    )
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    lexicon = toxicity.learn_lexicon(docs, labels.where(_fold(4) != 2))
+    return _judged(toxicity.score_toxicity(docs, lexicon), _fold(4) == 2, toxicity.PREDICT_AT)
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     read = warc.archive_pages(_table(spark, folder, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,7 +67,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_warc, op6_quality_rules, op7_mixing, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_decontaminate, op2_language, op4_toxicity, op5_warc, op6_quality_rules, op7_mixing, op9_secrets, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}

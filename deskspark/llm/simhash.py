@@ -9,7 +9,6 @@ shard grows its own tree the same way and compares only inside its leaves.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -73,14 +72,9 @@ def _apart(prints: np.ndarray, point: np.uint64) -> np.ndarray:
     return np.bitwise_count(prints ^ point)
 
 
-@dataclass
-class Node:
-    """Prints at most ``radius`` bits from ``point`` go near, those beyond it far, the boundary to both."""
-
-    point: np.uint64
-    radius: int
-    near: "Node | int"
-    far: "Node | int"
+#: ``(point, radius, near, far)``: prints at most ``radius`` bits from ``point`` go near, those beyond it
+#: far, the boundary to both. A shard is its number. Plain tuples, so that tasks need no class for them.
+Tree = tuple | int
 
 
 def choose_split(prints: np.ndarray, bits: int, tries: int = 12) -> tuple[np.uint64, int] | None:
@@ -106,33 +100,34 @@ def sides(prints: np.ndarray, point: np.uint64, radius: int, bits: int) -> tuple
     return d <= radius, d > radius - bits
 
 
-def grow_shards(sample: np.ndarray, shards: float, bits: int) -> tuple["Node | int", int]:
+def grow_shards(sample: np.ndarray, shards: float, bits: int) -> tuple[Tree, int]:
     """A tree whose leaves are shard numbers; each leaf has about 1 / ``shards`` of the sample."""
     count = 0
     least = max(2.0, len(sample) / max(shards, 1.0))
 
-    def grow(part: np.ndarray) -> "Node | int":
+    def grow(part: np.ndarray) -> Tree:
         nonlocal count
         split = choose_split(part, bits) if len(part) > least else None
         if split is None:
             count += 1
             return count - 1
         near, far = sides(part, *split, bits)
-        return Node(*split, grow(part[near]), grow(part[far]))
+        return (*split, grow(part[near]), grow(part[far]))
 
     return grow(sample), count
 
 
-def route(tree: "Node | int", prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def route(tree: Tree, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each print with each of its shards."""
     todo, shard_of, out = [(tree, prints)], [], []
     while todo:
         node, part = todo.pop()
         if not len(part):
             continue
-        if isinstance(node, Node):
-            near, far = sides(part, node.point, node.radius, bits)
-            todo += [(node.near, part[near]), (node.far, part[far])]
+        if isinstance(node, tuple):
+            point, radius, to_near, to_far = node
+            near, far = sides(part, point, radius, bits)
+            todo += [(to_near, part[near]), (to_far, part[far])]
         else:
             shard_of.append(np.full(len(part), node, np.int32))
             out.append(part)
