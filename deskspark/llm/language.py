@@ -25,14 +25,19 @@ UNKNOWN = "und"
 PIECE_CHARS = 1 << 16
 #: Mean places by which a language must be nearer to be e times as likely.
 SHARPNESS = 8.0
+#: Letters end before this code point.
+LAST_POINT = 0x34000
 _SHIFT = np.uint64(21)
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """For each code point its symbol: 0 if it is no letter, else one more than the code point plus one."""
-    symbols = np.zeros(0x110000, np.uint32)
-    points = np.array([c for c in range(0x110000) if chr(c).isalpha()])
+    """For each code point its symbol: 0 if it is no letter, else two more than the code point.
+
+    No letters lie beyond the last point of the table, which stands for them.
+    """
+    symbols = np.zeros(LAST_POINT + 1, np.uint32)
+    points = np.array([c for c in range(LAST_POINT) if chr(c).isalpha()])
     symbols[points] = points + 2
     return symbols
 
@@ -40,7 +45,7 @@ def _letters() -> np.ndarray:
 def _symbols(piece: str, before: np.ndarray) -> np.ndarray:
     """Letters of a piece after what is carried over; runs of anything else are one space (1)."""
     points = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = np.concatenate([before, np.maximum(_letters()[points], 1)])
+    found = np.concatenate([before, np.maximum(_letters()[np.minimum(points, LAST_POINT)], 1)])
     keep = found > 1
     keep[1:] |= found[:-1] > 1
     keep[: len(before)] = True

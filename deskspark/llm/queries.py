@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskspark.llm import decontaminate, language, mixing, quality_rules, secrets, simhash, toxicity, warc
+from deskspark.llm import decontaminate, language, mixing, quality, quality_rules, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def _judged(scores: DataFrame, held_out: Column, at: float) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    vectors, network = quality.learn_quality(docs, labels.where(_fold(5) != 0))
+    return _judged(quality.score_quality(docs, vectors, network), _fold(5) == 0, quality.PREDICT_AT)
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     lexicon = toxicity.learn_lexicon(docs, labels.where(_fold(4) != 2))
@@ -67,7 +73,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_language, op4_toxicity, op5_warc, op6_quality_rules, op7_mixing, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_toxicity, op5_warc, op6_quality_rules, op7_mixing, op9_secrets, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.llm.arrow_text import batch_of, map_batches
-from deskspark.llm.stored import stored
+from deskspark.llm.samples import labelled_sample
 
 #: Labelled rows the lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -157,16 +157,6 @@ def fit_slopes(measures: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) ->
     return slopes
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str, text: str) -> DataFrame:
-    """``text, label`` of at most ``rows`` labelled documents, those with the smallest hashes; stored."""
-    told = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_label_id"), F.col(label).cast("int").alias("label"))
-    few = told.dropna().orderBy(F.xxhash64("_label_id"), "_label_id", "label").limit(rows)
-    mine = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    return stored(
-        mine.join(F.broadcast(few), F.col("_id") == F.col("_label_id")).select("text", "label"), "labelled-sample"
-    )
-
-
 def learn_lexicon(
     docs: DataFrame,
     labels: DataFrame,
@@ -182,7 +172,7 @@ def learn_lexicon(
     entries in clean ones, phrases around hits, and measures. Without labels of
     both kinds the lexicon is empty.
     """
-    sample = labelled_sample(docs, labels, label, rows, doc_id, text)
+    sample = labelled_sample(docs, labels, label, rows, doc_id, text).select("text", "label")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
