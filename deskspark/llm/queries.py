@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskspark.llm import decontaminate, language, mixing, quality, quality_rules, secrets, simhash, toxicity, warc
+from deskspark.llm import decontaminate, language, mixing, quality, quality_rules, secrets, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(mixing.mix_sources(_table(spark, folder, "documents")))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal_report(suffix_dedup.drop_repeats(_table(spark, folder, "documents")))
+
+
 def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_counts(secrets.find_secrets(_table(spark, folder, "documents")))
 
@@ -73,7 +77,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_toxicity, op5_warc, op6_quality_rules, op7_mixing, op9_secrets, op10_simhash)
+    f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_toxicity, op5_warc, op6_quality_rules, op7_mixing, op8_suffix_dedup, op9_secrets, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}
