@@ -2,12 +2,70 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deskspark.llm import decontaminate, mixing, quality_rules, secrets, simhash
+from deskspark.llm.stored import stored
+
+#: Fingerprints and the fitted log ratios have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
-STAGES: list = []
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and read like the trusted ones; the rest goes."""
+    return quality_rules.judge(docs, _table(spark, sf_dir, "labels"), keep_columns=True)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies.
+
+    A document without an id goes by a hash of its text, after all that have
+    one; rows of one id are one document.
+    """
+    hashed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
+    groups = simhash.near_duplicates(keyed, doc_id="_key")
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = keyed.join(first, F.col("_key") == F.col("_first"), "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate.find_benchmark_text(docs, _table(spark, sf_dir, "benchmark"), keep_rows=True)
+    return found.where(F.size("items") == 0).select("row.*")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every character of a secret masked; lengths stay as they are."""
+    found = secrets.find_secrets(docs, keep_rows=True)
+    text = secrets.masked(F.col("row.text"), F.col("spans")).alias("text")
+    return found.select(*[text if c == "text" else F.col(f"row.{c}") for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document enters the mix, and the words it adds."""
+    mixed = mixing.mix_sources(docs, keep=["source"])
+    return mixing.mix_report(mixed, "source", "copies")
+
+
+STAGES = [
+    ("quality rules", keep_good_text),
+    ("near-dedup", keep_one_of_each),
+    ("decontamination", drop_benchmark_text),
+    ("secret scan", mask_secrets),
+    ("mix", mix),
+]
 
 
-def run(spark, sf_dir):
-    """The last stage's rows."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage reads the stored result of the one before."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
@@ -47,3 +49,19 @@ def pieces(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         last = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "right")) - 1)
         yield first, min(last, n)
         first = min(last, n)
+
+
+def id_and_text(docs: DataFrame, doc_id: str, text: str, keep_rows: bool) -> DataFrame:
+    """``doc_id, text`` and, if asked for, all columns of the row in one struct."""
+    rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *rows)
+
+
+def with_rows(batch: pa.RecordBatch, told: pa.RecordBatch) -> pa.RecordBatch:
+    """``told`` and the rows of ``batch`` if it has them."""
+    return told.append_column("row", batch.column(2)) if batch.num_columns > 2 else told
+
+
+def schema_with_rows(rows: DataFrame, told: str) -> StructType:
+    fields = [rows.schema[0], *StructType.fromDDL(told).fields]
+    return StructType([StructField(f.name, f.dataType) for f in [*fields, *rows.schema.fields[2:]]])

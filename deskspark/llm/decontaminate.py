@@ -16,7 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskspark.llm.arrow_text import batch_of, map_batches, text_bytes
+from deskspark.llm.arrow_text import (
+    batch_of,
+    id_and_text,
+    map_batches,
+    schema_with_rows,
+    text_bytes,
+    with_rows,
+)
 
 WINDOW_WORDS = 10
 #: Bytes of windows in one search; more items make more searches of the same batch.
@@ -218,9 +225,12 @@ def find_benchmark_text(
     item_id: str = "item_id",
     item_text: str = "text",
     window_words: int = WINDOW_WORDS,
+    keep_rows: bool = False,
 ) -> DataFrame:
     """``doc_id, n_words, hits, items`` for every document: hit word ranges and occurring items.
 
+    With ``keep_rows`` a column ``row`` carries the document's own columns.
+
     One map over the documents, no shuffle. Item windows go to the tasks as
     broadcasts of at most about ``SEARCH_BYTES`` each, searched one after the
     other; documents are read once. Null and empty texts have no words and no
@@ -240,13 +250,11 @@ def find_benchmark_text(
             texts = [raw[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
             counts, ranges, found = _scan(texts, searches)
             kinds = [batch.column(0).type, pa.int64(), _RANGES, pa.list_(pa.string())]
-            yield batch_of(names, [batch.column(0), counts, ranges, found], kinds)
+            yield with_rows(batch, batch_of(names, [batch.column(0), counts, ranges, found], kinds))
 
-    kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    schema = (
-        f"doc_id {kind}, n_words long, hits array<struct<start_word:long,end_word:long>>, items array<string>"
-    )
-    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")), task, schema)
+    rows = id_and_text(docs, doc_id, text, keep_rows)
+    told = "n_words long, hits array<struct<start_word:long,end_word:long>>, items array<string>"
+    return map_batches(rows, task, schema_with_rows(rows, told))
 
 
 def contamination(found: DataFrame) -> DataFrame:

@@ -235,7 +235,6 @@ def mix_sources(
     )
 
 
-def mix_report(mixed: DataFrame) -> DataFrame:
-    return mixed.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
-    )
+def mix_report(mixed: DataFrame, *also: str) -> DataFrame:
+    taken = (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, *also)

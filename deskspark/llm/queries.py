@@ -1,4 +1,4 @@
-"""One query per operator over the shared test tables, and SQL where it can say the same."""
+"""One query per operator over the shared test tables; ``oracles`` says some of them in SQL."""
 
 from __future__ import annotations
 
@@ -79,5 +79,3 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_toxicity, op5_warc, op6_quality_rules, op7_mixing, op8_suffix_dedup, op9_secrets, op10_simhash)
 }
-
-ORACLES: dict[str, str] = {}

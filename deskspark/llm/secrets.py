@@ -12,10 +12,17 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskspark.llm.arrow_text import batch_of, map_batches, text_bytes
+from deskspark.llm.arrow_text import (
+    batch_of,
+    id_and_text,
+    map_batches,
+    schema_with_rows,
+    text_bytes,
+    with_rows,
+)
 from deskspark.llm.automaton import Automaton
 
 
@@ -154,14 +161,19 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind"
 
 
 def find_secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    rules: Sequence[Rule] = RULES,
+    keep_rows: bool = False,
 ) -> DataFrame:
     """``doc_id, spans`` for every row: where secrets lie, in code points, by start and then rule order.
 
-    A map without shuffle; memory is bounded by one batch and the automata,
-    which depend on the rules alone. Null and empty texts have no spans;
-    repeated rows each count; other columns are ignored; an empty table gives
-    an empty one. Spans of different rules may overlap.
+    With ``keep_rows`` a column ``row`` carries the document's own columns. A
+    map without shuffle; memory is bounded by one batch and the automata, which
+    depend on the rules alone. Null and empty texts have no spans; repeated rows
+    each count; other columns are ignored; an empty table gives an empty one.
+    Spans of different rules may overlap.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
 
@@ -174,14 +186,14 @@ def find_secrets(
                 [{"start": s, "end": e, "kind": k} for s, e, k in scanner.spans(raw[a:b])]
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())
             ]
-            yield batch_of(["doc_id", "spans"], [batch.column(0), found], [batch.column(0).type, _SPANS])
+            told = batch_of(["doc_id", "spans"], [batch.column(0), found], [batch.column(0).type, _SPANS])
+            yield with_rows(batch, told)
 
-    kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
-    return map_batches(rows, task, f"doc_id {kind}, spans array<struct<start:long,end:long,kind:string>>")
+    rows = id_and_text(docs, doc_id, text, keep_rows)
+    return map_batches(rows, task, schema_with_rows(rows, "spans array<struct<start:long,end:long,kind:string>>"))
 
 
-def masked(text, spans):
+def masked(text: Column, spans: Column) -> Column:
     """``text`` with every character in a span replaced by ``*``, as a column expression."""
     inside = F.aggregate(
         spans,
@@ -205,7 +217,7 @@ def masked(text, spans):
 def secret_counts(found: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The digest columns of the query, derived from the spans."""
 
-    def told(spans):
+    def told(spans: Column) -> Column:
         return F.array_join(
             F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
         )
