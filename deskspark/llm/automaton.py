@@ -42,6 +42,8 @@ class _Nfa:
     def _one(self, op, arg, start: int) -> int:
         if op is _ops.LITERAL:
             return self._step(start, frozenset([arg]))
+        if op is _ops.NOT_LITERAL:
+            return self._step(start, frozenset(range(256)) - {arg})
         if op is _ops.IN:
             return self._step(start, _members(arg))
         if op is _ops.SUBPATTERN:
