@@ -124,6 +124,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, rest_words:
 
 def _plan(table: pa.Table) -> pa.Table:
     """Copies for one source from its counts by length: all documents ``whole`` times, ``extra`` once more."""
+    table = table.sort_by("size")  # rows come in any order, the fit must not
     lengths = table.column("size").to_numpy().astype(np.int64)
     counts = table.column("n").to_numpy().astype(np.int64)
     target = table.column("target")[0].as_py()
