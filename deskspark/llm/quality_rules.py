@@ -8,7 +8,7 @@ expression; texts are never shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the base rules.
@@ -21,6 +21,7 @@ SYMBOLS = "[#*$%&|<>]"
 
 #: Buckets of the two multinomials: the table of ratios has this size, whatever the corpus.
 BUCKETS = 1 << 16
+#: Prior counts per bucket, on average.
 SMOOTHING = 1.0
 #: Documents whose mean log ratio per n-gram is below this are rejected.
 THRESHOLD = -0.15
@@ -99,7 +100,7 @@ def _buckets(words: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row ``ratios``: the log ratio of trusted to raw frequency for each bucket.
+    """``bucket, ratio``: the log ratio of trusted to raw frequency, for each bucket that occurs.
 
     All documents count into the raw multinomial, those whose id is among the
     (bounded) ``trusted_ids`` also into the trusted one. N-grams are summed
@@ -112,19 +113,13 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, doc_id: str, text: str)
         F.col("_trusted_id").isNotNull().alias("trusted"), F.explode(_buckets(words_of(F.col("_text")))).alias("bucket")
     )
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("aim"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    smooth = every.join(counts, "bucket", "left").select(
-        "bucket",
-        (F.coalesce("raw", F.lit(0)) + SMOOTHING).alias("raw"),
-        (F.coalesce("aim", F.lit(0)) + SMOOTHING).alias("aim"),
-    )
-    one = smooth.agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "raw", "aim"))).alias("b"),
-        F.log(F.sum("raw") / F.sum("aim")).alias("shift"),
-    )
-    return one.select(
-        F.transform("b", lambda x: (F.log(x["aim"] / x["raw"]) + F.col("shift")).cast("float")).alias("ratios")
-    )
+    # Prior counts of the trusted multinomial follow the raw one, so a small corpus
+    # pulls all ratios towards 0 instead of favouring what few documents hold.
+    prior, weight = F.lit(SMOOTHING * BUCKETS), F.col("aim") * F.col("raws") / F.col("raw")
+    whole = Window.partitionBy()  # over ``BUCKETS`` rows at most
+    ratio = F.log((weight + prior) / (F.col("aims") + prior)).cast("float")
+    summed = counts.select("*", F.sum("raw").over(whole).alias("raws"), F.sum("aim").over(whole).alias("aims"))
+    return summed.select("bucket", ratio.alias("ratio"))
 
 
 def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
@@ -151,8 +146,10 @@ def judge(
     decide alone.
     """
     # One value per bucket, a fixed number: folded into the plan as a literal array.
-    told = log_ratios(docs, trusted_sample(labels), doc_id, text).first()["ratios"]
-    body, table = F.col(text), F.split(F.lit(",".join(f"{x:.5g}" for x in told)), ",").cast("array<float>")
+    told = ["0"] * BUCKETS
+    for row in log_ratios(docs, trusted_sample(labels), doc_id, text).collect():
+        told[row["bucket"]] = f"{row['ratio']:.6g}"
+    body, table = F.col(text), F.split(F.lit(",".join(told)), ",").cast("array<float>")
 
     def measured(words: Column) -> Column:
         def mean(b: Column) -> Column:
