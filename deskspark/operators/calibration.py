@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deskspark.functions import scores as S
-from deskspark.operators.classes import MAX_CLASSES
 from deskspark.operators.sizes import computed_now
 
 # Bins of the calibration error and bounds of the temperature.
@@ -123,55 +124,57 @@ def fit_temperatures(
     curvature for all groups still moving. A Newton step that leaves the bracket
     known to hold the optimum goes to the bound it crosses, or to the geometric
     middle once that bound is known to be too far. Groups are models or splits,
-    not data: more than ``MAX_CLASSES`` of them is refused.
+    not data; one number of each is on the driver. A fit that is still moving
+    after ``max_passes`` is an error.
     """
     by = list(by)
     spark = df.sparkSession
     low, high = 1.0 / TEMPERATURE_BOUNDS[1], 1.0 / TEMPERATURE_BOUNDS[0]
-    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
-    data = df.select(
-        F.to_json(group).alias("g"),
+    keys = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    data = rows.select(
+        *keys,
         S.shifted_scores(F.col(logits)).alias("z"),
         F.col("label").alias("y"),
     ).persist()
     terms = S.loss_derivatives(F.col("z"), F.col("y"), F.col("beta"))
     slope_and_curvature = [F.avg("t.slope").alias("slope"), F.avg("t.curvature").alias("curvature")]
     try:
-        groups = [r["g"] for r in data.select("g").distinct().limit(MAX_CLASSES + 1).collect()]
+        groups = [tuple(r) for r in data.select(*keys).distinct().collect()]
         if not groups:
             raise ValueError("No rows to fit a temperature on")
-        if len(groups) > MAX_CLASSES:
-            raise ValueError(f"More than {MAX_CLASSES} groups to fit")
+        renamed = [T.StructField(f"_of_{f.name}", f.dataType) for f in data.select(*keys).schema]
+        told = T.StructType([*renamed, T.StructField("beta", T.DoubleType())])
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
         states = {g: {"beta": 1.0, "low": low, "high": high, "tried": set()} for g in groups}
         moving = set(groups)
         for _ in range(max_passes):
             betas = spark.createDataFrame(
-                [(g, states[g]["beta"]) for g in moving], "g string, beta double"
+                [(*g, states[g]["beta"]) for g in moving], told
             )
             found = (
-                data.join(F.broadcast(betas), "g")
-                .select("g", terms.alias("t"))
-                .groupBy("g")
+                data.join(betas, same)
+                .select(*keys, terms.alias("t"))
+                .groupBy(*keys)
                 .agg(*slope_and_curvature)
                 .collect()
             )
             for row in found:
-                state = states[row["g"]]
+                g = tuple(row)[: len(keys)]
+                state = states[g]
                 step = _next_beta(state, row["slope"], row["curvature"], tolerance)
                 if step == state["beta"]:
-                    moving.discard(row["g"])
+                    moving.discard(g)
                 state["beta"] = step
             if not moving:
                 break
     finally:
         data.unpersist()
-    fitted = spark.createDataFrame(
-        [(g, 1.0 / state["beta"]) for g, state in states.items()], "g string, temperature double"
-    )
-    if not by:
-        return fitted.select("temperature")
-    key = df.select(*by).schema
-    return fitted.select(F.from_json("g", key).alias("g"), "temperature").select("g.*", "temperature")
+    if moving:
+        raise ValueError(f"{len(moving)} temperatures still move after {max_passes} passes")
+    schema = T.StructType([*data.select(*keys).schema.fields, T.StructField("temperature", T.DoubleType())])
+    fitted = spark.createDataFrame([(*g, 1.0 / state["beta"]) for g, state in states.items()], schema)
+    return fitted.select(*by, "temperature")
 
 
 def fit_temperature(df: DataFrame, logits: str = "logits") -> float:

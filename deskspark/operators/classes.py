@@ -1,52 +1,45 @@
-"""The class list: the one table every other operator may treat as small."""
+"""The class list: names and ids, looked up by joins that are as large as the list is."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskspark.schemas import CLASSES
 
-# A class list longer than this is a data error, not a class list.
-MAX_CLASSES = 10_000
+def class_list(classes: DataFrame) -> DataFrame:
+    """``label_id, label_name`` of the list, whatever else it holds."""
+    return classes.select(F.col("label_id").cast("int").alias("label_id"), "label_name")
 
 
-def class_rows(classes: DataFrame) -> list:
-    """The class list on the driver, refused beyond ``MAX_CLASSES`` rows."""
-    rows = (
-        classes.select(F.col("label_id").cast("int"), "label_name")
-        .limit(MAX_CLASSES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"Class list has more than {MAX_CLASSES} rows")
-    return sorted((tuple(r) for r in rows), key=lambda r: r[0])
-
+def id_array(classes: DataFrame, most: int | None = None) -> DataFrame:
+    """One row, one column: the class ids in order, all of them or the first ``most``."""
+    ids = F.array_sort(F.collect_set(F.col("label_id").cast("int")))
+    return classes.agg((ids if most is None else F.slice(ids, 1, most)).alias("ids"))
 
-def small_classes(classes: DataFrame) -> DataFrame:
-    """Broadcast copy of the class list, its size checked by ``class_rows``."""
-    local = classes.sparkSession.createDataFrame(class_rows(classes), CLASSES)
-    return F.broadcast(local)
 
-
-def class_ids(classes: DataFrame) -> list[int]:
-    return [r[0] for r in class_rows(classes)]
+def name_array(classes: DataFrame) -> DataFrame:
+    """One row, one column: class names by class id, null where an id is missing."""
+    listed = class_list(classes)
+    places = listed.agg(F.max("label_id").alias("last")).select(
+        F.explode(F.sequence(F.lit(0), F.col("last"))).alias("label_id")
+    )
+    rows = F.array_sort(F.collect_list(F.struct("label_id", "label_name")))
+    return places.join(listed, "label_id", "left").agg(F.transform(rows, lambda r: r["label_name"]).alias("names"))
 
 
 def each_class(groups: DataFrame, classes: DataFrame, name: str = "label_id") -> DataFrame:
     """Every group with every class id, so that absent classes get a row.
 
-    ``groups`` holds distinct group keys; the class ids are a checked constant.
+    ``groups`` holds distinct group keys; the result is as large as both say.
     """
-    ids = F.array(*[F.lit(i) for i in class_ids(classes)]).cast("array<int>")
-    return groups.withColumn(name, F.explode(ids))
+    return groups.withColumn(name, F.explode(id_array(classes).scalar()))
 
 
 def with_class_names(df: DataFrame, classes: DataFrame, **names: str) -> DataFrame:
     """Add ``new_column=id_column`` name look-ups, e.g. ``class_name="label_id"``."""
-    small = small_classes(classes)
+    listed = class_list(classes)
     for new, id_column in names.items():
-        lookup = small.select(
+        lookup = listed.select(
             F.col("label_id").alias(f"_{new}_id"), F.col("label_name").alias(new)
         )
         df = df.join(lookup, df[id_column] == F.col(f"_{new}_id"), "left").drop(f"_{new}_id")

@@ -10,6 +10,7 @@ percentiles need the predictions again.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +105,9 @@ def _join_groups(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
     """Join tables with one row per group."""
     whole = parts[0]
     for part in parts[1:]:
-        whole = whole.join(part, list(by))
+        of = part.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+        whole = whole.join(of, same).drop(*[f"_of_{c}" for c in by])
     return whole
 
 
@@ -136,7 +139,6 @@ def evaluation_tables(
     by = list(by)
     cells = stored_cells(df, by, n_bins)
     counts = cell_counts(cells, by)
-    matrix = metrics.confusion_matrix(counts, classes, by)
     percentiles = {f"latency_ms_{p}": q for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
     return {
         "metrics": _join_groups(
@@ -149,7 +151,7 @@ def evaluation_tables(
             by,
         ),
         "per_class": metrics.per_class_metrics(counts, classes, by),
-        "top_confusion_pairs": metrics.top_confusion_pairs(matrix, classes, top_pairs, by),
+        "top_confusion_pairs": metrics.top_confusion_pairs(counts, classes, top_pairs, by),
         "cost_summary": cost.cost_breakdown(cell_costs(cells, by)),
     }
 

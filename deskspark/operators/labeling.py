@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskspark.functions.scores import computed_once
 from deskspark.functions.teacher import answered_intent, token_cost, valid_length
-from deskspark.operators.classes import small_classes, with_class_names
+from deskspark.operators.classes import class_list, with_class_names
 from deskspark.operators.cost import TEACHER_RATES
 from deskspark.operators.prefix import exact_percentiles, running_totals
 from deskspark.schemas import UNKNOWN_ID
@@ -30,7 +31,7 @@ def classify_responses(df: DataFrame, classes: DataFrame, response: str = "respo
     ``unknown_intent``; anything that is not an object with a string ``intent``
     has an empty name, id -1 and ``parse_error``.
     """
-    names = small_classes(classes).select(
+    names = class_list(classes).select(
         F.col("label_name").alias("_intent"), F.col("label_id").alias("_id")
     )
     parsed = df.select("*", computed_once(_intent=answered_intent(F.col(response))))
@@ -94,7 +95,9 @@ def labeling_summary(
     )
     latency = exact_percentiles(df, "latency_ms", PERCENTILES, by)
     if by:
-        totals = totals.join(latency, by, "left")
+        of = latency.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+        totals = totals.join(of, same, "left")
     else:
         totals = totals.withColumns(
             {p: latency.select(p).scalar() for p in PERCENTILES}
@@ -205,9 +208,15 @@ def budget_cutoff(
     """Rows in ``row_id`` order up to and including the one that crosses the cap.
 
     Token counts are added up as integers and priced afterwards, so the cut does
-    not depend on how the rows are partitioned.
+    not depend on how the rows are partitioned. Rows in slices that begin beyond
+    the cap are dropped before anything moves.
     """
-    totals = running_totals(df, [], [F.col("row_id").asc()], ["input_tokens", "output_tokens"])
+
+    def paid(before: dict[str, Column]) -> Column:
+        return token_cost(before["input_tokens"], before["output_tokens"], rates) <= max_cost_usd
+
+    tokens = ["input_tokens", "output_tokens"]
+    totals = running_totals(df, [], ["row_id"], tokens, wanted=paid)
     spent = token_cost(F.col("running_input_tokens"), F.col("running_output_tokens"), rates)
     before = token_cost(
         F.col("running_input_tokens") - F.col("input_tokens"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
-from deskspark.operators.classes import class_ids, each_class, with_class_names
+from deskspark.operators.classes import class_list, each_class, id_array, with_class_names
 from deskspark.operators.sizes import computed_now
 
 
@@ -73,7 +73,7 @@ def class_scores(counts: DataFrame, classes: DataFrame, by: Sequence[str] = ())
         cells.unionByName(zeros)
         .groupBy(*by, "label_id")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
-        .where(F.col("label_id").isin(class_ids(classes)))
+        .join(class_list(classes), "label_id", "left_semi")
     )
     precision = _ratio(F.col("tp"), F.col("predicted"))
     recall = _ratio(F.col("tp"), F.col("support"))
@@ -118,11 +118,29 @@ def confusion_matrix(
 
 
 def top_confusion_pairs(
-    matrix: DataFrame, classes: DataFrame, top_n: int = 20, by: Sequence[str] = ()
+    counts: DataFrame, classes: DataFrame, top_n: int = 20, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Worst off-diagonal cells by value, then class ids; zero cells fill the tail."""
+    """Worst off-diagonal cells by value, then class ids; zero cells fill the tail.
+
+    Ranks the cells that occur. Zero cells matter only where fewer than
+    ``top_n`` occur, and then the first ones in class order are among the first
+    ``2 * top_n + 1`` classes, so no other zero cell is made.
+    """
+    by = list(by)
+    row = Window.partitionBy(*by, "label")
+    cells = counts.withColumn("value", _ratio(F.col("n"), F.sum("n").over(row)))
+    groups = counts.select(*by).distinct() if by else counts.groupBy().agg(F.lit(1).alias("_one"))
+    few = id_array(classes, 2 * top_n + 1).scalar()
+    grid = groups.withColumn("label", F.explode(few)).withColumn("pred", F.explode(few))
+    zeros = grid.select(*by, "label", "pred", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("value"))
+    wrong = (
+        cells.select(*by, "label", "pred", "n", "value")
+        .unionByName(zeros)
+        .where("label <> pred")
+        .groupBy(*by, "label", "pred")
+        .agg(F.max("n").alias("n"), F.max("value").alias("value"))
+    )
     order = [F.col("value").desc(), F.col("label").asc(), F.col("pred").asc()]
-    wrong = matrix.where("label <> pred")
     if by:
         place = Window.partitionBy(*by).orderBy(*order)
         wrong = wrong.withColumn("_place", F.row_number().over(place))

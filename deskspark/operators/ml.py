@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
 from deskspark.operators.sampling import class_sizes
-from deskspark.operators.sizes import broadcast_checked
+from deskspark.operators.sizes import computed_now
 
 
 def train_classifier(
@@ -27,13 +27,10 @@ def train_classifier(
     Spark averages the loss, so the penalty is divided by the total weight,
     which under balanced weights is the row count.
     """
-    sizes = class_sizes(train, label)
-    n, k = sum(sizes.values()), len(sizes)
-    weights = train.sparkSession.createDataFrame(
-        [(c, n / (k * size)) for c, size in sizes.items()],
-        f"{label} {train.schema[label].dataType.simpleString()}, class_weight double",
-    )
-    rows = train.join(broadcast_checked(weights), label).select(
+    sizes = computed_now(class_sizes(train.where(F.col(label).isNotNull()), label))
+    n, k = sizes.agg(F.sum("n"), F.count("*")).first()
+    weights = sizes.select(label, (F.lit(float(n)) / (F.lit(k) * F.col("n"))).alias("class_weight"))
+    rows = train.join(weights, label).select(
         F.col(label).cast("double").alias("label"),
         array_to_vector(F.col(embedding).cast("array<double>")).alias("features"),
         "class_weight",

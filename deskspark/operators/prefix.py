@@ -1,48 +1,95 @@
 """Running totals and exact order statistics over data of any size.
 
 A window over a hot key (or over no key at all) runs in one task. Here the rows
-are range-partitioned by (key, order) instead, so a key holding most of the
-rows is spread over many slices; each slice sums on its own and the totals of
-earlier slices are added on top.
+of a key are cut into slices along the order, so a key holding most of the rows
+is spread over many tasks; each slice sums on its own and the totals of earlier
+slices are added on top.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskspark.operators.sizes import broadcast_checked, computed_now
-from deskspark.session import shared_folder
+from deskspark.operators.sizes import computed_now
+
+#: Rows of a bounded sample for each slice bound, and slices at most.
+SAMPLED_PER_SLICE = 32
+MOST_SLICES = 4096
+
+
+def _directed(order: Sequence[str]) -> list[tuple[str, bool]]:
+    """Column and whether it falls, from names with a leading minus for falling ones."""
+    return [(c.removeprefix("-"), c.startswith("-")) for c in order]
+
+
+def _sorting(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).desc() if falls else F.col(c).asc() for c, falls in _directed(order)]
+
+
+def slice_number(df: DataFrame, order: Sequence[str], slices: int) -> Column:
+    """The slice of a row, a function of its ``order`` columns alone.
+
+    Bounds are quantiles of a bounded sample and stand in the plan as literals;
+    a binary search finds the place of a row among them. A retried task
+    therefore places its rows as the first try did. Nulls go with the first
+    slice of a rising and the last of a falling column, as they sort.
+    """
+    names = _directed(order)
+    mark = F.xxhash64(*[c for c, _ in names])
+    few = df.select(*[c for c, _ in names]).orderBy(mark).limit(SAMPLED_PER_SLICE * slices)
+    rows = few.orderBy(*_sorting(order)).collect() if slices > 1 else []
+    bounds = list(dict.fromkeys(rows[len(rows) * i // slices] for i in range(1, slices)) if rows else [])
+    if not bounds:
+        return F.lit(0)
+    lists = [F.array(*[F.lit(b[i]).cast(df.schema[c].dataType) for b in bounds]) for i, (c, _) in enumerate(names)]
+
+    def at_or_after(place: Column) -> Column:
+        """Whether the row sorts at or after the bound at a place."""
+        told = F.lit(True)
+        for (c, falls), values in reversed(list(zip(names, lists))):
+            mine, bound = F.col(c), F.get(values, place)
+            past = (mine < bound) if falls else (mine > bound)
+            told = F.coalesce(past | ((mine == bound) & told), F.lit(falls))
+        return told
+
+    step, found = 1 << (len(bounds).bit_length() - 1), F.lit(0)
+    steps = []
+    while step:
+        steps.append(F.lit(step))
+        step //= 2
+    inside = len(bounds)
+    return F.aggregate(
+        F.array(*steps),
+        found,
+        lambda at, s: F.when((at + s <= inside) & at_or_after(at + s - 1), at + s).otherwise(at),
+    )
 
 
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str],
     sums: Sequence[str],
     slices: int | None = None,
+    wanted: Callable[[dict[str, Column]], Column] | None = None,
 ) -> DataFrame:
     """Adds ``running_<c>`` for each integer column ``c`` in ``sums``.
 
-    ``order`` must be a total order within ``by``. The sums should be integers:
-    their total then does not depend on where the slices fall. Slice bounds come
-    from sampling, so the placed rows are checkpointed before they are read
-    twice; a lost executor cannot change which slice a row is in.
+    ``order`` names columns, with a minus for falling order, and must be a total
+    order within ``by``. The sums should be integers: their total then does not
+    depend on where the slices fall. Totals of the slices are added up before
+    rows move, and rows move once, to their slice. ``wanted`` may rule out
+    slices by the totals before them; their rows are left out and never move.
     """
     spark = df.sparkSession
-    shared_folder(spark)
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        df.repartitionByRange(n, *[F.col(c) for c in by], *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
-
+    n = min(slices or int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_SLICES)
+    placed = df.withColumn("_slice", slice_number(df, order, n))
     totals = placed.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_total_{c}") for c in sums])
-    # At most one row per slice and key boundary, so this window stays small.
+    # At most ``n`` rows per key.
     earlier = (
         Window.partitionBy(*(by or [F.lit(0)]))
         .orderBy("_slice")
@@ -53,19 +100,20 @@ def running_totals(
         F.col("_slice").alias("_by_slice"),
         *[F.coalesce(F.sum(f"_total_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums],
     )
-
+    if wanted is not None:
+        offsets = offsets.where(wanted({c: F.col(f"_before_{c}") for c in sums}))
+    same = F.col("_slice") == F.col("_by_slice")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = placed.join(computed_now(offsets), same)
     inside = (
         Window.partitionBy(*by, "_slice")
-        .orderBy(*order)
+        .orderBy(*_sorting(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = placed.select("*", *[F.sum(c).over(inside).alias(f"_local_{c}") for c in sums])
-    same = F.col("_slice") == F.col("_by_slice")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return local.join(offsets, same).select(
+    return joined.select(
         *df.columns,
-        *[(F.col(f"_before_{c}") + F.col(f"_local_{c}")).alias(f"running_{c}") for c in sums],
+        *[(F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"running_{c}") for c in sums],
     )
 
 
@@ -111,7 +159,7 @@ def _brackets(rows: DataFrame, by: list[str], fractions: Sequence[float], accura
             F.when(holds, below).otherwise(0).alias(f"_below{i}"),
         ]
     counted = (
-        rows.join(broadcast_checked(proposed), _same_group(by))
+        rows.join(proposed, _same_group(by))
         .groupBy(*proposed.columns)
         .agg(*counts)
     )
@@ -138,7 +186,7 @@ def exact_percentiles(
         *(by or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_value")
     )
     shares = list(fractions.values())
-    brackets = broadcast_checked(_brackets(rows, keys, shares, accuracy))
+    brackets = _brackets(rows, keys, shares, accuracy)
     inside = [
         F.col("_value").between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(shares))
     ]
@@ -162,7 +210,7 @@ def exact_percentiles(
         .groupBy(*keys, "_f", "_value", "_share", "_below", "_size")
         .agg(F.count("*").alias("_n"))
     )
-    ranked = running_totals(counts, [*keys, "_f"], [F.col("_value").asc()], ["_n"])
+    ranked = running_totals(computed_now(counts), [*keys, "_f"], ["_value"], ["_n"])
 
     upto = F.col("_below") + F.col("running__n")
     place = F.col("_share") * (F.col("_size") - 1)

@@ -16,87 +16,82 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskspark.operators.classes import MAX_CLASSES
-from deskspark.operators.sizes import broadcast_checked
+from deskspark.operators.sizes import computed_now
 
 # Rows ranked in one task at most, roughly; more buckets are used beyond it.
 ROWS_PER_BUCKET = 100_000
-_MAX_BITS = 20
+_TICKET_BITS = 32
 
 
 def ticket(seed: int, row_id: str = "row_id") -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
 
 
-def quotas(sizes: dict, n: int) -> dict:
-    """Split ``n`` over classes by size; leftovers go to the largest remainders.
+def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
+    return df.groupBy(label).agg(F.count("*").alias("n"))
 
-    Equal remainders are settled by class order.
-    """
-    total = sum(sizes.values())
-    exact = {c: n * size / total for c, size in sizes.items()}
-    parts = {c: math.floor(share) for c, share in exact.items()}
-    left = n - sum(parts.values())
-    by_remainder = sorted(exact, key=lambda c: (-(exact[c] - parts[c]), c))
-    for c in by_remainder[:left]:
-        parts[c] += 1
-    return parts
 
+def quotas(sizes: DataFrame, n: int, label: str = "label") -> DataFrame:
+    """``label, n, quota``: ``n`` split over classes by size; leftovers go to the largest remainders.
 
-def class_sizes(df: DataFrame, label: str = "label") -> dict:
-    rows = df.groupBy(label).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return {r[0]: r[1] for r in rows}
+    Equal remainders are settled by class order. Works on a class-sized table.
+    """
+    whole = Window.partitionBy()
+    exact = F.lit(float(n)) * F.col("n") / F.sum("n").over(whole)
+    parts = sizes.select(label, "n", exact.alias("exact"), F.floor(exact).alias("part"))
+    left = F.lit(n) - F.sum("part").over(whole)
+    place = F.row_number().over(Window.partitionBy().orderBy((F.col("exact") - F.col("part")).desc(), label))
+    more = F.when(place <= left, 1).otherwise(0)
+    return parts.select(label, "n", (F.col("part") + more).alias("quota"))
 
 
-def _cuts(
-    df: DataFrame, wanted: dict, sizes: dict, seed: int, label: str, rows_per_bucket: int
-) -> DataFrame:
+def _cuts(df: DataFrame, wanted: DataFrame, largest: int, seed: int, label: str, rows_per_bucket: int) -> DataFrame:
     """``label, cut_ticket, cut_id``: the last row of each class's sample."""
-    spark = df.sparkSession
-    largest = max(sizes.values())
-    bits = min(_MAX_BITS, max(0, math.ceil(math.log2(max(1.0, largest / rows_per_bucket)))))
-    # Five hex digits hold the 20 leading bits.
-    lead = F.conv(F.substring(ticket(seed), 1, 5), 16, 10).cast("int")
-    bucket = F.shiftright(lead, _MAX_BITS - bits)
-    label_type = df.schema[label].dataType.simpleString()
-    quota = spark.createDataFrame(
-        [(c, q) for c, q in wanted.items() if q > 0], f"{label} {label_type}, quota long"
-    )
+    bits = min(_TICKET_BITS, max(0, math.ceil(math.log2(max(1.0, largest / rows_per_bucket)))))
+    lead = F.conv(F.substring(ticket(seed), 1, _TICKET_BITS // 4), 16, 10).cast("long")
+    bucket = F.shiftright(lead, _TICKET_BITS - bits)
+    quota = wanted.where("quota > 0").select(F.col(label).alias("_label"), "quota")
     earlier = Window.partitionBy(label).orderBy("bucket")
-    ends = (
+    ends = computed_now(
         df.groupBy(label, bucket.alias("bucket"))
         .agg(F.count("*").alias("n"))
         .withColumn("upto", F.sum("n").over(earlier))
-        .join(F.broadcast(quota), label)
+        .join(quota, F.col(label).eqNullSafe(F.col("_label")))
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select(label, "bucket", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
-    )
-    place = Window.partitionBy(label).orderBy("cut_ticket", "cut_id")
-    return (
-        df.select(
-            label,
-            bucket.alias("bucket"),
-            ticket(seed).alias("cut_ticket"),
-            F.col("row_id").alias("cut_id"),
+        .select(
+            F.col(label).alias("_label"),
+            F.col("bucket").alias("_bucket"),
+            (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"),
         )
-        .join(broadcast_checked(ends), [label, "bucket"])
+    )
+    place = Window.partitionBy("_label").orderBy("cut_ticket", "cut_id")
+    rows = df.select(
+        label, bucket.alias("bucket"), ticket(seed).alias("cut_ticket"), F.col("row_id").alias("cut_id")
+    )
+    here = F.col(label).eqNullSafe(F.col("_label")) & (F.col("bucket") == F.col("_bucket"))
+    return computed_now(
+        rows.join(ends, here)
         .withColumn("place", F.row_number().over(place))
         .where(F.col("place") == F.col("rest"))
-        .select(label, "cut_ticket", "cut_id")
+        .select("_label", "cut_ticket", "cut_id")
     )
 
 
 def _mark_sampled(
-    df: DataFrame, wanted: dict, sizes: dict, seed: int, label: str, rows_per_bucket: int
+    df: DataFrame, wanted: DataFrame, largest: int, seed: int, label: str, rows_per_bucket: int
 ) -> DataFrame:
-    cuts = _cuts(df, wanted, sizes, seed, label, rows_per_bucket)
-    marked = df.join(broadcast_checked(cuts), label, "left")
+    cuts = _cuts(df, wanted, largest, seed, label, rows_per_bucket)
+    marked = df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
     mine = F.struct(ticket(seed).alias("t"), F.col("row_id").alias("i"))
     cut = F.struct(F.col("cut_ticket").alias("t"), F.col("cut_id").alias("i"))
     inside = F.col("cut_ticket").isNotNull() & (mine <= cut)
-    return marked.withColumn("sampled", inside).drop("cut_ticket", "cut_id")
+    return marked.withColumn("sampled", inside).drop("_label", "cut_ticket", "cut_id")
+
+
+def _extent(sizes: DataFrame) -> tuple[int, int, int]:
+    """Rows in all, rows of the largest class, and classes."""
+    row = sizes.agg(F.sum("n"), F.max("n"), F.count("*")).first()
+    return row[0] or 0, row[1] or 0, row[2]
 
 
 def stratified_subsample(
@@ -106,20 +101,21 @@ def stratified_subsample(
     label: str = "label",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """``n`` rows in the class proportions of ``df``.
+    """``n`` rows in the class proportions of ``df``; rows without a label are a class of their own.
 
     All rows if ``n`` covers them; a plain random sample if ``n`` is below the
     number of classes.
     """
-    sizes = class_sizes(df, label)
-    total = sum(sizes.values())
+    sizes = computed_now(class_sizes(df, label))
+    total, largest, n_classes = _extent(sizes)
     if n >= total:
         return df
-    if n < len(sizes):
+    if n < n_classes:
         pooled = df.withColumn("_all", F.lit(0))
-        marked = _mark_sampled(pooled, {0: n}, {0: total}, seed, "_all", rows_per_bucket)
+        one = df.sparkSession.createDataFrame([(0, n)], "_all int, quota long")
+        marked = _mark_sampled(pooled, one, total, seed, "_all", rows_per_bucket)
         return marked.where("sampled").drop("sampled", "_all")
-    marked = _mark_sampled(df, quotas(sizes, n), sizes, seed, label, rows_per_bucket)
+    marked = _mark_sampled(df, quotas(sizes, n, label), largest, seed, label, rows_per_bucket)
     return marked.where("sampled").drop("sampled")
 
 
@@ -130,10 +126,14 @@ def stratified_split(
     label: str = "label",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Add ``split``: ``val`` for ``val_share`` of each class, else ``train``."""
-    sizes = class_sizes(df, label)
-    n_val = math.ceil(val_share * sum(sizes.values()))
-    marked = _mark_sampled(df, quotas(sizes, n_val), sizes, seed, label, rows_per_bucket)
+    """Add ``split``: ``val`` for ``val_share`` of each class, else ``train``.
+
+    Rows without a label are a class of their own.
+    """
+    sizes = computed_now(class_sizes(df, label))
+    total, largest, _ = _extent(sizes)
+    wanted = quotas(sizes, math.ceil(val_share * total), label)
+    marked = _mark_sampled(df, wanted, largest, seed, label, rows_per_bucket)
     return marked.withColumn("split", F.when(F.col("sampled"), "val").otherwise("train")).drop(
         "sampled"
     )

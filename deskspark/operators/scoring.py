@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskspark.functions import scores as S
-from deskspark.operators.classes import class_rows
+from deskspark.operators.classes import name_array
 from deskspark.operators.labeling import validate_messages
 from deskspark.operators.redaction import redact_messages
 from deskspark.schemas import SCORES
@@ -49,27 +49,21 @@ def with_probabilities(
     return df.withColumn("probs", S.softmax(F.col(logits), temperature))
 
 
-def class_probabilities(df: DataFrame, key: str = "row_id", probs: str = "probs") -> DataFrame:
-    """Long form ``key, label_id, p``."""
-    return df.select(key, F.posexplode(probs).alias("label_id", "p"))
-
-
 def top_classes(
     df: DataFrame, classes: DataFrame, k: int = 5, probs: str = "probs"
 ) -> DataFrame:
     """Add ``predicted_intent, confidence, top_k_intents, top_k_confidences``."""
-    rows = class_rows(classes)
-    names = F.create_map(*[F.lit(x) for pair in rows for x in pair])
-    ranked = df.withColumn("_top", S.top_k(F.col(probs), k))
-    top = F.col("_top")
+    ranked = df.withColumn("_names", name_array(classes).scalar())
+    ranked = ranked.select("*", S.computed_once(_top=S.top_k(F.col(probs), k)))
+    top, names = F.col("_top"), F.col("_names")
     return ranked.withColumns(
         {
-            "predicted_intent": F.element_at(names, F.get(top, F.lit(0))["label_id"]),
+            "predicted_intent": F.get(names, F.get(top, F.lit(0))["label_id"]),
             "confidence": F.get(top, F.lit(0))["p"],
-            "top_k_intents": F.transform(top, lambda t: F.element_at(names, t["label_id"])),
+            "top_k_intents": F.transform(top, lambda t: F.get(names, t["label_id"])),
             "top_k_confidences": F.transform(top, lambda t: t["p"]),
         }
-    ).drop("_top")
+    ).drop("_top", "_names")
 
 
 def request_id(given: Column) -> Column:

@@ -1,42 +1,18 @@
-"""Small tables: broadcast behind a measured size, and results kept after one run."""
+"""Intermediate tables that are read several times, written once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from deskspark.session import shared_folder
+from deskspark.session import run_folder
 
-MAX_BROADCAST_ROWS = 100_000
 
+def computed_now(df: DataFrame) -> DataFrame:
+    """The result of running ``df`` once, as a table in the shared folder.
 
-def _local_copy(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """``df`` as a local table, or None if it has more than ``max_rows`` rows."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows.
-
-    Meant for class-sized tables. The check fetches at most ``max_rows + 1``
-    rows and keeps them, so the small table is not computed again. A larger
-    table comes back unmarked and joins by shuffle.
-    """
-    local = _local_copy(df, max_rows)
-    return df if local is None else F.broadcast(local)
-
-
-def computed_now(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The result of running ``df`` once, for class-sized tables read several times.
-
-    Without it every table derived from a group-by would scan the data again.
-    Up to ``max_rows`` rows are held as a local table, more are checkpointed.
+    Lineage ends there. The planner knows the table's bytes, so it broadcasts
+    the table in a join exactly if they are within the session's limit.
     """
-    local = _local_copy(df, max_rows)
-    if local is not None:
-        return local
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = run_folder(df.sparkSession, "computed")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

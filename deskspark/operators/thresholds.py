@@ -6,13 +6,14 @@ Predictions carry ``row_id, label, pred, conf`` plus optional grouping columns.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskspark.operators.classes import each_class, with_class_names
 from deskspark.operators.prefix import running_totals
-from deskspark.operators.sizes import broadcast_checked, computed_now
+from deskspark.operators.sizes import computed_now
 
 # Fixed value: a threshold no confidence reaches, so the class is never auto-routed.
 ESCALATE_ALL = 1.01
@@ -23,7 +24,16 @@ _CONFIDENCE_STEPS = 4096
 
 def _check_target(target: float) -> None:
     if not 0.0 < target <= 1.0:
-        raise ValueError(f"target_precision must be in (0, 1], got {target}")
+        raise ValueError(f"A precision of {target} cannot be a target: it must lie above 0 and up to 1")
+
+
+def _renamed(table: DataFrame, by: Sequence[str]) -> DataFrame:
+    return table.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "pred"]})
+
+
+def _same(by: Sequence[str]) -> Column:
+    """Same group, a group without a name included, and same predicted class."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "pred"]])
 
 
 def running_precision(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -39,7 +49,7 @@ def running_precision(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.lit(1).alias("seen"),
         (F.col("label") == F.col("pred")).cast("int").alias("hit"),
     )
-    order = [F.col("conf").desc(), F.col("row_id").asc()]
+    order = ["-conf", "row_id"]
     totals = running_totals(rows, [*by, "pred"], order, ["seen", "hit"])
     return totals.withColumn(
         "running_precision", F.col("running_hit") / F.col("running_seen")
@@ -104,7 +114,7 @@ def fit_thresholds(
     spans = computed_now(_undecided(df, target_precision, by))
     step = F.floor(F.col("conf") * _CONFIDENCE_STEPS).cast("int")
     open_rows = (
-        df.join(broadcast_checked(spans), [*by, "pred"])
+        df.join(_renamed(spans, by), _same(by))
         .where(step.between(F.col("low"), F.col("high")))
         .select(
             *by,
@@ -117,7 +127,7 @@ def fit_thresholds(
             "hits_above",
         )
     )
-    order = [F.col("conf").desc(), F.col("row_id").asc()]
+    order = ["-conf", "row_id"]
     totals = running_totals(open_rows, [*by, "pred"], order, ["seen", "hit"])
     precision = (F.col("hits_above") + F.col("running_hit")) / (
         F.col("n_above") + F.col("running_seen")
@@ -141,9 +151,10 @@ def fit_thresholds(
 def apply_thresholds(df: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``threshold`` and ``accepted``; a class without a threshold is never accepted."""
     limits = thresholds.select(*by, F.col("label_id").alias("pred"), "threshold")
-    joined = df.join(broadcast_checked(limits), [*by, "pred"], "left")
+    joined = df.join(_renamed(limits, by), _same(by), "left")
     limit = F.coalesce(F.col("threshold"), F.lit(ESCALATE_ALL))
-    return joined.withColumn("threshold", limit).withColumn(
+    named = joined.drop(*[f"_of_{c}" for c in [*by, "pred"]])
+    return named.withColumn("threshold", limit).withColumn(
         "accepted", F.col("conf") >= F.col("threshold")
     )
 
@@ -182,7 +193,9 @@ def threshold_summary(
     sums = parts.groupBy(*by, "label_id").agg(
         *[F.sum(c).alias(c) for c in ("n_accepted", "n_true", "n_right")]
     )
-    joined = thresholds.join(sums, [*by, "label_id"], "left")
+    of = sums.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "label_id"]})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "label_id"]])
+    joined = thresholds.join(of, same, "left")
     zero = F.lit(0.0)
     return with_class_names(
         joined.select(
@@ -223,5 +236,7 @@ def routing_stats(df: DataFrame, thresholds: DataFrame, by: Sequence[str] = ())
     never = F.count_if(F.col("threshold") == ESCALATE_ALL)
     closed = thresholds.groupBy(*by).agg(never.alias("n_classes_escalate_all"))
     if by:
-        return stats.join(closed, by)
+        of = closed.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+        return stats.join(of, same).drop(*[f"_of_{c}" for c in by])
     return stats.withColumn("n_classes_escalate_all", closed.scalar())

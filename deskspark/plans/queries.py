@@ -13,7 +13,6 @@ from deskspark.functions import teacher as T
 from deskspark.operators import calibration, cost, evaluation, labeling, metrics, ml
 from deskspark.operators import label_job as jobs
 from deskspark.operators import redaction, sampling, scoring, taxonomy, thresholds
-from deskspark.operators.classes import class_ids
 from deskspark.operators.prefix import exact_percentiles
 from deskspark.plans import tables as P
 from deskspark.session import run_folder
@@ -391,8 +390,8 @@ def softmax_temperature(spark, folder):
 
 @query
 def class_projection(spark, folder):
-    """Student scores of the more frequent half of the classes, on the full list."""
-    sizes = sampling.class_sizes(P.items(spark, folder))
+    """Scores of the more frequent half of the classes, on the full list."""
+    sizes = {r["label"]: r["n"] for r in sampling.class_sizes(P.items(spark, folder)).collect()}
     middle = sum(sizes.values()) / len(sizes)
     seen = sorted(c for c, n in sizes.items() if n >= middle)
     ids = F.array(*[F.lit(c) for c in seen])
@@ -405,7 +404,7 @@ def class_projection(spark, folder):
 
 @query
 def teacher_one_hot(spark, folder):
-    n = len(class_ids(P.label_map(spark, folder)))
+    n = P.label_map(spark, folder).count()
     rows = P.teacher_labels(spark, folder)
     return _long(rows.select("row_id", "teacher_intent_id"), S.one_hot(F.col("teacher_intent_id"), n))
 
@@ -462,8 +461,8 @@ def confusion_matrix(spark, folder):
 @query
 def top_confusion_pairs(spark, folder):
     classes = P.label_map(spark, folder)
-    matrix = _round(metrics.confusion_matrix(_counts(spark, folder), classes, BY), "value", digits=9)
-    return metrics.top_confusion_pairs(matrix, classes, 20, BY).drop("n")
+    found = metrics.top_confusion_pairs(_counts(spark, folder), classes, 20, BY).drop("n")
+    return _round(found, "value", digits=9)
 
 
 @query
@@ -645,7 +644,7 @@ def _golden_rows(spark, folder) -> DataFrame:
     columns = ["model", "row_id", "label", "pred", "conf", "latency_ms"]
     tokens = ["input_tokens", "output_tokens"]
     classes = P.label_map(spark, folder)
-    taught = P.teacher_predictions(spark, folder, len(class_ids(classes)))
+    taught = P.teacher_predictions(spark, folder, classes.count())
     own = P.predictions(spark, folder).where("split = 'golden'").select(*columns)
     return own.unionByName(
         taught.where("split = 'golden'").select(*columns, *tokens), allowMissingColumns=True

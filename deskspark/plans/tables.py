@@ -16,15 +16,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from deskspark.functions import scores as S
-from deskspark.operators.classes import class_rows
 from deskspark.operators.label_job import Answer
 from deskspark.operators.labeling import classify_responses, enrich_labels
 from deskspark.operators.metrics import flatten_scores
-from deskspark.schemas import CLASSES, TEACHER_LABELS
-from deskspark.session import run_folder
+from deskspark.operators.sizes import computed_now
+from deskspark.schemas import TEACHER_LABELS
 
 STUDENT, BASELINE, TEACHER = "student", "baseline", "teacher"
 STUDENT_SHARPNESS, BASELINE_SHARPNESS = 30.0, 40.0
@@ -60,39 +58,12 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
-_label_rows: dict[tuple[str, str], list] = {}
-
-
-def stored(
-    spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]
-) -> DataFrame:
-    """A derived table, written once per application and read from then on.
-
-    Scores and teacher answers are stored tables in practice: metrics read them
-    several times and prune their columns.
-    """
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _stored:
-        path = run_folder(spark, name)
-        table = make()
-        table.write.parquet(path)
-        _stored[key] = (path, table.schema)
-    path, schema = _stored[key]
-    return spark.read.schema(schema).parquet(path)
-
-
 def label_map(spark: SparkSession, folder: str) -> DataFrame:
-    """The class list: found once per application, then a local table like a stored one."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _label_rows:
-        labels = read(spark, folder, "embeddings").select("label").distinct()
-        _label_rows[key] = class_rows(
-            labels.select(
-                F.col("label").alias("label_id"), F.concat(F.lit("class_"), "label").alias("label_name")
-            )
-        )
-    return spark.createDataFrame(_label_rows[key], CLASSES)
+    """The class list of the embeddings, written once per call and as small as it is."""
+    labels = read(spark, folder, "embeddings").select("label").distinct()
+    return computed_now(
+        labels.select(F.col("label").alias("label_id"), F.concat(F.lit("class_"), "label").alias("label_name"))
+    )
 
 
 def centroids(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,8 +116,12 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str, models: Sequence[str] = (STUDENT, BASELINE)) -> DataFrame:
-    """``model, row_id, split, label, logits, latency_ms`` for each model and row."""
-    rows = stored(spark, folder, "scores", lambda: _scores(spark, folder))
+    """``model, row_id, split, label, logits, latency_ms`` for each model and row.
+
+    Written for this call only: scores are stored tables in practice, and
+    metrics read them several times and prune their columns.
+    """
+    rows = computed_now(_scores(spark, folder))
     return rows.where(F.col("model").isin(*models))
 
 
@@ -189,7 +164,7 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
 
 def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Raw JSON answers with token counts and latency, as a labeling run stores them."""
-    return stored(spark, folder, "answers", lambda: _answers(spark, folder))
+    return computed_now(_answers(spark, folder))
 
 
 def teacher_labels(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskspark.operators.sizes import broadcast_checked
 from deskspark.schemas import LATENCY_FILE
 
+# Where a latency was measured.
 LOAD_TEST = "cloud_run_load_test"
 IN_PROCESS = "laptop_dev"
 
@@ -26,19 +26,19 @@ def read_latencies(spark: SparkSession, path: str, multi_line: bool = True) -> D
     ).first()
     missing = [c for c in LATENCY_FILE.names if checks[c]]
     if missing:
-        raise ValueError(f"Latency file {path} is missing required keys: {missing}")
+        raise ValueError(f"{path}: no value for {', '.join(missing)}")
     if checks["_empty"]:
-        raise ValueError(f"Latency file {path} has zero samples")
+        raise ValueError(f"{path}: the list of samples is empty")
     others = [c for c in LATENCY_FILE.names if c != "per_example_latency_ms"]
     return files.select(*others, F.explode(samples).alias("latency_ms"))
 
 
 def with_latency_source(in_process: DataFrame, load_test: DataFrame) -> DataFrame:
     """``model, latency_ms, latency_source``: load-test samples where a model has any."""
-    tested = broadcast_checked(load_test.select("model").distinct())
+    tested = load_test.select("model").distinct()
     own = in_process.select("model", "latency_ms").join(tested, "model", "left_anti")
     measured = load_test.select("model", "latency_ms").join(
-        broadcast_checked(in_process.select("model").distinct()), "model", "left_semi"
+        in_process.select("model").distinct(), "model", "left_semi"
     )
     return own.withColumn("latency_source", F.lit(IN_PROCESS)).unionByName(
         measured.withColumn("latency_source", F.lit(LOAD_TEST))

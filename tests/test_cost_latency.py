@@ -88,7 +88,7 @@ def test_latency_file_needs_every_key(spark, written, missing):
 
 
 def test_latency_file_without_samples(spark, written):
-    with pytest.raises(ValueError, match="zero samples"):
+    with pytest.raises(ValueError, match="list of samples is empty"):
         S.read_latencies(spark, written(per_example_latency_ms=[]))
 
 

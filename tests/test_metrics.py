@@ -46,13 +46,13 @@ def test_confusion_rows_sum_to_one_or_zero(spark, classes):
 
 def test_top_pairs_rank_and_zero_tail(spark, classes):
     pairs = [(2, 1)] * 3 + [(2, 2)] * 2 + [(0, 1)] + [(0, 0)] * 4 + [(1, 1)]
-    matrix = metrics.confusion_matrix(metrics.confusion_counts(predictions(spark, pairs)), classes)
-    top = metrics.top_confusion_pairs(matrix, classes, 20).orderBy(F.desc("value"), "label", "pred").collect()
+    counts = metrics.confusion_counts(predictions(spark, pairs))
+    top = metrics.top_confusion_pairs(counts, classes, 20).orderBy(F.desc("value"), "label", "pred").collect()
     assert len(top) == 12
     assert (top[0]["true_name"], top[0]["pred_name"], top[0]["value"]) == ("c", "b", 0.6)
     assert (top[1]["true_name"], top[1]["pred_name"], top[1]["value"]) == ("a", "b", 0.2)
     assert top[2]["value"] == 0.0
-    assert metrics.top_confusion_pairs(matrix, classes, 1).count() == 1
+    assert metrics.top_confusion_pairs(counts, classes, 1).count() == 1
 
 
 def test_worst_classes_are_stable(spark, classes):

@@ -11,7 +11,7 @@ def test_running_totals_with_a_hot_key(spark, slices):
     keys = np.where(rng.random(600) < 0.6, 0, rng.integers(1, 5, 600))
     rows = [(int(k), int(i), int(v)) for i, (k, v) in enumerate(zip(keys, rng.integers(0, 9, 600)))]
     df = spark.createDataFrame(rows, "k int, i int, v int")
-    got = running_totals(df, ["k"], [F.col("i").desc()], ["v"], slices).collect()
+    got = running_totals(df, ["k"], ["-i"], ["v"], slices).collect()
     assert len(got) == 600
     seen, expected = {}, {}
     for k, i, v in sorted(rows, key=lambda r: -r[1]):
@@ -21,7 +21,7 @@ def test_running_totals_with_a_hot_key(spark, slices):
 
 def test_hot_key_is_spread_over_slices(spark):
     df = spark.range(4000).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.lit(1).alias("v"))
-    placed = running_totals(df, ["k"], [F.col("i").asc()], ["v"], 8)
+    placed = running_totals(df, ["k"], ["i"], ["v"], 8)
     sizes = placed.select(F.floor(F.col("running_v") / 500).alias("part")).groupBy("part").count()
     assert sizes.count() >= 8
     assert placed.agg(F.max("running_v")).first()[0] == 4000
@@ -29,9 +29,9 @@ def test_hot_key_is_spread_over_slices(spark):
 
 def test_running_totals_without_key_and_with_null_key(spark):
     df = spark.createDataFrame([(None, 2, 1), (None, 1, 5), (3, 1, 7)], "k int, i int, v int")
-    got = running_totals(df, ["k"], [F.col("i").asc()], ["v"]).collect()
+    got = running_totals(df, ["k"], ["i"], ["v"]).collect()
     assert sorted((str(r["k"]), r["i"], r["running_v"]) for r in got) == [("3", 1, 7), ("None", 1, 5), ("None", 2, 6)]
-    whole = running_totals(df.where("k IS NULL"), [], [F.col("i").asc()], ["v"]).orderBy("i").collect()
+    whole = running_totals(df.where("k IS NULL"), [], ["i"], ["v"]).orderBy("i").collect()
     assert [r["running_v"] for r in whole] == [5, 6]
 
 

@@ -21,19 +21,25 @@ def ids(df):
     return {r["row_id"] for r in df.select("row_id").collect()}
 
 
-def test_quotas_use_largest_remainders():
-    assert S.quotas({"a": 50, "b": 30, "c": 20}, 10) == {"a": 5, "b": 3, "c": 2}
-    assert S.quotas({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
-    assert sum(S.quotas({i: 7 + i for i in range(77)}, 300).values()) == 300
+def quotas(spark, sizes, n):
+    kind = "string" if isinstance(next(iter(sizes)), str) else "int"
+    table = spark.createDataFrame(list(sizes.items()), f"label {kind}, n long")
+    return {r["label"]: r["quota"] for r in S.quotas(table, n).collect()}
+
+
+def test_quotas_use_largest_remainders(spark):
+    assert quotas(spark, {"a": 50, "b": 30, "c": 20}, 10) == {"a": 5, "b": 3, "c": 2}
+    assert quotas(spark, {"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
+    assert sum(quotas(spark, {i: 7 + i for i in range(77)}, 300).values()) == 300
 
 
 @pytest.mark.parametrize("rows_per_bucket", [100_000, 50, 3])
-def test_subsample_size_and_proportions(rows, rows_per_bucket):
+def test_subsample_size_and_proportions(spark, rows, rows_per_bucket):
     """Any number of ticket buckets picks the same rows: the lowest tickets of each class."""
     picked = S.stratified_subsample(rows, 301, rows_per_bucket=rows_per_bucket)
     whole = sizes(rows)
-    assert sizes(picked) == {c: q for c, q in S.quotas(whole, 301).items() if q}
-    for label, quota in S.quotas(whole, 301).items():
+    assert sizes(picked) == {c: q for c, q in quotas(spark, whole, 301).items() if q}
+    for label, quota in quotas(spark, whole, 301).items():
         lowest = rows.where(F.col("label") == label).orderBy(S.ticket(42), "row_id").limit(quota)
         assert ids(picked.where(F.col("label") == label)) == ids(lowest)
 
