@@ -379,8 +379,3 @@ def redact(text: Column, salt: bytes) -> Column:
     return F.when(
         text.isNotNull(), F.when(_may_match(text), found).otherwise(untouched)
     )
-
-
-def redacted_text(text: Column, salt: bytes) -> Column:
-    """Only the rewritten text."""
-    return redact(text, salt)["redacted_text"]

@@ -26,7 +26,6 @@ SERVING_RATES = {
 }
 SERVING_VCPU = 1.0
 SERVING_MEMORY_GIB = 2.0
-COST_CAPS = {"val": 1.50, "golden": 4.00, "train": 10.00}
 SKIPPED_NOTE = "cost summary skipped: teacher or student missing from this run"
 
 
@@ -87,10 +86,12 @@ def cost_breakdown(
     teacher: str = "teacher",
     student: str = "student",
     baseline: str = "baseline",
+    pricing_date: str = PRICING_DATE,
 ) -> DataFrame:
     """One row: costs side by side and how many times cheaper each model is.
 
-    ``costs`` has one row per model (``model, cost_per_1k_usd``). A zero divisor
+    ``costs`` has one row per model (``model, cost_per_1k_usd``), and
+    ``pricing_date`` is the date of the rates it was made with. A zero divisor
     gives a null ratio; without teacher or student only the note is filled.
     """
 
@@ -110,7 +111,7 @@ def cost_breakdown(
         return shown(F.round(ratio, 1))
 
     return one.select(
-        F.lit(PRICING_DATE).alias("pricing_date"),
+        F.lit(pricing_date).alias("pricing_date"),
         shown(F.round("teacher", 6)).alias("teacher_cost_per_1k_usd"),
         shown(F.round("student", 6)).alias("student_cost_per_1k_usd"),
         times("student").alias("student_cost_reduction_vs_teacher_x"),

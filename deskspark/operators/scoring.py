@@ -79,16 +79,20 @@ def predict_messages(
     score: Callable[[DataFrame, str], DataFrame],
     temperature: float = 1.0,
     k: int = 5,
+    redact: Callable[[DataFrame, bytes], DataFrame] = redact_messages,
 ) -> DataFrame:
     """Validate, redact, score and shape audit rows; for batch and stream alike.
 
+    Messages that fail validation are in ``rejected_messages`` of the same input.
+    ``redact`` adds ``redacted_text`` and ``spans``.
+
     ``df`` has ``request_id, text`` and whatever else should be kept out of the
     audit. ``score`` adds ``logits`` and ``latency_ms`` from the column it is
     told to read, which is the redacted text: neither the model nor the audit
     sees the original.
     """
     accepted, _ = validate_messages(df)
-    redacted = redact_messages(accepted, salt).drop("text", "spans")
+    redacted = redact(accepted, salt).drop("text", "spans")
     scored = score(redacted, "redacted_text")
     ranked = top_classes(with_probabilities(scored, temperature), classes, k)
     return ranked.select(
@@ -102,3 +106,15 @@ def predict_messages(
         "top_k_confidences",
         "latency_ms",
     )
+
+
+def rejected_messages(df: DataFrame, model_version: str) -> DataFrame:
+    """The messages ``predict_messages`` does not score, with a reason and without their text."""
+    _, rejected = validate_messages(df)
+    return rejected.select(
+        request_id(F.col("request_id")).alias("request_id"),
+        F.current_timestamp().alias("timestamp"),
+        F.lit(model_version).alias("model_version"),
+        F.when(F.col("text").isNull(), "no text").when(F.length("text") == 0, "empty").otherwise("too long").alias("reason"),
+        F.length("text").alias("n_chars"),
+    )

@@ -102,9 +102,19 @@ def missing_descriptions(classes: DataFrame, descriptions: DataFrame) -> DataFra
 
 
 def assert_described(classes: DataFrame, descriptions: DataFrame) -> None:
-    missing = [r[0] for r in missing_descriptions(classes, descriptions).limit(100).collect()]
+    names = F.array_join(F.array_sort(F.collect_set("label_name")), ", ")
+    missing = missing_descriptions(classes, descriptions).agg(names).first()[0]
     if missing:
-        raise ValueError(f"Missing descriptions for classes: {sorted(missing)}")
+        raise ValueError(f"Classes without a description: {missing}")
+
+
+def _described(classes: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """The class list with descriptions; a class without one is an error when rows are read."""
+    told = descriptions.select("label_name", "description")
+    missing = F.raise_error(F.concat(F.lit("Class without a description: "), F.col("label_name")))
+    return classes.join(told, "label_name", "left").withColumn(
+        "description", F.coalesce("description", missing)
+    )
 
 
 def taxonomy_block(classes: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -114,14 +124,14 @@ def taxonomy_block(classes: DataFrame, descriptions: DataFrame) -> DataFrame:
     """
     line = F.concat(F.lit("- "), "label_name", F.lit(": "), "description")
     lines = F.array_sort(F.collect_list(F.struct("label_id", line.alias("line"))))
-    return classes.join(descriptions, "label_name").agg(
+    return _described(classes, descriptions).agg(
         F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("taxonomy_block")
     )
 
 
 def fingerprint_table(classes: DataFrame, descriptions: DataFrame) -> DataFrame:
     """One row: a content hash that ignores row order and changes with any description."""
-    return classes.join(descriptions, "label_name").agg(
+    return _described(classes, descriptions).agg(
         taxonomy_fingerprint(F.collect_list(F.struct("label_name", "description"))).alias(
             "taxonomy_fingerprint"
         ),

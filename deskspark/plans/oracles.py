@@ -6,6 +6,7 @@ expressions use RE2's ASCII classes; the test texts hold no other digits.
 
 from __future__ import annotations
 
+from deskspark.functions import teacher as T
 from deskspark.plans import queries as Q
 from deskspark.plans import tables as P
 
@@ -202,6 +203,11 @@ _sql(
     """SELECT (coalesce(length(text), 0) BETWEEN 1 AND 2000)::INT AS accepted, count(*) AS n_rows, max(length(text))::INT AS longest
 FROM documents GROUP BY 1""",
 )
+_sql(
+    "rejected_messages",
+    """SELECT doc_id::VARCHAR AS request_id, CASE WHEN text IS NULL THEN 'no text' WHEN text = '' THEN 'empty' ELSE 'too long' END AS reason,
+  length(text)::INT AS n_chars FROM documents WHERE coalesce(length(text), 0) NOT BETWEEN 1 AND 2000""",
+)
 _BLOCK = """described AS (SELECT label AS label_id, 'class_' || label AS label_name, 'seen ' || count(*) || ' times' AS description
   FROM embeddings GROUP BY label),
 block AS (SELECT string_agg('- ' || label_name || ': ' || description, chr(10) ORDER BY label_id) AS taxonomy_block FROM described)"""
@@ -261,8 +267,11 @@ _sql(
 )
 _sql(
     "lineage_check",
-    f"""SELECT split, count(*) AS n_rows, '{P.FINGERPRINT}' AS fingerprint, 1 AS one_fingerprint, '{P.PROMPT_VERSION}' AS version,
-  1 AS one_version, 0::BIGINT AS null_fingerprints FROM items GROUP BY split""",
+    f"""SELECT split, count(*) AS n_rows, min(fp) AS fingerprint, (min(fp) = max(fp))::INT AS one_fingerprint, min(v) AS version,
+  (min(v) = max(v))::INT AS one_version, count(*) FILTER (fp IS NULL) AS null_fingerprints FROM (
+  SELECT split, CASE WHEN split = 'val' AND row_id % 7 = 0 THEN '00c0ffee00c0ffef'
+      WHEN split <> 'golden' OR row_id % 11 <> 0 THEN '{P.FINGERPRINT}' END AS fp,
+    CASE WHEN split = 'train' AND row_id % 13 = 0 THEN '2' ELSE '{P.PROMPT_VERSION}' END AS v FROM items) GROUP BY split""",
     _ITEMS,
 )
 _sql(
@@ -303,13 +312,22 @@ _sql(
 _sql("resume_union", "SELECT row_id, length(text)::INT AS n_chars FROM messages", _MESSAGES)
 _sql(
     "label_job",
-    f"""SELECT row_id, response, input_tokens, output_tokens FROM paid JOIN chunks USING (chunk) WHERE before <= {Q.JOB_CAP_USD}""",
+    f"""SELECT row_id, response, input_tokens, output_tokens FROM summed
+WHERE {_tokens_cost('(i - input_tokens)', '(o - output_tokens)')} <= {Q.JOB_CAP_USD}""",
     _MESSAGES,
-    f"""paid AS (SELECT row_id, row_id // {Q.JOB_CHUNK_IDS} AS chunk,
+    f"""paid AS (SELECT row_id,
     '{{"intent": "' || CASE WHEN length(text) > 400 THEN 'long' ELSE 'short' END || '"}}' AS response,
     length(text) // 4 + 80 AS input_tokens, 15::BIGINT AS output_tokens FROM messages)""",
-    f"""chunks AS (SELECT chunk, sum(cost) OVER (ORDER BY chunk) - cost AS before FROM (
-    SELECT chunk, {_tokens_cost('sum(input_tokens)', 'sum(output_tokens)')} AS cost FROM paid GROUP BY chunk))""",
+    """summed AS (SELECT *, sum(input_tokens) OVER w AS i, sum(output_tokens) OVER w AS o FROM paid WINDOW w AS (ORDER BY row_id))""",
+)
+_FRAME = len(T.PROMPT_HEADER) + len(T.CLASSES_HEADING) + len(T.MESSAGE_HEADING) + len(T.PROMPT_FOOTER) + 10
+_FRAME += sum(len(f"- {name}: {told}") for name, told in P.LENGTH_CLASSES.items())
+_sql(
+    "label_job_full",
+    f"""SELECT row_id, CASE WHEN length(text) > 400 THEN 'long' ELSE 'short' END AS teacher_intent_name,
+  (length(text) > 400)::INT AS teacher_intent_id, (length(text) + {_FRAME}) // 4 AS input_tokens, 'train' AS split,
+  '2026-05-01T08-00-00Z' AS run_id, (length(text) <= 400)::INT AS correct FROM messages""",
+    _MESSAGES,
 )
 _sql(
     "budget_cutoff",
@@ -377,9 +395,10 @@ _sql(
 _sql("softmax_temperature", "SELECT model, row_id, c AS label_id, p FROM probs", *SCORED, _probs(2.5))
 _sql(
     "class_projection",
-    """SELECT row_id, c AS label_id, round(coalesce(ex / sum(ex) OVER (PARTITION BY row_id), 0.0), 9) AS p FROM (
-  SELECT s.row_id, s.c, CASE WHEN k.c IS NOT NULL THEN exp(z - max(CASE WHEN k.c IS NOT NULL THEN z END) OVER (PARTITION BY row_id)) END AS ex
-  FROM scores s LEFT JOIN seen k USING (c) WHERE model = 'student')""",
+    """SELECT model, row_id, c AS label_id, round(coalesce(ex / sum(ex) OVER (PARTITION BY model, row_id), 0.0), 9) AS p FROM (
+  SELECT s.model, s.row_id, s.c,
+    CASE WHEN k.c IS NOT NULL THEN exp(z - max(CASE WHEN k.c IS NOT NULL THEN z END) OVER (PARTITION BY model, row_id)) END AS ex
+  FROM scores s LEFT JOIN seen k USING (c))""",
     *SCORED,
     """seen AS (SELECT label AS c FROM embeddings GROUP BY label
   HAVING count(*) >= (SELECT count(*) / count(DISTINCT label) FROM embeddings))""",
@@ -517,7 +536,7 @@ FROM (SELECT l.*,
     *PREDICTED,
     *_FIT,
 )
-_sql("threshold_store", "SELECT label_id, threshold FROM limits WHERE model = 'baseline'", *PREDICTED, *_FIT)
+_sql("threshold_store", "SELECT model, label_id, threshold FROM limits WHERE model IN ('baseline', 'student')", *PREDICTED, *_FIT)
 _sql(
     "routing_stats",
     """SELECT model, count(*) AS n_rows, count(*) FILTER (accepted) AS n_accepted, round(avg(accepted::INT), 6) AS acceptance_rate,

@@ -27,7 +27,6 @@ TARGET = 0.5
 ENCODER = "encoder-a"
 BUDGET_USD = 0.02
 JOB_CAP_USD = 0.02
-JOB_CHUNK_IDS = 20_000
 
 
 def query(build: Query) -> Query:
@@ -112,10 +111,15 @@ def pii_profile(spark, folder):
 @query
 def validate_messages(spark, folder):
     docs = P.documents(spark, folder).withColumn("n_chars", F.length("text"))
-    return (
-        docs.groupBy(T.valid_length(F.col("text")).cast("int").alias("accepted"))
-        .agg(F.count("*").alias("n_rows"), F.max("n_chars").alias("longest"))
-    )
+    accepted, rejected = labeling.validate_messages(docs)
+    both = accepted.withColumn("accepted", F.lit(1)).unionByName(rejected.withColumn("accepted", F.lit(0)))
+    return both.groupBy("accepted").agg(F.count("*").alias("n_rows"), F.max("n_chars").alias("longest"))
+
+
+@query
+def rejected_messages(spark, folder):
+    docs = P.documents(spark, folder).select(F.col("doc_id").cast("string").alias("request_id"), "text")
+    return scoring.rejected_messages(docs, "lang-1").select("request_id", "reason", "n_chars")
 
 
 @query
@@ -223,7 +227,14 @@ def split_guard(spark, folder):
 
 @query
 def lineage_check(spark, folder):
-    found = labels.lineage_check(P.teacher_labels(spark, folder))
+    """Validation rows of two prompts, training rows of two versions, golden rows without a print."""
+    split, row = F.col("split"), F.col("row_id")
+    print_ = F.when((split == "val") & (row % 7 == 0), "00c0ffee00c0ffef").when(
+        (split != "golden") | (row % 11 != 0), F.col("prompt_fingerprint")
+    )
+    version = F.when((split == "train") & (row % 13 == 0), "2").otherwise(F.col("prompt_version"))
+    rows = P.teacher_labels(spark, folder).withColumns({"prompt_fingerprint": print_, "prompt_version": version})
+    found = labels.lineage_check(rows)
     return found.withColumns(
         {c: F.col(c).cast("int") for c in ("one_fingerprint", "one_version")}
     )
@@ -310,14 +321,36 @@ def label_job(spark, folder):
     messages = P.conversations(spark, folder).select(
         "row_id", "text", F.lit(0).alias("gold_label_id")
     )
-    answers = jobs.run_label_job(
+    result = jobs.run_label_job(
         messages,
         run_folder(spark, "label-job"),
         P.load_length_labeler,
         max_cost_usd=JOB_CAP_USD,
-        chunk_rows=JOB_CHUNK_IDS,
+        concurrency=1,
+    )
+    return result.answers.select("row_id", "response", "input_tokens", "output_tokens")
+
+
+@query
+def label_job_full(spark, folder):
+    """A job over all messages, from prompts to stored labels, read back."""
+    classes = spark.createDataFrame([(0, "short"), (1, "long")], "label_id int, label_name string")
+    described = spark.createDataFrame(list(P.LENGTH_CLASSES.items()), "label_name string, description string")
+    messages = P.conversations(spark, folder).select("row_id", "text", F.lit(0).alias("gold_label_id"))
+    path = run_folder(spark, "label-job-full")
+    result = jobs.run_label_job(
+        jobs.with_prompts(messages, classes, described),
+        f"{path}/calls",
+        P.load_prompt_labeler,
+        max_cost_usd=float("inf"),
+        concurrency=8,
+    )
+    jobs.store_run(result.answers, classes, described, path, "train", "2026-05-01T08-00-00Z", P.PROMPT_VERSION)
+    told = labels.latest_run(labels.read_runs(spark, f"{path}/labels"))
+    return told.select(
+        "row_id", "teacher_intent_name", "teacher_intent_id", "input_tokens", "split", "run_id",
+        F.col("correct").cast("int").alias("correct"),
     )
-    return answers.select("row_id", "response", "input_tokens", "output_tokens")
 
 
 @query
@@ -395,11 +428,11 @@ def class_projection(spark, folder):
     middle = sum(sizes.values()) / len(sizes)
     seen = sorted(c for c, n in sizes.items() if n >= middle)
     ids = F.array(*[F.lit(c) for c in seen])
-    known = P.scored(spark, folder, [P.STUDENT]).withColumn(
+    known = P.scored(spark, folder).withColumn(
         "logits", F.transform(ids, lambda c: F.get("logits", c))
     )
     full = ml.on_class_list(known, seen, len(sizes))
-    return _long(full, S.softmax(F.col("logits"))).drop("model")
+    return _long(full, S.softmax(F.col("logits")))
 
 
 @query
@@ -553,14 +586,16 @@ def threshold_summary(spark, folder):
 
 @query
 def threshold_store(spark, folder):
-    """The stored thresholds of one model, read back."""
-    path = run_folder(spark, "thresholds")
-    classes = P.label_map(spark, folder)
-    val = _flat(spark, folder).where("model = 'baseline' AND split = 'val'")
-    limits = thresholds.fit_thresholds(val, classes, TARGET)
-    summary = thresholds.threshold_summary(val, limits, classes)
-    results.write_thresholds(limits, summary, TARGET, val.count(), path)
-    return results.read_thresholds(spark, path)
+    """The stored thresholds of each model, read back."""
+    classes, flat, parts = P.label_map(spark, folder), _flat(spark, folder), []
+    for model in (P.BASELINE, P.STUDENT):
+        path = run_folder(spark, "thresholds")
+        val = flat.where((F.col("model") == model) & (F.col("split") == "val"))
+        limits = thresholds.fit_thresholds(val, classes, TARGET)
+        summary = thresholds.threshold_summary(val, limits, classes)
+        results.write_thresholds(limits, summary, TARGET, val.count(), path)
+        parts.append(results.read_thresholds(spark, path).withColumn("model", F.lit(model)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
+from deskspark.functions.teacher import MESSAGE_HEADING, PROMPT_FOOTER
 from deskspark.operators.label_job import Answer
 from deskspark.operators.labeling import classify_responses, enrich_labels
 from deskspark.operators.metrics import flatten_scores
@@ -233,6 +234,19 @@ def load_language_model():
     return score
 
 
+LENGTH_CLASSES = {"short": "At most 400 characters.", "long": "More than 400 characters."}
+
+
+def load_prompt_labeler():
+    """The same rule for a whole prompt, billed by the prompt's length."""
+    def label(prompt: str) -> Answer:
+        message = prompt.split(f"\n\n{MESSAGE_HEADING}\n", 1)[1].removesuffix(f"\n\n{PROMPT_FOOTER}")
+        intent = "long" if len(message) > 400 else "short"
+        return Answer(f'{{"intent": "{intent}"}}', len(prompt) // 4, 15, 0.0, "rule-2")
+
+    return label
+
+
 def load_length_labeler():
     """A rule in place of the remote teacher: long or short, by message length."""
     def label(text: str) -> Answer:

@@ -57,6 +57,15 @@ TEACHER_RESPONSES = T.StructType(
     ]
 )
 
+# A call that stayed without an answer.
+CALL_FAILURES = T.StructType(
+    [
+        T.StructField("row_id", T.LongType()),
+        T.StructField("error_class", T.StringType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
+
 LATENCY_FILE = T.StructType(
     [
         T.StructField("model", T.StringType()),

@@ -14,6 +14,7 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Expressions over arrays make many calls to the JVM; recording the Python
     # line of each one takes longer than the call.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

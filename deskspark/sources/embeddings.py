@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskspark.operators.sizes import computed_now
+
 
 def cache_key(encoder: str, text: Column) -> Column:
     """Hex SHA-256 of the encoder name, a zero byte and the text."""
@@ -14,12 +16,14 @@ def cache_key(encoder: str, text: Column) -> Column:
 def cache_misses(messages: DataFrame, cache: DataFrame, encoder: str) -> DataFrame:
     """Distinct texts that still have to be encoded.
 
-    Copies of a text collapse before the shuffle, so a text that makes up a
-    third of all rows costs one row per task.
+    Keys are looked up first, without their texts, and copies of a text collapse
+    before they move. Only texts that are missing are read after that.
     """
     keyed = messages.select(cache_key(encoder, F.col("text")).alias("cache_key"), "text")
-    wanted = keyed.groupBy("cache_key").agg(F.first("text").alias("text"))
-    return wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
+    keys = keyed.select("cache_key").distinct()
+    missing = computed_now(keys.join(cache.select("cache_key"), "cache_key", "left_anti"))
+    wanted = keyed.join(missing, "cache_key", "left_semi")
+    return wanted.groupBy("cache_key").agg(F.any_value("text").alias("text"))
 
 
 def with_embeddings(messages: DataFrame, cache: DataFrame, encoder: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskspark.operators.labeling import drop_unknown, dropped_counts, labeling_summary
-from deskspark.schemas import MESSAGES, TEACHER_LABELS, TEACHER_RESPONSES
+from deskspark.operators.labeling import drop_unknown, dropped_counts
+from deskspark.schemas import CALL_FAILURES, TEACHER_LABELS, TEACHER_RESPONSES
 from deskspark.sources.files import path_exists
 
 SPLITS = ("val", "golden", "train")
@@ -117,15 +117,11 @@ def load_training_tables(spark: SparkSession, train_path: str, val_path: str) ->
 def load_split(messages: DataFrame, split: str, n: int | None = None) -> DataFrame:
     """Messages of one split, or its first ``n`` rows by id."""
     if split not in SPLITS:
-        raise ValueError(f"Unknown split: {split!r}. Must be one of {SPLITS}.")
+        raise ValueError(f"No split is called {split!r}; there are {', '.join(SPLITS)}")
     rows = messages.where(F.col("split") == split)
     return rows if n is None else rows.orderBy("row_id").limit(n)
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MESSAGES).parquet(path)
-
-
 def _with_run(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
 
@@ -139,9 +135,15 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_with_run(TEACHER_LABELS)).parquet(path)
 
 
-def write_run_summary(df: DataFrame, path: str) -> None:
-    """Summary of a run as one JSON line."""
-    labeling_summary(df).write.mode("errorifexists").json(path)
+def write_run_snapshot(prompt: DataFrame, summary: DataFrame, path: str) -> None:
+    """The prompt a run was asked with and its summary, one JSON line each."""
+    prompt.write.mode("errorifexists").json(f"{path}/prompt")
+    summary.write.mode("errorifexists").json(f"{path}/summary")
+
+
+def run_id_at(moment: Column) -> Column:
+    """Name of a run started at a timestamp, sorting as time does, in the session's zone (UTC)."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH-mm-ss'Z'")
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -162,15 +164,29 @@ def with_run_id(df: DataFrame) -> DataFrame:
     return df.select("*", run_id_from_path(F.col("_metadata.file_path")).alias("run_id"))
 
 
-def read_responses(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """All stored answers; none if the checkpoint does not exist yet."""
+def _read_calls(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """Answers and failures below ``path``; none if the checkpoint does not exist yet."""
+    schema = T.StructType([*TEACHER_RESPONSES.fields, *CALL_FAILURES.fields[1:]])
     if not path_exists(spark, checkpoint):
-        return spark.createDataFrame([], TEACHER_RESPONSES)
-    return spark.read.schema(TEACHER_RESPONSES).parquet(checkpoint)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_responses(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """All stored answers."""
+    calls = _read_calls(spark, checkpoint, checkpoint)
+    return calls.where("error_class IS NULL").select(*TEACHER_RESPONSES.names)
+
+
+def read_failures(spark: SparkSession, checkpoint: str, run: str) -> DataFrame:
+    """The failed calls of one run."""
+    folder = f"{checkpoint}/run={run}"
+    calls = _read_calls(spark, folder, folder)
+    return calls.where("error_class IS NOT NULL").select(*CALL_FAILURES.names)
 
 
-def append_responses(df: DataFrame, checkpoint: str, run: str, chunk: int) -> DataFrame:
-    """Store one chunk of answers and return what was stored."""
-    path = f"{checkpoint}/run={run}/chunk={chunk}"
+def append_responses(df: DataFrame, checkpoint: str, run: str, turn: int) -> DataFrame:
+    """Store the answers and failures of one turn and return what was stored."""
+    path = f"{checkpoint}/run={run}/turn={turn}"
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(TEACHER_RESPONSES).parquet(path)
+    return _read_calls(df.sparkSession, path, path)

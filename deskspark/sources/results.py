@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Mapping
 
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskspark.operators.evaluation import nested
@@ -70,10 +68,15 @@ def write_results(
     document.write.mode("errorifexists").json(path)
 
 
-def config_hash(config: Mapping[str, object]) -> str:
-    """First 16 hex digits of SHA-256 over the settings as sorted JSON."""
-    text = json.dumps(dict(config), sort_keys=True, default=str)
-    return hashlib.sha256(text.encode()).hexdigest()[:16]
+def settings_column(config: Mapping[str, object]) -> Column:
+    """Settings as one map column, in name order."""
+    pairs = [F.lit(str(x)) for name in sorted(config) for x in (name, config[name])]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+
+
+def settings_mark(settings: Column) -> Column:
+    """16 hex digits that differ between different settings."""
+    return F.substring(F.sha2(F.to_json(settings), 256), 1, 16)
 
 
 def save_classifier(
@@ -85,7 +88,8 @@ def save_classifier(
     facts = [F.lit(v).alias(k) for k, v in lineage.items()]
     manifest = spark.range(1).select(
         *facts,
-        F.lit(config_hash(config)).alias("training_config_hash"),
+        settings_column(config).alias("training_config"),
+        settings_mark(settings_column(config)).alias("training_config_hash"),
         F.lit(spark.version).alias("spark_version"),
         F.current_timestamp().alias("bundled_at_utc"),
     )

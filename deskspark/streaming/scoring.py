@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from deskspark.operators.scoring import rejected_messages
 from deskspark.sources.audit import audit_rows
 
 
@@ -16,7 +17,7 @@ def stream_files(
     folder: str,
     schema: StructType,
     file_glob: str = "*.parquet",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = 1_000,
 ) -> DataFrame:
     """New Parquet files of a folder as a stream, with a declared schema.
 
@@ -36,16 +37,23 @@ def start_scoring(
     checkpoint: str,
     once: bool = False,
     interval: str = "10 seconds",
+    write: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Append the audit rows of a message stream, partitioned by day.
 
+    ``write`` replaces the file sink: it gets each batch of audit rows with the
+    batch's number, and may see a batch again after a failure.
+
     ``predict`` is the batch transform. The checkpoint and the file sink's log
     make each message's row appear once, also after a restart.
     """
     trigger = {"availableNow": True} if once else {"processingTime": interval}
+    rows = audit_rows(predict(messages))
+    if write is not None:
+        writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return writer.trigger(**trigger).start()
     return (
-        audit_rows(predict(messages))
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", audit_path)
         .option("checkpointLocation", checkpoint)
         .partitionBy("event_date")
@@ -53,3 +61,24 @@ def start_scoring(
         .trigger(**trigger)
         .start()
     )
+
+
+def start_rejecting(
+    messages: DataFrame,
+    model_version: str,
+    path: str,
+    checkpoint: str,
+    once: bool = False,
+    interval: str = "10 seconds",
+) -> StreamingQuery:
+    """Append the messages of a stream that are not scored, so that every request leaves a row."""
+    trigger = {"availableNow": True} if once else {"processingTime": interval}
+    return (
+        rejected_messages(messages, model_version)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(**trigger)
+        .start()
+    )

@@ -120,4 +120,19 @@ def test_result_documents(spark):
     row = spark.read.schema(R.THRESHOLD_DOCUMENT).json(path).first()
     assert (row["target_precision"], row["n_val_examples"], row["escalate_all_threshold"]) == (0.9, 40, 1.01)
     assert [r["class_name"] for r in row["per_class_summary"]] == ["a", "b"]
-    assert R.config_hash({"a": 1, "b": 2}) == R.config_hash({"b": 2, "a": 1}) != R.config_hash({"a": 1, "b": 3})
+    marks = [R.settings_mark(R.settings_column(c)) for c in ({"a": 1, "b": 2}, {"b": 2, "a": 1}, {"a": 1, "b": 3})]
+    first, second, third = spark.range(1).select(*marks).first()
+    assert first == second != third
+
+
+def test_price_sheet(spark, tmp_path):
+    from deskspark.sources.prices import DEFAULT_PRICES, read_prices
+
+    told = {"pricing_date": "2027-01", **{k: 1.5 for k in [*DEFAULT_PRICES.teacher, *DEFAULT_PRICES.serving]}}
+    path = tmp_path / "sheet.json"
+    path.write_text(json.dumps(told))
+    sheet = read_prices(spark, str(path))
+    assert (sheet.pricing_date, set(sheet.teacher.values()), len(sheet.serving)) == ("2027-01", {1.5}, 3)
+    path.write_text(json.dumps({**told, "pricing_date": None}))
+    with pytest.raises(ValueError, match="pricing_date"):
+        read_prices(spark, str(path))

@@ -2,6 +2,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from deskspark.plans.queries import QUERIES
@@ -48,3 +49,14 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(df.columns) == names
     got = rows_of([r.asDict() for r in df.collect()], names)
     assert got == rows_of(expected, names) and got
+
+
+def test_queries_see_a_changed_input(spark, tmp_path):
+    """Nothing is kept between calls."""
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    path = str(tmp_path / "embeddings.parquet")
+    sizes = []
+    for n in (80, 50):
+        rows.where(F.col("vec_id") < n).write.mode("overwrite").parquet(path)
+        sizes.append(queries()["argmax_confidence"](spark, str(tmp_path)).count())
+    assert sizes == [160, 100]

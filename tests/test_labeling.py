@@ -68,18 +68,14 @@ def test_descriptions_cover_the_class_list(spark, classes):
 
 
 def test_fingerprints(spark, classes):
-    names = ["card_arrival", "age_limit"]
-    base = teach.prompt_fingerprint(taxonomy.DESCRIPTIONS, names, "m-1")
-    assert len(base) == 16
-    assert base == teach.prompt_fingerprint(taxonomy.DESCRIPTIONS, names[::-1], "m-1")
     changed = {**taxonomy.DESCRIPTIONS, "age_limit": "something else"}
-    others = [
-        teach.prompt_fingerprint(changed, names, "m-1"),
-        teach.prompt_fingerprint(taxonomy.DESCRIPTIONS, names, "m-2"),
-        teach.prompt_fingerprint(taxonomy.DESCRIPTIONS, names, "m-1", temperature=0.5),
-        teach.prompt_fingerprint(taxonomy.DESCRIPTIONS, names, "m-1", prompt_version="4"),
-    ]
-    assert len({base, *others}) == 5
+    one = spark.range(1)
+
+    def mark(block="a", model="m-1", **more):
+        return one.select(teach.run_fingerprint(F.lit(block), model, **more)).first()[0]
+
+    assert mark() == mark() and len(mark()) == 16
+    assert len({mark(), mark("b"), mark(model="m-2"), mark(temperature=0.5), mark(prompt_version="4")}) == 5
 
     def of(descriptions, order):
         table = taxonomy.description_table(spark, descriptions).orderBy(order)
@@ -185,7 +181,7 @@ def test_guards_refuse_wrong_tables(spark):
     ]:
         with pytest.raises(ValueError, match=told):
             S.load_training_tables(spark, a, b)
-    with pytest.raises(ValueError, match="Unknown split"):
+    with pytest.raises(ValueError, match="No split is called"):
         S.load_split(good, "test")
 
 
@@ -204,8 +200,11 @@ def messages(spark, n):
     )
 
 
-def test_job_stops_at_the_cap_and_resumes(spark):
-    def paid_labeler():
+@pytest.fixture
+def paid_labeler():
+    """A labeler of 0.55 dollars a call; made here, so that tasks need not import this file."""
+
+    def load():
         def label(text):
             if text == "m3":
                 raise ValueError("malformed message")
@@ -213,19 +212,91 @@ def test_job_stops_at_the_cap_and_resumes(spark):
 
         return label
 
+    return load
+
+
+def test_job_stops_at_the_cap_and_resumes(spark, paid_labeler):
+    path = run_folder(spark, "job")
+    first = jobs.run_label_job(messages(spark, 10), path, paid_labeler, max_cost_usd=1.0, concurrency=1, step_rows=4)
+    # 0.55 dollars a call: the second crosses the cap.
+    assert sorted(r["row_id"] for r in first.answers.collect()) == [0, 1]
+    assert first.over_budget and first.spent_usd == pytest.approx(1.1)
+    rest = jobs.run_label_job(messages(spark, 10), path, paid_labeler, max_cost_usd=100.0, concurrency=3, step_rows=4)
+    assert sorted(r["row_id"] for r in rest.answers.collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+    assert [tuple(r) for r in rest.failures.collect()] == [(3, "ValueError", "malformed message")]
+    assert rest.n_failed == 1 and not rest.over_budget
+
     def free_labeler():
         return lambda text: jobs.Answer("{}", 0, 0, 1.0, "rule-2")
 
-    path = run_folder(spark, "job")
-    first = jobs.run_label_job(messages(spark, 10), path, paid_labeler, max_cost_usd=1.0, chunk_rows=2)
-    # 0.55 dollars a row: the first chunk of two rows passes the cap.
-    assert sorted(r["row_id"] for r in first.collect()) == [0, 1]
-    rest = jobs.run_label_job(messages(spark, 10), path, paid_labeler, max_cost_usd=100.0, chunk_rows=4)
-    assert sorted(r["row_id"] for r in rest.collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
-    # The failed row was not stored, so a later run retries it and nothing else.
-    done = jobs.run_label_job(messages(spark, 10), path, free_labeler, chunk_rows=4).orderBy("row_id").collect()
+    # The failed row has no answer, so a later run asks for it again and for nothing else.
+    done = jobs.run_label_job(messages(spark, 10), path, free_labeler).answers.orderBy("row_id").collect()
     assert [r["row_id"] for r in done] == list(range(10))
     assert [r["row_id"] for r in done if r["model_version"] == "rule-2"] == [3]
+    nothing = jobs.run_label_job(messages(spark, 10), path, paid_labeler)
+    assert nothing.answers.count() == 10 and nothing.spent_usd == 0
+
+
+@pytest.mark.parametrize("concurrency", [1, 4])
+def test_cap_is_overshot_by_one_call_per_task(spark, paid_labeler, concurrency):
+    path = run_folder(spark, "job")
+    rows = messages(spark, 400).where("row_id <> 3")
+    got = jobs.run_label_job(rows, path, paid_labeler, max_cost_usd=11.0, concurrency=concurrency)
+    assert 20 < got.answers.count() <= 20 + 1 + concurrency
+
+
+def test_failing_labeler_is_seen(spark):
+    def always():
+        def label(text):
+            raise RuntimeError("no quota")
+
+        return label
+
+    def broken():
+        return lambda text: undefined_name  # noqa: F821
+
+    got = jobs.run_label_job(messages(spark, 6), run_folder(spark, "job"), always, concurrency=2)
+    assert (got.answers.count(), got.n_failed, got.failures.count()) == (0, 6, 6)
+    with pytest.raises(Exception, match="undefined_name"):
+        jobs.run_label_job(messages(spark, 6), run_folder(spark, "job"), broken)
+
+
+def test_calls_are_dealt_to_as_many_tasks_as_asked_for(spark):
+    rows = messages(spark, 2000).withColumn("prompt", F.col("text"))
+    dealt = rows.coalesce(1).repartitionByRange(6, "row_id")
+    assert dealt.groupBy(F.spark_partition_id()).count().count() == 6
+
+
+def test_a_run_with_its_prompt_and_summary(spark, paid_labeler, classes):
+    described = taxonomy.description_table(spark)
+    asked = jobs.with_prompts(messages(spark, 5).where("row_id <> 3"), classes, described)
+    assert asked.first()["prompt"].startswith(teach.PROMPT_HEADER)
+    path = run_folder(spark, "run")
+    result = jobs.run_label_job(asked, f"{path}/calls", paid_labeler, max_cost_usd=99.0)
+    run_id = spark.range(1).select(S.run_id_at(F.timestamp_seconds(F.lit(0)))).first()[0]
+    assert run_id == "1970-01-01T00-00-00Z"
+    jobs.store_run(result.answers, classes, described, path, "val", run_id, "3")
+    stored_rows = S.latest_run(S.read_runs(spark, f"{path}/labels")).collect()
+    assert [(r["teacher_intent_id"], r["gold_label_name"], r["correct"], r["split"]) for r in stored_rows] == [
+        (1, "card_arrival", False, "val")
+    ] * 4
+    summary = spark.read.json(f"{path}/runs/val/{run_id}/summary").first()
+    prompt = spark.read.json(f"{path}/runs/val/{run_id}/prompt").first()
+    assert summary["n_rows"] == 4 and "{message}" in prompt["prompt"]
+    assert prompt["prompt_fingerprint"] == stored_rows[0]["prompt_fingerprint"]
+
+
+def test_undescribed_classes_are_an_error(spark, classes):
+    few = taxonomy.description_table(spark, {"age_limit": "x", "card_arrival": "y"})
+    for table in (taxonomy.taxonomy_block(classes, few), taxonomy.fingerprint_table(classes, few)):
+        with pytest.raises(Exception, match="exchange_rate"):
+            table.collect()
+
+
+def test_null_groups_keep_their_numbers(spark):
+    rows = label_rows(spark, ANSWERS).withColumn("split", F.when(F.col("row_id") < 5, F.col("split")))
+    found = {r["split"]: r for r in L.labeling_summary(rows, ["split"]).collect()}
+    assert found[None]["latency_ms_p50"] == 800.0 and found["val"]["n_rows"] == 5
 
 
 class Flaky(Exception):
@@ -245,11 +316,12 @@ def test_retries():
 
         return label
 
-    waits = []
+    waits, policy = [], jobs.RetryPolicy()
     assert jobs.call_with_retry(labeler([Flaky("x", 429), Flaky("Deadline exceeded")]), "t", waits.append)
     assert 1.0 <= waits[0] <= 1.5 and 2.0 <= waits[1] <= 3.0
     with pytest.raises(Flaky):
         jobs.call_with_retry(labeler([Flaky("timeout")] * 3), "t", waits.append)
     with pytest.raises(ValueError):
         jobs.call_with_retry(labeler([ValueError("bad"), Flaky("x", 503)]), "t", waits.append)
-    assert not jobs.is_transient(Flaky("nope", 400)) and jobs.is_transient(Flaky("nope", 502))
+    assert not policy.worth_a_retry(Flaky("nope", 400)) and policy.worth_a_retry(Flaky("nope", 502))
+    assert policy.is_call_error(Flaky("x", 400)) and not policy.is_call_error(Flaky("x")) and not policy.is_call_error(NameError())

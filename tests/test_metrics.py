@@ -92,3 +92,26 @@ def test_evaluation_tables_agree_with_single_metrics(spark, classes):
         assert whole[m]["cost_per_1k_usd"] == pytest.approx(costs[m])
         assert whole[m]["latency_ms_p95"] == pytest.approx(np.percentile([r[5] for r in mine], 95))
     assert tables["per_class"].count() == 8
+
+
+def test_twenty_thousand_classes(spark):
+    n = 20_000
+    many = spark.range(n).select(F.col("id").cast("int").alias("label_id"), F.concat(F.lit("c"), "id").alias("label_name"))
+    rows = spark.range(3 * n).select((F.col("id") % n).cast("int").alias("label"), (F.col("id") * 7 % n).cast("int").alias("pred"))
+    counts = metrics.confusion_counts(rows)
+    per_class = metrics.per_class_metrics(counts, many)
+    assert per_class.count() == n and per_class.where("class_name IS NULL").count() == 0
+    top = metrics.top_confusion_pairs(counts, many, 20).collect()
+    assert len(top) == 20 and all(r["value"] > 0 for r in top)
+    few = metrics.top_confusion_pairs(counts.where("label = pred"), many, 5).orderBy("label", "pred").collect()
+    assert [(r["label"], r["pred"]) for r in few] == [(0, i) for i in range(1, 6)]
+
+
+def test_names_of_many_classes(spark):
+    from deskspark.operators import scoring
+
+    n = 20_000
+    many = spark.range(n).select(F.col("id").cast("int").alias("label_id"), F.concat(F.lit("c"), "id").alias("label_name"))
+    probs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == 19_998, 0.9).otherwise(0.0))
+    row = scoring.top_classes(spark.range(1).select(probs.alias("probs")), many, 2).first()
+    assert (row["predicted_intent"], row["top_k_intents"]) == ("c19998", ["c19998", "c0"])

@@ -81,3 +81,12 @@ def test_quality(spark):
     df = spark.createDataFrame([("a", "x", 0), ("a", None, 1), ("b", "y", None)], "split string, text string, label int")
     got = {r["split"]: tuple(r)[1:] for r in S.dataset_quality(df).collect()}
     assert got == {"a": (2, 1, 0, 2, 0, 1), "b": (1, 0, 1, 0, None, None)}
+
+
+def test_many_classes_and_rows_without_a_label(spark):
+    many = spark.range(60_000).select(F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 20_000).alias("label"))
+    split = S.stratified_split(many, 0.5)
+    assert split.where("split = 'val'").count() == 30_000
+    odd = many.limit(100).withColumn("label", F.when(F.col("row_id") >= 40, F.col("row_id") % 2))
+    parts = {(r["label"], r["split"]): r["count"] for r in S.stratified_split(odd, 0.5).groupBy("label", "split").count().collect()}
+    assert parts == {(None, "val"): 20, (None, "train"): 20, (0, "val"): 15, (0, "train"): 15, (1, "val"): 15, (1, "train"): 15}

@@ -94,6 +94,36 @@ def test_audit_rows(spark, requests):
         assert r["timestamp"].date() == r["event_date"]
 
 
+def test_rejects_leave_a_row(spark, requests):
+    from deskspark.streaming.scoring import start_rejecting
+
+    odd = requests.union(spark.createDataFrame([("a", ""), ("b", None), ("c", "x" * 2001)], requests.schema))
+    rows = scoring.rejected_messages(odd, "v1").collect()
+    reasons = {r["request_id"]: r["reason"] for r in rows}
+    assert [reasons[c] for c in "abc"] == ["empty", "no text", "too long"]
+    assert len(rows) + predict(spark, P.language_logits, odd).count() == odd.count()
+    source, out, state = (run_folder(spark, n) for n in ("in", "rejects", "state"))
+    odd.write.parquet(source)
+    start_rejecting(stream_files(spark, source, odd.schema), "v1", out, state, once=True).awaitTermination()
+    assert spark.read.parquet(out).count() == len(rows)
+
+
+def test_own_audit_writer_and_redactor(spark, requests):
+    seen, source, state = [], run_folder(spark, "in"), run_folder(spark, "state")
+    requests.write.parquet(source)
+
+    def hide(df, salt):
+        return df.withColumns({"redacted_text": F.lit("hidden"), "spans": F.lit(None)})
+
+    def hidden(df):
+        return scoring.predict_messages(df, P.language_classes(spark), SALT, "v1", P.language_logits, redact=hide)
+
+    stream = stream_files(spark, source, requests.schema)
+    job = start_scoring(stream, hidden, "", state, once=True, write=lambda df, i: seen.extend(df.collect()))
+    job.awaitTermination()
+    assert len(seen) == 3 and {r["input_text_redacted"] for r in seen} == {"hidden"}
+
+
 def test_python_and_native_scorers_agree(spark, requests):
     texts = requests.select("text")
     native = P.language_logits(texts, "text").orderBy("text").collect()
