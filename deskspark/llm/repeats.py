@@ -15,9 +15,9 @@ import numpy as np
 
 _LEAF = 1 << 60
 _MIXED = -2
-_PRIMES = np.array(
-    [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64
-)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Odd factors, the powers of one, for up to 16 words.
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)], np.uint64)
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -27,18 +27,22 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _PRIMES[3]
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def stretch_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the ``width`` bytes from every position on; ``width`` is at least 8."""
+    """Hash of the ``width`` bytes from every position on; ``width`` is at least 8.
+
+    A sum of the words with odd factors, mixed once.
+    """
     u = words_at(data)
-    n = len(data) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    n = max(len(data) - width + 1, 0)
+    out = np.zeros(n, np.uint64)
     for k, at in enumerate([*range(0, width - 8, 8), width - 8]):
-        out = mixed(out + u[at : at + max(n, 0)] * _PRIMES[k % 5])
-    return out
+        out += u[at : at + n] * _FACTORS[k]
+    return mixed(out)
 
 
 @dataclass

@@ -34,7 +34,8 @@ BUCKET_BYTES = 8 << 20
 RUN_STRETCHES = 256
 #: A minimum in more chunks than this spreads over buckets by whole stretches.
 HOT_CHUNKS = 1_000
-BLOCK_BYTES = 1 << 20
+#: Bytes hashed at once, small enough to stay in a core's cache.
+BLOCK_BYTES = 1 << 17
 NO_ID = (1 << 63) - 1
 SHARED, HOT = 1, 2
 
@@ -129,7 +130,10 @@ class Chunk:
         self.text = np.searchsorted(self.starts, self.at, "right") - 1
 
     def keys(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per bucket the distinct minima in order, and whether two documents here have them."""
+        """Per bucket the distinct minima in order, and whether two documents here have them.
+
+        Notes for each run which of them, in that order, is its own.
+        """
         order = np.argsort(self.least, kind="stable")
         sorted_, owner = self.least[order], self.ids[self.text[order]]
         if not len(sorted_):
@@ -139,19 +143,22 @@ class Chunk:
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
         bucket = (keys % np.uint64(self.buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[by] = np.arange(len(keys))
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.repeat(place, np.diff(np.append(first, len(order))))
         edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) > 0, [True]]))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             yield int(bucket[by[a]]), keys[by[a:b]], several[by[a:b]]
 
     def shared_strings(self, flags: dict[int, bytes]) -> dict[int, "Strings"]:
         """Per bucket the distinct strings of runs whose minimum is shared, and where each lies."""
-        marks = np.zeros(len(self.least), np.uint8)
-        for bucket, keys, _ in self.keys():
-            if bucket in flags:
-                mine = np.frombuffer(flags[bucket], np.uint8)
-                at = np.minimum(np.searchsorted(keys, self.least), len(keys) - 1)
-                here = keys[at] == self.least
-                marks[here] = mine[at[here]]
+        told = [
+            np.frombuffer(flags[b], np.uint8) if b in flags else np.zeros(len(k), np.uint8) for b, k, _ in self.keys()
+        ]
+        if not told:
+            return {}
+        marks = np.concatenate(told)[self.place]
         out: dict[int, Strings] = {}
         width, raw = REPEAT_BYTES - 1, self.raw
         plain = np.flatnonzero(marks == SHARED)
