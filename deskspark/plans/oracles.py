@@ -320,7 +320,7 @@ WHERE {_tokens_cost('(i - input_tokens)', '(o - output_tokens)')} <= {Q.JOB_CAP_
     length(text) // 4 + 80 AS input_tokens, 15::BIGINT AS output_tokens FROM messages)""",
     """summed AS (SELECT *, sum(input_tokens) OVER w AS i, sum(output_tokens) OVER w AS o FROM paid WINDOW w AS (ORDER BY row_id))""",
 )
-_FRAME = len(T.PROMPT_HEADER) + len(T.CLASSES_HEADING) + len(T.MESSAGE_HEADING) + len(T.PROMPT_FOOTER) + 10
+_FRAME = len(T.PROMPT_HEADER) + len(T.CLASSES_HEADING) + len(T.MESSAGE_HEADING) + len(T.PROMPT_FOOTER) + 9
 _FRAME += sum(len(f"- {name}: {told}") for name, told in P.LENGTH_CLASSES.items())
 _sql(
     "label_job_full",
