@@ -29,10 +29,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     hashed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
-    groups = simhash.near_duplicates(keyed, doc_id="_key")
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = keyed.join(first, F.col("_key") == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    groups = stored(simhash.near_duplicates(keyed, doc_id="_key"), "near-groups")
+    later = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct(), "later")
+    counts = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    several = stored(counts.select(F.col("doc_id").alias("_several")), "repeated-ids")
+    # Both lists are stored, so the planner knows their bytes and moves texts only if a list is large.
+    first = keyed.join(later, F.col("_key") == F.col("_later"), "left_anti")
+    single = first.join(several, F.col("_key") == F.col("_several"), "left_anti")
+    repeated = first.join(several, F.col("_key") == F.col("_several"), "left_semi").dropDuplicates(["_key"])
+    return single.unionByName(repeated).select(*docs.columns)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
