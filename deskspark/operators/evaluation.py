@@ -20,8 +20,10 @@ from deskspark.operators import cost, metrics
 from deskspark.operators.calibration import DEFAULT_BINS, confidence_bin
 from deskspark.operators.prefix import exact_percentiles
 from deskspark.operators.sizes import computed_now
+from deskspark.operators.thresholds import routing_stats
+from deskspark.sources.latency import IN_PROCESS, with_latency_source
 
-_SUMS = ("conf", "latency_ms", "input_tokens", "output_tokens")
+_SUMS = ("conf", "latency_ms", "input_tokens", "output_tokens", "top_5_hit")
 
 
 def evaluation_cells(
@@ -30,7 +32,8 @@ def evaluation_cells(
     """Counts and sums per (group, label, pred) and per (group, bin).
 
     ``df`` has ``label, pred, conf, latency_ms`` and, for a token-billed model,
-    ``input_tokens, output_tokens`` (null elsewhere). ``is_bin`` tells the two
+    ``input_tokens, output_tokens``, and for models with scores ``top_5_hit``
+    (null elsewhere). ``is_bin`` tells the two
     kinds of rows apart.
     """
     by = list(by)
@@ -67,11 +70,13 @@ def cell_counts(cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 def cell_scores(cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Top-1 accuracy and calibration error out of evaluation cells."""
     gap = F.abs(F.col("conf_sum") - F.col("hits"))
+    more = [(F.sum("top_5_hit_sum") / F.sum("n")).alias("top_5_accuracy")] if "top_5_hit_sum" in cells.columns else []
     return (
         cells.where("is_bin")
         .groupBy(*by)
         .agg(
             (F.sum("hits") / F.sum("n")).alias("top_1_accuracy"),
+            *more,
             (F.sum(gap) / F.sum("n")).alias("ece"),
             F.sum("n").alias("n"),
         )
@@ -134,26 +139,44 @@ def evaluation_tables(
     by: Sequence[str] = ("model",),
     n_bins: int = DEFAULT_BINS,
     top_pairs: int = 20,
+    load_test: DataFrame | None = None,
+    limits: DataFrame | None = None,
+    target: float | None = None,
+    pricing_date: str = cost.PRICING_DATE,
 ) -> dict[str, DataFrame]:
-    """The tables of a results document, one per metric family."""
+    """The tables of a results document, one per metric family.
+
+    ``load_test`` (``model, latency_ms``) takes the place of a model's own
+    latencies; with it ``by`` is the model. ``limits`` are routing thresholds
+    fitted on other rows for ``target``; they add the threshold block.
+    """
     by = list(by)
     cells = stored_cells(df, by, n_bins)
     counts = cell_counts(cells, by)
     percentiles = {f"latency_ms_{p}": q for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
-    return {
+    timed = df.withColumn("latency_source", F.lit(IN_PROCESS))
+    if load_test is not None:
+        timed = with_latency_source(df, load_test)
+    timed = timed.select(*by, "latency_source", "latency_ms")
+    n_classes = classes.select("label_id").distinct().agg(F.count("*")).scalar()
+    tables = {
         "metrics": _join_groups(
             [
-                cell_scores(cells, by),
+                cell_scores(cells, by).withColumn("n_classes", n_classes),
                 metrics.macro_f1(counts, classes, by),
-                exact_percentiles(df, "latency_ms", percentiles, by),
+                exact_percentiles(timed, "latency_ms", percentiles, [*by, "latency_source"]),
                 cell_costs(cells, by),
             ],
             by,
         ),
         "per_class": metrics.per_class_metrics(counts, classes, by),
         "top_confusion_pairs": metrics.top_confusion_pairs(counts, classes, top_pairs, by),
-        "cost_summary": cost.cost_breakdown(cell_costs(cells, by)),
+        "cost_summary": cost.cost_breakdown(cell_costs(cells, by), pricing_date=pricing_date),
     }
+    if limits is not None:
+        routed = routing_stats(df, limits, by)
+        tables["thresholds"] = routed.withColumn("target_precision", F.lit(target).cast("double"))
+    return tables
 
 
 def nested(tables: Mapping[str, DataFrame]) -> Column:

@@ -602,11 +602,40 @@ FROM everyone e JOIN f1s f ON f.model = e.model JOIN errors b ON b.model = e.mod
 
 _sql(
     "results_document",
-    """SELECT model, 'class_' || label_id AS class_name, support, round(f1, 6) AS f1 FROM per_class""",
+    f"""SELECT m.*, r.n_accepted, round(r.n_accepted / m.n, 6) AS acceptance_rate,
+  round(coalesce(r.n_right / nullif(r.n_accepted, 0), 0.0), 6) AS precision_among_accepted,
+  (SELECT count(*) FROM limits l WHERE l.model = m.model AND threshold = 1.01) AS n_classes_escalate_all,
+  {Q.TARGET}::DOUBLE AS target_precision FROM (
+  SELECT e.model, round(avg((label = pred)::INT), 6) AS top_1_accuracy, any_value(round(h.top_5, 6)) AS top_5_accuracy,
+    any_value(round(f.macro_f1, 6)) AS macro_f1, any_value(round(b.ece, 6)) AS ece, count(*) AS n,
+    (SELECT count(*) FROM classes) AS n_classes,
+    CASE e.model WHEN 'baseline' THEN 'cloud_run_load_test' ELSE 'laptop_dev' END AS latency_source,
+    round(quantile_cont(latency_ms * CASE e.model WHEN 'baseline' THEN 2 ELSE 1 END, 0.50), 6) AS latency_ms_p50,
+    round(quantile_cont(latency_ms * CASE e.model WHEN 'baseline' THEN 2 ELSE 1 END, 0.95), 6) AS latency_ms_p95,
+    round(quantile_cont(latency_ms * CASE e.model WHEN 'baseline' THEN 2 ELSE 1 END, 0.99), 6) AS latency_ms_p99,
+    round(CASE e.model WHEN 'teacher' THEN (SELECT {_TEACH} FROM labeled WHERE split = 'golden') ELSE {_SERVE.format('latency_ms')} END, 6) AS cost_per_1k_usd
+  FROM everyone e JOIN f1s f ON f.model = e.model JOIN errors b ON b.model = e.model LEFT JOIN fives h ON h.model = e.model
+  GROUP BY e.model) m
+LEFT JOIN (SELECT model, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (accepted AND label = pred) AS n_right
+  FROM routed WHERE split = 'golden' GROUP BY model) r ON r.model = m.model
+WHERE m.model <> 'teacher' UNION ALL BY NAME SELECT * FROM taught""",
     *PREDICTED,
+    *_FIT,
     _TEACHER,
     _ALL_FLAT,
     _PER_CLASS.replace("flat", "everyone"),
+    "f1s AS (SELECT model, avg(f1) AS macro_f1 FROM per_class GROUP BY model)",
+    _BINS.replace("FROM flat", "FROM everyone"),
+    "errors AS (SELECT model, sum(n * abs(mc - acc)) / sum(n) AS ece FROM grouped GROUP BY model)",
+    "fives AS (SELECT model, avg((place <= 5)::INT) AS top_5 FROM ranks WHERE c = label AND split = 'golden' GROUP BY model)",
+    f"""taught AS (SELECT 'teacher' AS model, round(avg((label = pred)::INT), 6) AS top_1_accuracy, NULL::DOUBLE AS top_5_accuracy,
+    any_value(round(f.macro_f1, 6)) AS macro_f1, any_value(round(b.ece, 6)) AS ece, count(*) AS n,
+    (SELECT count(*) FROM classes) AS n_classes, 'laptop_dev' AS latency_source,
+    round(quantile_cont(latency_ms, 0.50), 6) AS latency_ms_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_ms_p95,
+    round(quantile_cont(latency_ms, 0.99), 6) AS latency_ms_p99, (SELECT round({_TEACH}, 6) FROM labeled WHERE split = 'golden') AS cost_per_1k_usd,
+    NULL::BIGINT AS n_accepted, NULL::DOUBLE AS acceptance_rate, NULL::DOUBLE AS precision_among_accepted,
+    NULL::BIGINT AS n_classes_escalate_all, NULL::DOUBLE AS target_precision
+  FROM everyone e JOIN f1s f ON f.model = e.model JOIN errors b ON b.model = e.model WHERE e.model = 'teacher' GROUP BY e.model)""",
 )
 
 # --- sampling and data checks ------------------------------------------------
