@@ -638,6 +638,46 @@ WHERE m.model <> 'teacher' UNION ALL BY NAME SELECT * FROM taught""",
   FROM everyone e JOIN f1s f ON f.model = e.model JOIN errors b ON b.model = e.model WHERE e.model = 'teacher' GROUP BY e.model)""",
 )
 
+# The slope of the loss in the inverse temperature rises, so halving its bracket finds the zero.
+_BISECTION = """lists AS (
+  SELECT g, row_id, list(z - top ORDER BY c) AS zs, max(CASE WHEN c = label THEN z - top END) AS own FROM (
+    SELECT *, max(z) OVER (PARTITION BY g, row_id) AS top FROM told) GROUP BY g, row_id),
+halved AS (
+  SELECT g, 0 AS i, 0.01::DOUBLE AS lo, 20.0::DOUBLE AS hi FROM (SELECT DISTINCT g FROM told)
+  UNION ALL
+  SELECT g, i + 1, CASE WHEN slope > 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN slope > 0 THEN (lo + hi) / 2 ELSE hi END FROM (
+    SELECT h.g, h.i, h.lo, h.hi, avg(list_dot_product(zs, es) / list_sum(es) - own) AS slope FROM (
+      SELECT h.*, l.zs, l.own, list_transform(l.zs, lambda z: exp(z * (h.lo + h.hi) / 2)) AS es
+      FROM halved h JOIN lists l ON l.g = h.g WHERE h.i < 60) h GROUP BY ALL)),
+temperatures AS (SELECT g, 2 / (lo + hi) AS temperature FROM halved WHERE i = 60)"""
+_recursive(
+    "fit_temperature",
+    "SELECT split_part(g, ':', 1) AS model, split_part(g, ':', 2) AS split, round(temperature, 6) AS temperature FROM temperatures",
+    *SCORED,
+    "told AS (SELECT model || ':' || split AS g, row_id, label, c, z FROM scores)",
+    _BISECTION,
+)
+_recursive(
+    "calibration_report",
+    f"""SELECT p.g AS model, any_value(round(t.temperature, 6)) AS temperature, round(sum(n * abs(mc - acc)) FILTER (stage = 'pre') / sum(n) FILTER (stage = 'pre'), 6) AS ece_pre,
+  round(sum(n * abs(mc - acc)) FILTER (stage = 'post') / sum(n) FILTER (stage = 'post'), 6) AS ece_post,
+  round(sum(n * acc) FILTER (stage = 'pre') / sum(n) FILTER (stage = 'pre'), 6) AS val_accuracy_vs_truth,
+  round(sum(n * alike) FILTER (stage = 'pre') / sum(n) FILTER (stage = 'pre'), 6) AS val_accuracy_vs_teacher,
+  (sum(n) FILTER (stage = 'pre'))::BIGINT AS n_val, 15 AS n_bins
+FROM (SELECT g, stage, bin, count(*) AS n, avg(conf) AS mc, avg((pred = label)::INT) AS acc, avg((pred = taught)::INT) AS alike FROM (
+  SELECT *, len(list_filter([{_EDGES}]::DOUBLE[], lambda x: x <= conf))::INT AS bin FROM staged) GROUP BY g, stage, bin) p
+JOIN temperatures t USING (g) GROUP BY p.g""",
+    *SCORED,
+    _TEACHER,
+    """told AS (SELECT s.model AS g, s.row_id, s.label, c, z, l.teacher_intent_id AS taught FROM scores s JOIN labeled l USING (row_id)
+  WHERE s.split = 'val' AND l.teacher_intent_id <> -1)""",
+    _BISECTION,
+    """softened AS (SELECT g, row_id, label, taught, stage, c, exp(z / t - max(z / t) OVER w) AS ex FROM (
+    SELECT told.*, 'pre' AS stage, 1.0 AS t FROM told UNION ALL SELECT told.*, 'post', temperature FROM told JOIN temperatures USING (g))
+  WINDOW w AS (PARTITION BY g, stage, row_id)),
+staged AS (SELECT g, row_id, label, taught, stage, arg_max(c, (ex, -c)) AS pred, max(ex) / sum(ex) AS conf FROM softened GROUP BY ALL)""",
+)
+
 # --- sampling and data checks ------------------------------------------------
 
 

@@ -542,9 +542,13 @@ def fit_temperature(spark, folder):
 
 @query
 def calibration_report(spark, folder):
-    val = P.scored(spark, folder, [P.BASELINE]).where("split = 'val'")
-    found = calibration.calibration_report(val, P.teacher_labels(spark, folder))
-    return found.drop("fitted_at_utc")
+    """One row per model."""
+    val, taught, parts = P.scored(spark, folder).where("split = 'val'"), P.teacher_labels(spark, folder), []
+    for model in (P.BASELINE, P.STUDENT):
+        found = calibration.calibration_report(val.where(F.col("model") == model), taught)
+        parts.append(found.drop("fitted_at_utc").withColumn("model", F.lit(model)))
+    shown = "temperature ece_pre ece_post val_accuracy_vs_truth val_accuracy_vs_teacher".split()
+    return _round(reduce(DataFrame.unionByName, parts), *shown)
 
 
 # --- thresholds --------------------------------------------------------------
