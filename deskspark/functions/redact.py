@@ -49,14 +49,17 @@ _EMAIL_SCAN = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + EMAIL
 _OPEN, _CLOSE, _STAND_IN = "\ue000", "\ue001", "\ue002"
 _WHOLE = f"{_OPEN}$0{_CLOSE}"
 
-# kind, pattern, replacement that marks the span, in tie-break order.
+_DIGIT_PAIR = rf"{DIGIT}[ -]?{DIGIT}"
+
+# kind, pattern, replacement that marks the span, and a cheap pattern that is
+# found wherever a match is; in tie-break order.
 _FINDERS = (
-    ("email", _EMAIL_SCAN, _WHOLE),
-    ("phone", PHONE_INTERNATIONAL, _WHOLE),
-    ("phone", PHONE_PARENTHESES, _WHOLE),
-    ("phone", PHONE_SEPARATED, _WHOLE),
-    ("card", CARD, _WHOLE),
-    ("account", f"({ACCOUNT_LEAD})({ACCOUNT_DIGITS}){WORD_END}", f"$1{_OPEN}$2{_CLOSE}"),
+    ("email", _EMAIL_SCAN, _WHOLE, "@"),
+    ("phone", PHONE_INTERNATIONAL, _WHOLE, rf"\+{DIGIT}"),
+    ("phone", PHONE_PARENTHESES, _WHOLE, rf"\({DIGIT}{{3}}\)"),
+    ("phone", PHONE_SEPARATED, _WHOLE, rf"{DIGIT}{{3}}{GAP}{DIGIT}{{3}}"),
+    ("card", CARD, _WHOLE, rf"(?:{DIGIT}[ -]?){{12}}{DIGIT}"),
+    ("account", f"({ACCOUNT_LEAD})({ACCOUNT_DIGITS}){WORD_END}", f"$1{_OPEN}$2{_CLOSE}", ACCOUNT_DIGITS),
 )
 KINDS = tuple(TOKENS)
 
@@ -177,13 +180,9 @@ def _keep(kind: Column, raw: Column) -> Column:
     )
 
 
-def _may_match(text: Column, kind: str | None = None) -> Column:
-    """Cheap necessary condition for a match of ``kind`` (any kind if None)."""
-    at_sign = F.contains(text, F.lit("@"))
-    digit_pair = F.rlike(text, F.lit(rf"{DIGIT}[ -]?{DIGIT}"))
-    if kind is None:
-        return at_sign | digit_pair
-    return at_sign if kind == "email" else digit_pair
+def _may_match(text: Column) -> Column:
+    """Cheap necessary condition for a match of any kind."""
+    return F.contains(text, F.lit("@")) | F.rlike(text, F.lit(_DIGIT_PAIR))
 
 
 def _without_marks(text: Column) -> Column:
@@ -212,9 +211,9 @@ def _finders(text: Column, kinds: tuple[str, ...]) -> Column:
     def collect(clean: Column) -> Column:
         marked = [
             F.when(
-                _may_match(clean, kind), F.regexp_replace(clean, F.lit(pattern), F.lit(marking))
+                F.rlike(clean, F.lit(gate)), F.regexp_replace(clean, F.lit(pattern), F.lit(marking))
             ).otherwise("")
-            for kind, pattern, marking in wanted
+            for _, pattern, marking, gate in wanted
         ]
         return F.array_sort(F.flatten(F.transform(F.array(*marked), candidates)))
 
