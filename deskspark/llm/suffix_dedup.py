@@ -27,7 +27,7 @@ from deskspark.llm.stored import stored
 
 REPEAT_BYTES = 50
 GRAM_BYTES = 24
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of text per bucket; the buckets grow in number with the corpus.
 BUCKET_BYTES = 8 << 20
 #: A run of more stretches is cut, to bound the suffixes of one string.
