@@ -16,6 +16,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 SPACES = "[\\x20\\x09-\\x0D]+"
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 NOT_SPACES = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 
@@ -35,13 +36,19 @@ def _let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    """Words of a text; none if it is null or all space."""
+    told = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.when(told == "", F.array().cast("array<string>")).otherwise(F.split(told, SPACES))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def repeated_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
     """Words in windows of ``window`` words that occur twice or more, the first included.
 
-    Windows are compared by 64-bit hash. Only texts with an equal pair are
+    ``words`` are the hashes of the words, windows are compared by a 64-bit hash of those. Only texts with an equal pair are
     sorted; the cost is n log n for any text.
     """
     hashes = F.transform(
@@ -75,6 +82,7 @@ def repeated_words(words: Column, window: int = REPEAT_WINDOW) -> Column:
 
 
 def base_counts(text: Column, words: Column) -> dict[str, Column]:
+    """The base columns of a text and its words' hashes."""
     told = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(told, "\n"), lambda x: x.rlike(NOT_SPACES))
     return {
@@ -87,16 +95,14 @@ def base_counts(text: Column, words: Column) -> dict[str, Column]:
 
 
 def _buckets(words: Column) -> Column:
-    """Buckets of all words and of all pairs of neighbours."""
-    singles = F.transform(words, lambda w: F.xxhash64(w))
+    """Buckets of all words and of all pairs of neighbours, from the words' hashes."""
 
-    def both(h: Column) -> Column:
-        pairs = F.transform(
-            F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1))
-        )
-        return F.transform(F.concat(h, pairs), lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
+    def bucket(x: Column) -> Column:
+        return F.pmod(x, F.lit(BUCKETS)).cast("int")
 
-    return _let(singles, both)
+    firsts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    pairs = F.transform(firsts, lambda x, i: bucket(F.xxhash64(x, F.get(words, i + 1))))
+    return F.concat(F.transform(words, bucket), pairs)
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -110,7 +116,7 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, doc_id: str, text: str)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     marked = rows.join(trusted, F.col("_id") == F.col("_trusted_id"), "left")
     grams = marked.select(
-        F.col("_trusted_id").isNotNull().alias("trusted"), F.explode(_buckets(words_of(F.col("_text")))).alias("bucket")
+        F.col("_trusted_id").isNotNull().alias("trusted"), F.explode(_let(_hashes(words_of(F.col("_text"))), _buckets)).alias("bucket")
     )
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("aim"))
     # Prior counts of the trusted multinomial follow the raw one, so a small corpus
@@ -161,7 +167,7 @@ def judge(
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ratio"]
     kept = docs.columns if keep_columns else [doc_id]
-    rows = docs.select(*kept, F.inline(F.array(_let(words_of(body), measured))).alias(*[f"_{n}" for n in names]))
+    rows = docs.select(*kept, F.inline(F.array(_let(_hashes(words_of(body)), measured))).alias(*[f"_{n}" for n in names]))
     failed = (F.col("_n_words") < MIN_WORDS) | (
         F.col("_n_repeat_words") * 100 > F.col("_n_words") * MAX_REPEAT_PERCENT
     )
