@@ -22,17 +22,18 @@ from pyspark.sql import functions as F
 
 from deskspark.llm.arrow_text import batch_of, map_batches
 from deskspark.llm.samples import labelled_sample
+from deskspark.llm.stored import stored
 
 #: Labelled rows the lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
-#: Entries that reach the driver as candidates, at most, by toxic documents.
-CANDIDATES = 20_000
 MIN_DOCS = 5
 MIN_WEIGHT = 2.5
 STEM_CHARS = range(3, 8)
 #: A stem is an entry of its own if it is in so many times the documents of any one continuation.
 STEM_GAIN = 1.5
 PREDICT_AT = 0.3
+#: Counts a task holds before it sends them on; Spark adds them up.
+HELD_COUNTS = 200_000
 
 # Letters that look like another, digits and signs in place of letters, sayings without offence.
 LOOKALIKES = dict(zip("аеорсхуіѕјкмтнвԁαοεικνρτυχ", "aeopcxyisjkmthbdaoeikvptux"))
@@ -119,8 +120,8 @@ def entries_of(told: str) -> set[str]:
     return out
 
 
-def choose_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Entries far more frequent in toxic documents; stems only where they join several words."""
+def best_continuations(toxic: dict[str, int]) -> Counter:
+    """For each stem, the toxic documents of the entry most frequent among those that go on from it."""
     best: Counter = Counter()
     for entry, n in toxic.items():
         stem = entry.rstrip(" ")
@@ -128,6 +129,17 @@ def choose_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
             best[stem[:cut]] = max(best[stem[:cut]], n)
         if entry.endswith(" "):
             best[stem] = max(best[stem], n)
+    return best
+
+
+def choose_entries(
+    toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, best: dict[str, int] | None = None
+) -> dict[str, float]:
+    """Entries far more frequent in toxic documents; stems only where they join several words.
+
+    ``best`` has the best continuations if ``toxic`` does not hold all entries.
+    """
+    best = best_continuations(toxic) if best is None else best
     weights = {}
     for entry, n in toxic.items():
         weight = np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean.get(entry, 0) + 0.5) / (n_clean + 1))
@@ -143,6 +155,24 @@ def choose_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
     }
 
 
+def strong_entries(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """``entry, toxic, clean, best``: the rows of ``counts`` that ``choose_entries`` can choose, all of them.
+
+    ``best`` are the toxic documents of a stem's best continuation among all
+    entries of ``MIN_DOCS``. ``counts`` is read twice and should be stored.
+    """
+    often = counts.where(F.col("toxic") >= MIN_DOCS)
+    stem, is_word = F.rtrim("entry"), F.col("entry").endswith(" ")
+    longest = F.least(F.length(stem) - F.when(is_word, 0).otherwise(1), F.lit(STEM_CHARS[-1] + 1))
+    cuts = F.when(longest > STEM_CHARS[0], F.sequence(F.lit(STEM_CHARS[0] + 1), longest))
+    going_on = often.select(stem.alias("stem"), "toxic", F.explode(cuts).alias("cut"))
+    best = going_on.groupBy(F.expr("left(stem, cut)").alias("entry")).agg(F.max("toxic").alias("best"))
+    weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    # A hair below the bound: numpy's logarithm decides in the end.
+    strong = often.where(weight >= MIN_WEIGHT - 1e-9).join(best, "entry", "left").fillna(0, ["best"])
+    return strong.where(is_word | (F.col("toxic") >= STEM_GAIN * F.col("best")))
+
+
 def fit_slopes(measures: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression with an intercept, by Newton's method."""
     x = np.column_stack([np.ones(len(measures)), measures])
@@ -168,9 +198,10 @@ def learn_lexicon(
 ) -> Lexicon:
     """Lexicon, exceptions and slopes from a bounded sample of labelled rows.
 
-    Four passes over the stored sample: entries of toxic documents, the same
-    entries in clean ones, phrases around hits, and measures. Without labels of
-    both kinds the lexicon is empty.
+    Three passes over the stored sample: entries by label, phrases around hits,
+    and measures. Entries are counted and compared in Spark, and all that are
+    frequent and toxic enough reach the driver. Without labels of both kinds the
+    lexicon is empty.
     """
     sample = labelled_sample(docs, labels, label, rows, doc_id, text).select("text", "label")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -178,25 +209,31 @@ def learn_lexicon(
     if not n_toxic or not n_clean:
         return Lexicon({}, tuple(exceptions))
 
-    def counted(rows_: DataFrame, entries) -> DataFrame:
+    def counted(entries) -> DataFrame:
+        """``entry, toxic, clean``: documents of the sample by entry and label."""
+
+        def told(sums: Counter) -> pa.RecordBatch:
+            columns = [[e for e, _ in sums], [k for _, k in sums], list(sums.values())]
+            return batch_of(["entry", "label", "n"], columns, [pa.string(), pa.int32(), pa.int64()])
+
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: Counter = Counter()
             for batch in batches:
-                for told, kind in zip(batch.column(0), batch.column(1).to_pylist()):
-                    for entry in entries(folded(told.as_py())):
-                        sums[entry, kind] += 1
-            columns = [[e for e, _ in sums], [k for _, k in sums], list(sums.values())]
-            yield batch_of(["entry", "label", "n"], columns, [pa.string(), pa.int32(), pa.int64()])
-
-        found = map_batches(rows_, task, "entry string, label int, n long")
-        return found.groupBy("entry", "label").agg(F.sum("n").alias("n"))
-
-    likely = counted(sample.where("label = 1"), entries_of).where(F.col("n") >= MIN_DOCS)
-    toxic = {r["entry"]: r["n"] for r in likely.orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()}
-    wanted = sample.sparkSession.sparkContext.broadcast(frozenset(toxic))
-    seen = counted(sample.where("label = 0"), lambda told: entries_of(told) & wanted.value)
-    clean = {r["entry"]: r["n"] for r in seen.collect()}
-    found = Lexicon(choose_entries(toxic, clean, n_toxic, n_clean))
+                for body, kind in zip(batch.column(0), batch.column(1).to_pylist()):
+                    sums.update((entry, kind) for entry in entries(folded(body.as_py())))
+                    if len(sums) > HELD_COUNTS:
+                        yield told(sums)
+                        sums = Counter()
+            yield told(sums)
+
+        found = map_batches(sample, task, "entry string, label int, n long")
+        by_label = [F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "toxic"), (0, "clean"))]
+        return found.groupBy("entry").agg(*by_label)
+
+    often = stored(counted(entries_of).where(F.col("toxic") >= MIN_DOCS), "toxic-entries")
+    strong = sorted(strong_entries(often, n_toxic, n_clean).collect())
+    toxic, clean, best = ({r["entry"]: r[c] for r in strong} for c in ("toxic", "clean", "best"))
+    found = Lexicon(choose_entries(toxic, clean, n_toxic, n_clean, best))
 
     def phrases(told: str) -> set[str]:
         out = set()
@@ -209,10 +246,7 @@ def learn_lexicon(
                 out.add(f"{word} {rest[1]}")
         return {p for p in out if " " in p}
 
-    around: dict[str, dict[int, int]] = {}
-    for r in counted(sample, phrases).where(F.col("n") >= 3).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect():
-        around.setdefault(r["entry"], {})[r["label"]] = r["n"]
-    harmless = sorted(p for p, n in around.items() if 1 not in n)
+    harmless = sorted(r["entry"] for r in counted(phrases).where("toxic < 3 and clean >= 3").collect())
     lexicon = Lexicon(found.weights, tuple(dict.fromkeys([*exceptions, *harmless])))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,6 +110,21 @@ def test_learning_and_odd_rows(spark, frame, odd, prose):
     assert not nothing.weights and T.score_toxicity(frame([]), nothing).count() == 0
 
 
+def test_rare_toxic_words_stand_beside_a_rich_vocabulary(spark, frame):
+    draw = random.Random(5)
+    usual = ["".join(draw.choice("abcdefghij") for _ in range(9)) for _ in range(6000)]
+    rows = [(i, " ".join(usual) + (" zork" if i < 7 else "") + (f" quib{'xy'[i % 2]}{chr(97 + i)}" if i < 10 else "")) for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, toxic int")
+    assert len(T.entries_of(T.folded(rows[0][1]))) > 25_000
+    weights = T.learn_lexicon(frame(rows), labels).weights
+    counts = [{}, {}]
+    for i, body in rows:
+        for entry in T.entries_of(T.folded(body)):
+            counts[i < 10][entry] = counts[i < 10].get(entry, 0) + 1
+    toxic = {e: n for e, n in counts[1].items() if n >= T.MIN_DOCS}
+    assert weights == T.choose_entries(toxic, counts[0], 10, 10) and {" zork ", " quib"} <= set(weights)
+
+
 def test_quality_learning_and_odd_rows(spark, frame, odd, prose):
     rows = [(i, prose(i, 60) if i % 2 else " ".join(["spam"] * 40 + ["##"] * 9)) for i in range(120)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
