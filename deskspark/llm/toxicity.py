@@ -32,6 +32,10 @@ STEM_CHARS = range(3, 8)
 #: A stem is an entry of its own if it is in so many times the documents of any one continuation.
 STEM_GAIN = 1.5
 PREDICT_AT = 0.3
+#: A phrase in clean documents alone is harmless if that many from the sample are so by chance this rarely.
+EXCEPTION_CHANCE = 0.05
+#: Clean documents an exception phrase needs in any case.
+EXCEPTION_DOCS = 3
 #: Counts a task holds before it sends them on; Spark adds them up.
 HELD_COUNTS = 200_000
 
@@ -173,6 +177,12 @@ def strong_entries(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return strong.where(is_word | (F.col("toxic") >= STEM_GAIN * F.col("best")))
 
 
+def enough_clean(n_toxic: int, n_clean: int) -> int:
+    """Documents of the sample that are all clean by chance in at most ``EXCEPTION_CHANCE`` of cases."""
+    rarely = np.log(EXCEPTION_CHANCE) / np.log(n_clean / (n_toxic + n_clean))
+    return max(EXCEPTION_DOCS, int(np.ceil(rarely)))
+
+
 def fit_slopes(measures: np.ndarray, toxic: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression with an intercept, by Newton's method."""
     x = np.column_stack([np.ones(len(measures)), measures])
@@ -200,8 +210,9 @@ def learn_lexicon(
 
     Three passes over the stored sample: entries by label, phrases around hits,
     and measures. Entries are counted and compared in Spark, and all that are
-    frequent and toxic enough reach the driver. Without labels of both kinds the
-    lexicon is empty.
+    frequent and toxic enough reach the driver. Exceptions are phrases in no toxic
+    document and in so many clean ones that the toxic share of the sample makes
+    chance unlikely. Without labels of both kinds the lexicon is empty.
     """
     sample = labelled_sample(docs, labels, label, rows, doc_id, text).select("text", "label")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -246,7 +257,8 @@ def learn_lexicon(
                 out.add(f"{word} {rest[1]}")
         return {p for p in out if " " in p}
 
-    harmless = sorted(r["entry"] for r in counted(phrases).where("toxic < 3 and clean >= 3").collect())
+    spared = counted(phrases).where((F.col("toxic") == 0) & (F.col("clean") >= enough_clean(n_toxic, n_clean)))
+    harmless = sorted(r["entry"] for r in spared.collect())
     lexicon = Lexicon(found.weights, tuple(dict.fromkeys([*exceptions, *harmless])))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

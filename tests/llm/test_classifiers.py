@@ -125,6 +125,19 @@ def test_rare_toxic_words_stand_beside_a_rich_vocabulary(spark, frame):
     assert weights == T.choose_entries(toxic, counts[0], 10, 10) and {" zork ", " quib"} <= set(weights)
 
 
+def test_exceptions_stand_in_no_toxic_document(spark, frame):
+    # Toxic documents 0 to 99, clean ones 100 to 399: 11 clean ones are enough.
+    after = {0: "hill", 1: "hill", **dict.fromkeys(range(100, 103), "hill"), **dict.fromkeys(range(103, 107), "pond")}
+    after |= dict.fromkeys(range(107, 118), "tree")
+    rows = [(i, f"some words zork {after.get(i, f'w{chr(97 + i % 26)}{chr(97 + i // 26)}')}") for i in range(118)]
+    rows += [(i, "some words and others") for i in range(118, 400)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(400)], "doc_id long, toxic int")
+    assert T.enough_clean(100, 300) == 11 and T.enough_clean(900, 100) == 3
+    lexicon = T.learn_lexicon(frame(rows), labels, exceptions=())
+    assert " zork " in lexicon.weights and lexicon.exceptions == ("zork tree",)
+    assert len(lexicon.hits(T.folded("zork hill"))) == 1 and not lexicon.hits(T.folded("zork tree"))
+
+
 def test_quality_learning_and_odd_rows(spark, frame, odd, prose):
     rows = [(i, prose(i, 60) if i % 2 else " ".join(["spam"] * 40 + ["##"] * 9)) for i in range(120)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
