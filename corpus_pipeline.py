@@ -25,10 +25,13 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each group of near copies.
 
     A document without an id goes by a hash of its text, after all that have
-    one; rows of one id are one document.
+    one. Rows of one id and text are one document; different texts of one id
+    are documents of their own, and the smaller hash of the text comes first.
     """
     hashed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
+    by_id = F.coalesce(F.col("doc_id").cast("long"), hashed).alias("id")
+    # With the text's hash in it, a group's smallest key names no other group's document.
+    keyed = docs.withColumn("_key", F.struct(by_id, F.xxhash64("text").alias("text")))
     groups = stored(simhash.near_duplicates(keyed, doc_id="_key"), "near-groups")
     later = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct(), "later")
     counts = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")

@@ -26,6 +26,16 @@ def test_run_equals_the_operators_by_hand(spark):
     assert {d: r["copies"] for d, r in result.items()} == by_hand
 
 
+def test_reused_ids_lose_no_group(spark, frame, prose):
+    texts = {name: prose(seed, 40) for seed, name in enumerate("ABCDE")}
+    # B takes id 5 from A, A and C both have 5 as their smallest id, D and E share an id of their own.
+    rows = [(5, "A"), (9, "A"), (3, "B"), (5, "B"), (5, "C"), (7, "C"), (8, "D"), (8, "E"), (8, "E"), (None, "D")]
+    table = frame([(i, texts[t], "en", "s") for i, t in rows])
+    kept = P.keep_one_of_each(spark, table, SF).collect()
+    want = [(5, "A"), (3, "B"), (5, "C"), (8, "D"), (8, "E")]
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((i, texts[t]) for i, t in want)
+
+
 def test_stages_take_effect_on_odd_rows(spark, frame, odd, prose):
     docs = [(i, prose(i, 40), "en", "s") for i in range(20)]
     docs += [(30, prose(3, 40), "en", "s"), (None, prose(3, 40), "en", "s"), (None, prose(31, 40), "en", "s")]
