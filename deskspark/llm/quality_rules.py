@@ -8,6 +8,8 @@ expression; texts are never shuffled.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,13 +150,17 @@ def judge(
     under ``MIN_WORDS`` words; ``log_ratio`` is 0 without n-grams. Equal texts
     get equal verdicts, repeated rows each count, other columns are ignored (or
     carried along with ``keep_columns``), an empty table gives an empty one.
-    Without any trusted document all ratios are near 0 and the base rules
-    decide alone.
+    The lowest ratio is ``log(prior / (prior + trusted n-grams))``: with fewer
+    than about 10,600 trusted n-grams (at -0.15) it rejects nothing and the base
+    rules decide alone, of which a warning tells.
     """
     # One value per bucket, a fixed number: folded into the plan as a literal array.
     told = ["0"] * BUCKETS
-    for row in log_ratios(docs, trusted_sample(labels), doc_id, text).collect():
+    ratios = log_ratios(docs, trusted_sample(labels), doc_id, text).collect()
+    for row in ratios:
         told[row["bucket"]] = f"{row['ratio']:.6g}"
+    if ratios and min(row["ratio"] for row in ratios) >= threshold:
+        warnings.warn(f"too few trusted n-grams for a log ratio below {threshold}: only the base rules reject", stacklevel=2)
     body, table = F.col(text), F.split(F.lit(",".join(told)), ",").cast("array<float>")
 
     def measured(words: Column) -> Column:

@@ -1,4 +1,5 @@
 import re
+import warnings
 from collections import Counter
 from pathlib import Path
 
@@ -72,6 +73,16 @@ def test_counts_and_verdicts(spark, frame, prose, odd, monkeypatch):
     assert R.judge(frame([]), labels).count() == 0 and R.judge(frame(docs), labels.where("1 = 0")).count() == len(docs)
 
 
+def test_too_few_trusted_words_are_told(spark, frame, prose):
+    docs = frame([(i, prose(i, 30)) for i in range(6)])
+    labels = spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, quality int")
+    with pytest.warns(UserWarning, match="too few trusted"):
+        R.judge(docs, labels)
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", "too few trusted")
+        R.judge(docs, labels, threshold=-1e-4)
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_clean_documents_stay(spark, folder):
     if not Path(folder).exists():
