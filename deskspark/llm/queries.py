@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskspark.llm import decontaminate, language, mixing, quality, quality_rules, secrets, simhash, suffix_dedup, toxicity, warc
+from deskspark.llm import (
+    decontaminate,
+    fill_middle,
+    language,
+    mixing,
+    quality,
+    quality_rules,
+    secrets,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +88,23 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.rearranged_digest(fill_middle.rearrange_texts(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_language, op3_quality, op4_toxicity, op5_warc, op6_quality_rules, op7_mixing, op8_suffix_dedup, op9_secrets, op10_simhash)
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_language,
+        op3_quality,
+        op4_toxicity,
+        op5_warc,
+        op6_quality_rules,
+        op7_mixing,
+        op8_suffix_dedup,
+        op9_secrets,
+        op10_simhash,
+        op12_fill_middle,
+    )
 }
