@@ -72,6 +72,46 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM b LEFT JOIN runs USING (r) LEFT JOIN kept USING (r)
 """
 
+
+def _clusters(rounds: int) -> str:
+    """Every vector measured against every centroid, round after round."""
+    parts = [
+        """p AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))]) = 64),
+x AS (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM p),
+starts AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM p),
+c0 AS (SELECT c, i, x AS y FROM x JOIN starts USING (r) WHERE c < 16)"""
+    ]
+    for t in range(rounds + 1):
+        parts.append(
+            f"""d{t} AS (SELECT r, c, sum((x - y) * (x - y)) AS d FROM x JOIN c{t} USING (i) GROUP BY r, c),
+a{t} AS (
+  SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM d{t}) WHERE place = 1)"""
+        )
+        if t < rounds:
+            parts.append(
+                f"""m{t} AS (
+  SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS y
+  FROM x JOIN a{t} USING (r) GROUP BY c, i),
+c{t + 1} AS (SELECT c, i, coalesce(m{t}.y, c{t}.y) AS y FROM c{t} LEFT JOIN m{t} USING (c, i))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, told AS centroid_sha256
+FROM p JOIN a{rounds} USING (r)
+JOIN (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS told FROM c{rounds} GROUP BY c) USING (c)
+"""
+    )
+
+
+ORACLES["op11_clusters"] = _clusters(3)
+
 ORACLES["op12_fill_middle"] = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskspark.llm import (
+    clusters,
     decontaminate,
     fill_middle,
     language,
@@ -88,6 +89,11 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    placed, centroids = clusters.cluster_vectors(_table(spark, folder, "embeddings"))
+    return clusters.cluster_report(spark, placed, centroids)
+
+
 def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_middle.rearranged_digest(fill_middle.rearrange_texts(_table(spark, folder, "documents")))
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_secrets,
         op10_simhash,
+        op11_clusters,
         op12_fill_middle,
     )
 }
