@@ -13,6 +13,7 @@ from deskspark.llm import (
     fill_middle,
     language,
     mixing,
+    pair_bytes,
     quality,
     quality_rules,
     secrets,
@@ -98,6 +99,15 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_middle.rearranged_digest(fill_middle.rearrange_texts(_table(spark, folder, "documents")))
 
 
+def op13_bpe(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    coded = pair_bytes.encode_texts(_table(spark, folder, "documents"), tokenizer)
+    return pair_bytes.token_digest(pair_bytes.decode_ids(coded, tokenizer))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash,
         op11_clusters,
         op12_fill_middle,
+        op13_bpe,
     )
 }
