@@ -736,6 +736,17 @@ WHERE text NOT IN (SELECT text FROM docs WHERE split = 'train')""",
     _DOC_SPLIT,
 )
 
+_sql(
+    "embed_cache_fill",
+    """SELECT doc_id, CAST(length(text) AS DOUBLE) AS e0, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS e1,
+    CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e2, CAST(length(text) - length(replace(text, 'a', '')) AS DOUBLE) AS e3,
+    (SELECT count(DISTINCT text) FROM docs WHERE split = 'train') AS added_1,
+    (SELECT count(DISTINCT text) FROM docs) - (SELECT count(DISTINCT text) FROM docs WHERE split = 'train') AS added_2,
+    CAST(0 AS BIGINT) AS added_3
+FROM docs""",
+    _DOC_SPLIT,
+)
+
 # --- scoring -----------------------------------------------------------------
 
 _LOGITS = ", ".join(

@@ -778,6 +778,21 @@ def embed_cache_misses(spark, folder):
     return missing.select("cache_key", F.length("text").alias("n_chars"))
 
 
+@query
+def embed_cache_fill(spark, folder):
+    """Training texts first, then all, then all again; every document gets its vector from the cache."""
+    path = run_folder(spark, "embeddings")
+    docs = P.documents(spark, folder).withColumn("split", P.hashed_split("doc_id"))
+    added = [
+        embeddings.fill_cache(some, path, ENCODER, P.load_count_encoder)
+        for some in (docs.where("split = 'train'"), docs, docs)
+    ]
+    found = embeddings.with_embeddings(docs, embeddings.read_cache(spark, path), ENCODER)
+    counts = {f"added_{i}": F.lit(n).cast("long") for i, n in enumerate(added, 1)}
+    vector = {f"e{i}": F.get("embedding", F.lit(i)) for i in range(4)}
+    return found.select("doc_id", *[c.alias(n) for n, c in {**vector, **counts}.items()])
+
+
 # --- models, batch and stream scoring ----------------------------------------
 
 

@@ -66,6 +66,13 @@ CALL_FAILURES = T.StructType(
     ]
 )
 
+EMBEDDINGS = T.StructType(
+    [
+        T.StructField("cache_key", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.DoubleType())),
+    ]
+)
+
 LATENCY_FILE = T.StructType(
     [
         T.StructField("model", T.StringType()),

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskspark.operators.sizes import computed_now
+from deskspark.schemas import EMBEDDINGS
+from deskspark.sources import commits
+
+TextEncoder = Callable[[Sequence[str]], np.ndarray]
+#: Texts handed to the encoder at once.
+ENCODE_ROWS = 64
 
 
 def cache_key(encoder: str, text: Column) -> Column:
@@ -17,10 +27,11 @@ def cache_misses(messages: DataFrame, cache: DataFrame, encoder: str) -> DataFra
     """Distinct texts that still have to be encoded.
 
     Keys are looked up first, without their texts, and copies of a text collapse
-    before they move. Only texts that are missing are read after that.
+    before they move. Only texts that are missing are read after that. A null
+    text has no key and is never missing.
     """
     keyed = messages.select(cache_key(encoder, F.col("text")).alias("cache_key"), "text")
-    keys = keyed.select("cache_key").distinct()
+    keys = keyed.select("cache_key").where("cache_key IS NOT NULL").distinct()
     missing = computed_now(keys.join(cache.select("cache_key"), "cache_key", "left_anti"))
     wanted = keyed.join(missing, "cache_key", "left_semi")
     return wanted.groupBy("cache_key").agg(F.any_value("text").alias("text"))
@@ -30,3 +41,85 @@ def with_embeddings(messages: DataFrame, cache: DataFrame, encoder: str) -> Data
     """Look embeddings up; rows not in the cache keep a null embedding."""
     keyed = messages.withColumn("cache_key", cache_key(encoder, F.col("text")))
     return keyed.join(cache.select("cache_key", "embedding"), "cache_key", "left").drop("cache_key")
+
+
+def encode_texts(missing: DataFrame, load_encoder: Callable[[], TextEncoder], rows: int = ENCODE_ROWS) -> DataFrame:
+    """``cache_key, embedding`` of distinct texts, encoded in batches inside the tasks.
+
+    ``load_encoder`` runs once per task. A result with other than one row per
+    text, or a component that is no finite number, is an error: a vector stays
+    in the cache for good.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = None
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            encode = encode or load_encoder()
+            for at in range(0, len(texts), rows):
+                some = texts[at : at + rows]
+                vectors = np.asarray(encode(some), dtype=np.float64)
+                if vectors.ndim != 2 or len(vectors) != len(some) or not np.isfinite(vectors).all():
+                    raise ValueError(f"The encoder gave no usable vectors for {len(some)} texts")
+                column = pa.array(list(vectors), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([keys[at : at + rows], column], EMBEDDINGS.names)
+
+    return missing.select("cache_key", "text").mapInArrow(task, EMBEDDINGS)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Embeddings of all published fills, one row per key."""
+    return commits.read_parts(spark, path, EMBEDDINGS, commits.latest(spark, path).parts)
+
+
+def fill_cache(
+    messages: DataFrame, path: str, encoder: str, load_encoder: Callable[[], TextEncoder], rows: int = ENCODE_ROWS
+) -> int:
+    """Encode the texts that the cache at ``path`` does not hold yet; how many were added.
+
+    Rows become part of the cache all at once, when their list is published.
+    Until then a failed or killed fill leaves the cache as it was. A fill that
+    meets another one's list drops the keys the other one added and publishes
+    the rest, so no key is ever there twice. Calling again encodes nothing.
+    """
+    spark = messages.sparkSession
+    seen = commits.latest(spark, path)
+    missing = cache_misses(messages, commits.read_parts(spark, path, EMBEDDINGS, seen.parts), encoder)
+    part = commits.new_part(encode_texts(missing, load_encoder, rows), path)
+    while True:
+        added = commits.read_parts(spark, path, EMBEDDINGS, (part,)).count()
+        if not added:
+            return 0
+        if commits.publish(spark, path, seen, (*seen.parts, part)):
+            return added
+        now = commits.latest(spark, path)
+        theirs = commits.read_parts(spark, path, EMBEDDINGS, tuple(p for p in now.parts if p not in seen.parts))
+        mine = commits.read_parts(spark, path, EMBEDDINGS, (part,))
+        part = commits.new_part(mine.join(theirs.select("cache_key"), "cache_key", "left_anti"), path)
+        seen = now
+
+
+def compact_cache(spark: SparkSession, path: str, files: int) -> bool:
+    """Put all fills into one folder of ``files`` files, ordered by key; false if there was nothing to do.
+
+    Fills published meanwhile stay beside it.
+    """
+    seen = commits.latest(spark, path)
+    if len(seen.parts) < 2:
+        return False
+    whole = commits.read_parts(spark, path, EMBEDDINGS, seen.parts)
+    part = commits.new_part(whole.repartitionByRange(files, "cache_key").sortWithinPartitions("cache_key"), path)
+    merged = set(seen.parts)
+    while not commits.publish(spark, path, seen, (part, *[p for p in seen.parts if p not in merged])):
+        seen = commits.latest(spark, path)
+        if not merged <= set(seen.parts):
+            return False  # another compaction came first
+    return True
+
+
+def embed_messages(
+    messages: DataFrame, path: str, encoder: str, load_encoder: Callable[[], TextEncoder], rows: int = ENCODE_ROWS
+) -> DataFrame:
+    """``messages`` with ``embedding``, encoding only what the cache does not hold; null for null texts."""
+    fill_cache(messages, path, encoder, load_encoder, rows)
+    return with_embeddings(messages, read_cache(messages.sparkSession, path), encoder)
