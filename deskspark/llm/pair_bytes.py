@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,12 @@ BLOCK_SYMBOLS = 1 << 20
 #: Stretches between white space a task remembers, and their bytes, before it begins anew.
 KNOWN_STRETCHES = 300_000
 KNOWN_BYTES = 32 << 20
+LETTERS = r"[\p{L}]+"
 NEVER = (1 << 63) - 1
-#: Symbols up to which a word is merged by scanning its ranks, without a heap.
+#: Symbols up to which words are merged side by side; longer ones have a heap each.
 SHORT_WORD = 48
+#: Words left below which tokens are followed word by word, as a few long words would take many steps.
+FEW_WORDS = 32
 
 
 def load_tokenizer(path: str) -> dict:
@@ -130,7 +134,7 @@ def _rank_of(tables: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Rank of the merge of each pair, ``NEVER`` if there is none."""
     keys = left * len(tables["rank"]) + right
     if not len(tables["pairs"]):
-        return np.full(len(keys), NEVER)
+        return np.full(keys.shape, NEVER)
     at = np.minimum(np.searchsorted(tables["pairs"], keys), len(tables["pairs"]) - 1)
     return np.where(tables["pairs"][at] == keys, tables["pair_rank"][at], NEVER)
 
@@ -168,8 +172,27 @@ def fits(tables: dict, left: np.ndarray, right: np.ndarray, until: np.ndarray |
     return ok
 
 
+class Ragged:
+    """Rows of numbers of any length, added at the end and gathered by row number."""
+
+    def __init__(self) -> None:
+        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def rows(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``index`` one after the other, and where each ends."""
+        sizes = self.size[index]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.at[index] - (ends - sizes), sizes) + np.arange(total)], ends
+
+
 class Encoder:
-    """Encodes texts, batch by batch, remembering the stretches between white space it has met."""
+    """Encodes texts, batch by batch, remembering words and stretches between white space it has met."""
 
     def __init__(self, told: dict) -> None:
         from tokenizers import Tokenizer
@@ -179,19 +202,26 @@ class Encoder:
         shaper = Tokenizer.from_str(json.dumps({**empty, **json.loads(told["shape"])}))
         self.normalize = shaper.normalizer.normalize_str
         self.split = shaper.pre_tokenizer.pre_tokenize_str
-        self.ascii_words = regex.compile(told["pattern"]).findall
+        self.plain_words = regex.compile(told["pattern"]).findall
+        # Letters are one word if no way to match one comes before the run of letters.
+        ways = told["pattern"].split("|")
+        run = ways.index(LETTERS) if LETTERS in ways else 0
+        apart = not any(content.isalpha() for _, content in told["special"])
+        self.letters_stay = LETTERS in ways and apart and all(w.startswith("'") for w in ways[:run])
         self.symbol = np.zeros(max(map(ord, told["bytes"])) + 1, np.int64)
         self.symbol[[ord(c) for c in told["bytes"]]] = np.arange(256)
-        self.special = {content: i for i, content in told["special"]}
+        self.special = {content: (i,) for i, content in told["special"]}
         by_length = sorted(self.special, key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")").split if by_length else None
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.merge_of: dict[int, int] | None = None
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.known_bytes = 0
-        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words_in = Ragged()
+        self.word_number: dict[str | tuple[int], int] = {}
+        self.ids_of = Ragged()
 
     def encode(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start (one more at the end)."""
@@ -199,86 +229,106 @@ class Encoder:
             self.forget()
         # Words never reach over white space, and composition does not either.
         stretches = [t.split() for t in texts]
-        fresh = {s for some in stretches for s in some if s not in self.known}
+        fresh = set(chain.from_iterable(stretches)).difference(self.known)
         if fresh:
             self.learn(list(fresh))
-        index = np.fromiter((self.known[s] for some in stretches for s in some), np.int64)
         counts = np.array([len(some) for some in stretches], np.int64)
-        sizes = self.size[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[index] - (ends - sizes), sizes) + np.arange(total)]
-        starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, starts
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(stretches)), np.int64, int(counts.sum()))
+        words, word_ends = self.words_in.rows(index)
+        ids, id_ends = self.ids_of.rows(words)
+        # From texts to stretches to words to ids.
+        upto = np.concatenate([[0], word_ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.concatenate([[0], id_ends])[upto]
 
     def learn(self, stretches: list[bytes]) -> None:
-        """Encode stretches not met before and remember them."""
-        words: dict[str, int] = {}
-        parts = []
-        for stretch in stretches:
-            parts.append([words.setdefault(w, len(words)) if w else -1 - i for w, i in self.words_of(stretch.decode())])
-        coded = self.encode_words(list(words))
-        new = [[t for p in part for t in (coded[p] if p >= 0 else (-1 - p,))] for part in parts]
-        sizes = np.array([len(n) for n in new], np.int64)
-        first = len(self.size)
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((t for n in new for t in n), np.int32, int(sizes.sum()))])
+        """Take stretches not met before into words, encode new words, and remember both."""
+        parts = [
+            [s.lower().decode()] if self.letters_stay and s.isalpha() else self.words_of(s.decode()) for s in stretches
+        ]
+        number = self.word_number
+        fresh = list(dict.fromkeys(w for part in parts for w in part if w not in number))
+        number.update(zip(fresh, range(len(number), len(number) + len(fresh))))
+        sizes = np.array([0 if isinstance(w, tuple) else len(w) for w in fresh], np.int64)
+        for first, last in pieces(np.cumsum(np.concatenate([[0], sizes])), BLOCK_SYMBOLS):
+            self.ids_of.add(*self._encode_block(fresh[first:last]))
+        counts = np.array([len(part) for part in parts], np.int64)
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        first = len(self.words_in.size)
+        self.words_in.add(flat, counts)
         self.known.update(zip(stretches, range(first, first + len(stretches))))
         self.known_bytes += sum(map(len, stretches))
 
-    def words_of(self, stretch: str) -> Iterator[tuple[str, int]]:
-        """The words of a stretch in byte letters, each with 0; special tokens as an empty word with their id."""
-        parts = self.cut(stretch) if self.cut else [stretch]
-        for k, part in enumerate(parts):
-            if k % 2:
-                yield "", self.special[part]
-            elif part.isascii():
-                # Code points below 128 are their own byte letters and their own composed form.
-                for word in self.ascii_words(part.lower()):
-                    yield (word if word.isprintable() else self.split(word)[0][0]), 0
-            else:
-                for word, _ in self.split(self.normalize(part)):
-                    yield word, 0
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word: guessed, proved pair by pair, and merged in full where the proof fails."""
-        out: list[list[int]] = []
-        sizes = np.array([0, *map(len, words)], np.int64)
-        for first, last in pieces(np.cumsum(sizes), BLOCK_SYMBOLS):
-            out += self._encode_block(words[first:last])
-        return out
-
-    def _encode_block(self, words: list[str]) -> list[list[int]]:
-        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    def words_of(self, stretch: str) -> list[str | tuple[int]]:
+        """The words of a stretch in byte letters; special tokens as a tuple of their id."""
+        if self.cut is None or not self.cut.search(stretch):
+            return self._plain(stretch)
+        parts = enumerate(self.cut.split(stretch))
+        return [w for k, part in parts for w in ([self.special[part]] if k % 2 else self._plain(part))]
+
+    def _plain(self, part: str) -> list[str]:
+        # Visible ASCII is its own composed form and its own byte letters.
+        if part.isascii() and part.isprintable():
+            return self.plain_words(part.lower())
+        return [word for word, _ in self.split(self.normalize(part))]
+
+    def _encode_block(self, words: list[str | tuple[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and how many each has: guessed, proved by pairs, merged where that fails."""
+        special = {w: word[0] for w, word in enumerate(words) if isinstance(word, tuple)}
+        texts = ["" if isinstance(w, tuple) else w for w in words] if special else words
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         symbols = self.symbol[points]
-        ends = np.cumsum([len(w) for w in words])
-        symbols[ends - 1] += 256
-        token, length = self._longest(symbols, ends)
-        # From each word's start, one token after the other.
-        token, length = token.tolist(), length.tolist()
-        guesses, at = [], 0
-        for end in ends.tolist():
-            guess = []
-            while at < end:
-                guess.append(token[at])
-                at += length[at]
-            guesses.append(guess)
-        flat = np.fromiter((t for g in guesses for t in g), np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(g) for g in guesses])
+        ends = np.cumsum([len(w) for w in texts], dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        symbols[ends[ends > starts] - 1] += 256
+        token, length = self._longest(symbols, starts, ends)
+        begins = self._from_start_to_end(length, starts, ends)
+        flat, owner = token[begins], np.searchsorted(ends, np.flatnonzero(begins), "right")
+        size = len(self.tables["rank"])
         beside = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs, which = np.unique(flat[beside] * len(self.tables["rank"]) + flat[beside + 1], return_inverse=True)
-        proved = fits(self.tables, *np.divmod(pairs, len(self.tables["rank"])))
-        starts = np.concatenate([[0], ends])
-        for w in np.unique(owner[beside[~proved[which]]]).tolist():
-            guesses[w] = self.merge(symbols[starts[w] : starts[w + 1]])
-        return guesses
-
-    def _longest(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs, which = np.unique(flat[beside] * size + flat[beside + 1], return_inverse=True)
+        proved = fits(self.tables, *np.divmod(pairs, size))
+        counts = np.bincount(owner, minlength=len(words))
+        out, rows = Ragged(), np.arange(len(words))
+        out.add(flat, counts)
+
+        def instead(which: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+            rows[which] = len(out.size) + np.arange(len(which))
+            out.add(flat, counts)
+
+        failed = np.unique(owner[beside[~proved[which]]])
+        sizes = (ends - starts)[failed]
+        for n in np.unique(sizes[sizes <= SHORT_WORD]).tolist():
+            some = failed[sizes == n]
+            for left, ids in self.merge_alike(symbols[starts[some][:, None] + np.arange(n)]):
+                instead(some[left], ids.ravel(), np.full(len(ids), ids.shape[1]))
+        for w in failed[sizes > SHORT_WORD].tolist():
+            ids = self.merge(symbols[starts[w] : ends[w]])
+            instead(np.array([w]), np.array(ids), np.array([len(ids)]))
+        instead(np.array(list(special), np.int64), np.array(list(special.values()), np.int64), np.ones(len(special), np.int64))
+        return out.rows(rows)[0], out.size[rows]
+
+    @staticmethod
+    def _from_start_to_end(length: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which places begin a token, going from each word's start from token to token, all words side by side."""
+        begins = np.zeros(len(length), bool)
+        at, end = starts[ends > starts], ends[ends > starts]
+        while len(at) > FEW_WORDS:
+            begins[at] = True
+            at = at + length[at]
+            at, end = at[at < end], end[at < end]
+        if len(at):
+            step = length.tolist()
+            for place, stop in zip(at.tolist(), end.tolist()):
+                while place < stop:
+                    begins[place] = True
+                    place += step[place]
+        return begins
+
+    def _longest(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The longest token at every place, and its length in symbols."""
         n, t = len(symbols), self.tables
         token, length = np.zeros(n, np.int64), np.ones(n, np.int64)
-        limit = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+        limit = np.repeat(ends, ends - starts)
         place, node, depth = np.arange(n), np.zeros(n, np.int64), 0
         while len(place):
             keys = node * len(t["base"]) + symbols[place + depth]
@@ -292,16 +342,39 @@ class Encoder:
             place, node = place[more], node[more]
         return token, length
 
+    def merge_alike(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words of one length, merged step by step side by side: which of them are done, and their ids.
+
+        Each step makes the lowest merge of every word that has one, the
+        leftmost among equals, so all words left are one symbol shorter then.
+        """
+        ids, row = self.tables["base"][symbols], np.arange(len(symbols))
+        ranks = _rank_of(self.tables, ids[:, :-1], ids[:, 1:])
+        while len(row) and ids.shape[1] > 1:
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(row)), at]
+            goes = least < NEVER
+            if not goes.all():
+                yield row[~goes], ids[~goes]
+                row, ids, ranks, at, least = row[goes], ids[goes], ranks[goes], at[goes], least[goes]
+            n, every = ids.shape[1], np.arange(len(row))
+            ids[every, at] = self.tables["merged"][least]
+            ids = ids[np.arange(n) != at[:, None] + 1].reshape(len(row), n - 1)
+            ranks = ranks[np.arange(n - 1) != at[:, None]].reshape(len(row), n - 2)
+            for side, pair in ((at > 0, at - 1), (at < n - 2, at)):
+                r, c = every[side], pair[side]
+                ranks[r, c] = _rank_of(self.tables, ids[r, c], ids[r, c + 1])
+        if len(row):
+            yield row, ids
+
     def merge(self, symbols: np.ndarray) -> list[int]:
-        """One word merged step by step: the lowest rank first, from the left among equals."""
+        """One long word merged step by step: the lowest rank first, from the left among equals."""
         size = len(self.tables["rank"])
         if self.merge_of is None:
             self.merge_of = dict(zip(self.tables["pairs"].tolist(), self.tables["pair_rank"].tolist()))
             self.made_of = self.tables["merged"].tolist()
         ids = self.tables["base"][symbols].tolist()
         n = len(ids)
-        if n <= SHORT_WORD:
-            return self._merge_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = []
 
@@ -327,24 +400,6 @@ class Encoder:
         return [t for t in ids if t >= 0]
 
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        """The same by looking all ranks through each time, which is faster for few symbols."""
-        size, rank_of, merged = len(self.tables["rank"]), self.merge_of.get, self.made_of
-        ranks = [rank_of(a * size + b, NEVER) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == NEVER:
-                break
-            i = ranks.index(least)
-            ids[i] = made = merged[least]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank_of(ids[i - 1] * size + made, NEVER)
-            if i < len(ranks):
-                ranks[i] = rank_of(made * size + ids[i + 1], NEVER)
-        return ids
-
-
 def encode_texts(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", keep_rows: bool = False
 ) -> DataFrame:

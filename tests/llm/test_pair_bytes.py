@@ -56,12 +56,14 @@ def test_both_ways_of_merging_agree(told, library, monkeypatch):
     words = [t for t in made(2, 400) if t.isascii() and t.isalpha() and t.islower()]
     want = [library.encode(w, add_special_tokens=False).ids for w in words]
     encoder = P.Encoder(told)
-    for short in (0, 1000):
-        monkeypatch.setattr(P, "SHORT_WORD", short)
-        for word, ids in zip(words, want):
-            symbols = encoder.symbol[[ord(c) for c in word]]
-            symbols[-1] += 256
-            assert encoder.merge(symbols) == ids
+    for word, ids in zip(words, want):
+        symbols = encoder.symbol[[ord(c) for c in word]]
+        symbols[-1] += 256
+        assert encoder.merge(symbols) == ids
+        assert [i.tolist() for _, i in encoder.merge_alike(symbols[None])] == [[ids]]
+    monkeypatch.setattr(P, "SHORT_WORD", 5)
+    ids, at = encoder.encode([w.encode() for w in words])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
 
 
 def plain_merge(ids, rank_of):
