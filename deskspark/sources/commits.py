@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from deskspark.sources.files import located, names_in
+
 LISTS, DATA = "lists", "data"
 
 
@@ -27,18 +29,9 @@ class Version:
     parts: tuple[str, ...]
 
 
-def _files(spark: SparkSession, path: str):
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
-
-
 def latest(spark: SparkSession, path: str) -> Version:
     """The newest list; one folder listing and one small file, whatever the table holds."""
-    files, folder = _files(spark, f"{path}/{LISTS}")
-    if not files.exists(folder):
-        return Version(0, ())
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    numbers = [int(n) for n in names if n.isdecimal()]
+    numbers = [int(n) for n in names_in(spark, f"{path}/{LISTS}") if n.isdecimal()]
     if not numbers:
         return Version(0, ())
     told = spark.read.text(f"{path}/{LISTS}/{max(numbers):010d}", wholetext=True).first()[0]
@@ -51,13 +44,13 @@ def publish(spark: SparkSession, path: str, after: Version, parts: tuple[str, ..
     The list is written aside and renamed, so readers see all of it or nothing.
     Renaming never replaces a file.
     """
-    files, folder = _files(spark, f"{path}/{LISTS}")
+    files, folder = located(spark, f"{path}/{LISTS}")
     files.mkdirs(folder)
-    _, aside = _files(spark, f"{path}/{LISTS}/.{uuid.uuid4().hex}")
+    _, aside = located(spark, f"{path}/{LISTS}/.{uuid.uuid4().hex}")
     out = files.create(aside, False)
     out.write(json.dumps({"parts": list(parts)}).encode())
     out.close()
-    _, place = _files(spark, f"{path}/{LISTS}/{after.number + 1:010d}")
+    _, place = located(spark, f"{path}/{LISTS}/{after.number + 1:010d}")
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         files.getUri(), spark._jsc.hadoopConfiguration()
     )
@@ -90,7 +83,7 @@ def remove_unlisted(spark: SparkSession, path: str, older_than_ms: int) -> int:
 
     The time must exceed the longest write and the longest read of an earlier list.
     """
-    files, folder = _files(spark, f"{path}/{DATA}")
+    files, folder = located(spark, f"{path}/{DATA}")
     if not files.exists(folder):
         return 0
     # Folders first: one that is published in between is then seen in the list.

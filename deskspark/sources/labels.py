@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deskspark.operators.labeling import drop_unknown, dropped_counts
-from deskspark.schemas import CALL_FAILURES, TEACHER_LABELS, TEACHER_RESPONSES
-from deskspark.sources.files import path_exists
+from deskspark.operators.labeling import drop_unknown
+from deskspark.schemas import CALL_FAILURES, TEACHER_LABELS, TEACHER_RESPONSES, UNKNOWN_ID
+from deskspark.session import run_folder
+from deskspark.sources.files import names_in, path_exists, remove
 
+#: Folder name of a null in a partitioned table.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 SPLITS = ("val", "golden", "train")
 
 
@@ -43,10 +47,11 @@ def split_guard(df: DataFrame, expected: str) -> DataFrame:
 def _assert_split(df: DataFrame, expected: str, where: str) -> None:
     row = split_guard(df, expected).first()
     if not row["ok"]:
-        raise ValueError(
-            f"Expected only split={expected!r} rows in {where}, "
-            f"got {row['first_split']!r}..{row['last_split']!r} ({row['null_splits']} null)"
-        )
+        raise ValueError(_wrong_split(expected, where, row["first_split"], row["last_split"], row["null_splits"]))
+
+
+def _wrong_split(expected: str, where: str, first: str, last: str, nulls: int) -> str:
+    return f"{where} should hold split={expected!r} alone; it holds {first!r} to {last!r} and {nulls} without a split"
 
 
 def read_labels(spark: SparkSession, path: str, expected_split: str) -> DataFrame:
@@ -87,30 +92,66 @@ class TrainingTables:
     dropped: dict[str, int]
 
 
+def _observed(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """``df`` with all that its guards look at, counted while something else reads the rows."""
+    seen = Observation(f"{table}-labels")
+    unknown = F.col("teacher_intent_id") == UNKNOWN_ID
+    metrics = [F.count(F.lit(1)).alias("n_rows"), F.count_if(unknown).alias("dropped")]
+    for column in ("split", "prompt_fingerprint", "prompt_version"):
+        metrics += [
+            F.min(column).alias(f"first_{column}"),
+            F.max(column).alias(f"last_{column}"),
+            F.count_if(F.col(column).isNull()).alias(f"null_{column}"),
+        ]
+    return df.observe(seen, *metrics), seen
+
+
+def _assert_observed(seen: dict, table: str, path: str) -> None:
+    first, last = seen["first_split"], seen["last_split"]
+    if not seen["n_rows"] or first != table or last != table or seen["null_split"]:
+        raise ValueError(_wrong_split(table, path, first, last, seen["null_split"]))
+    if seen["first_prompt_fingerprint"] != seen["last_prompt_fingerprint"] or seen["null_prompt_fingerprint"]:
+        raise ValueError(f"The {table} labels in {path} were not all made with one known prompt")
+
+
 def load_training_tables(spark: SparkSession, train_path: str, val_path: str) -> TrainingTables:
     """Train and validation labels of one run, unknown rows dropped.
 
     Raises if a table holds another split, mixes fingerprints, or if the two
-    come from different prompts.
+    come from different prompts. Both tables are read once: what the guards need
+    is observed while the usable rows are written to the shared folder, and
+    looked at before anyone gets them. Rows of tables that fail are removed.
     """
-    train = read_labels(spark, train_path, "train")
-    val = read_labels(spark, val_path, "val")
-    both = train.select(*TEACHER_LABELS.names).unionByName(val.select(*TEACHER_LABELS.names))
-    found = {r["split"]: r for r in lineage_check(both).collect()}
-    for name, row in found.items():
-        if not row["one_fingerprint"] or row["null_fingerprints"]:
-            raise ValueError(f"Mixed prompt fingerprints within {name}")
-    for what, column in (("fingerprint", "fingerprint"), ("version", "version")):
-        ours, theirs = found["train"][column], found["val"][column]
-        if ours != theirs:
-            raise ValueError(f"Prompt {what} mismatch: train={ours!r}, val={theirs!r}")
-    dropped = {r["split"]: r["dropped"] for r in dropped_counts(both).collect()}
+    schema = _with_run(TEACHER_LABELS)
+    parts, observed = [], {}
+    for table, path in (("train", train_path), ("val", val_path)):
+        rows, observed[table] = _observed(spark.read.schema(schema).parquet(path), table)
+        parts.append(drop_unknown(rows).select(F.lit(table).alias("_table"), *schema.names))
+    usable = run_folder(spark, "training")
+    parts[0].unionByName(parts[1]).write.partitionBy("_table").parquet(usable)
+    seen = {table: observation.get for table, observation in observed.items()}
+    try:
+        for table, path in (("train", train_path), ("val", val_path)):
+            _assert_observed(seen[table], table, path)
+        for what in ("prompt_fingerprint", "prompt_version"):
+            ours, theirs = seen["train"][f"first_{what}"], seen["val"][f"first_{what}"]
+            if ours != theirs:
+                raise ValueError(f"Train and val labels differ in {what}: {ours!r} and {theirs!r}")
+    except ValueError:
+        remove(spark, usable)
+        raise
+
+    def kept(table: str) -> DataFrame:
+        # A table without usable rows has no folder.
+        path = f"{usable}/_table={table}"
+        return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
     return TrainingTables(
-        drop_unknown(train),
-        drop_unknown(val),
-        found["train"]["version"],
-        found["train"]["fingerprint"],
-        dropped,
+        kept("train"),
+        kept("val"),
+        seen["train"]["first_prompt_version"],
+        seen["train"]["first_prompt_fingerprint"],
+        {table: seen[table]["dropped"] for table in seen},
     )
 
 
@@ -146,12 +187,21 @@ def run_id_at(moment: Column) -> Column:
     return F.date_format(moment, "yyyy-MM-dd'T'HH-mm-ss'Z'")
 
 
-def latest_run(runs: DataFrame) -> DataFrame:
+def listed_runs(spark: SparkSession, path: str) -> list[str]:
+    """Names of all runs below ``path`` in time's order, from folder listings: one per split, no file is opened."""
+    runs = set()
+    for split in names_in(spark, path):
+        if split.startswith("split="):
+            runs |= {n.removeprefix("run_id=") for n in names_in(spark, f"{path}/{split}") if n.startswith("run_id=")}
+    return sorted(unquote(n) for n in runs if n != NO_VALUE)
+
+
+def read_latest_run(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the last run by name; only that run's folders are read."""
-    last = runs.select(F.max("run_id")).first()[0]
-    if last is None:
-        raise ValueError("No runs found")
-    return runs.where(F.col("run_id") == last)
+    runs = listed_runs(spark, path)
+    if not runs:
+        raise ValueError(f"There are no runs in {path}")
+    return read_runs(spark, path).where(F.col("run_id") == runs[-1])
 
 
 def run_id_from_path(path: Column) -> Column:

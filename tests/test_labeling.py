@@ -175,16 +175,51 @@ def test_guards_refuse_wrong_tables(spark):
     for a, b, told in [
         (val, val, "split='train'"),
         (mixed_split, val, "split='train'"),
-        (train, mixed_prints, "Mixed prompt fingerprints within val"),
-        (train, other_print, "Prompt fingerprint mismatch"),
-        (train, other_version, "Prompt version mismatch"),
+        (train, mixed_prints, "val labels .* not all made with one known prompt"),
+        (train, other_print, "differ in prompt_fingerprint"),
+        (train, other_version, "differ in prompt_version"),
     ]:
         with pytest.raises(ValueError, match=told):
             S.load_training_tables(spark, a, b)
+    null_split = stored(spark, "null", good.union(good.withColumn("split", F.lit(None).cast("string"))))
+    unnamed = stored(spark, "unnamed", good.union(good.withColumn("prompt_fingerprint", F.lit(None).cast("string"))))
+    empty = stored(spark, "empty", good.limit(0))
+    for a, told in [(null_split, "1 without a split"), (unnamed, "one known prompt"), (empty, "None to None")]:
+        with pytest.raises(ValueError, match=told):
+            S.load_training_tables(spark, a, val)
     with pytest.raises(ValueError, match="No split is called"):
         S.load_split(good, "test")
 
 
+def test_guards_read_each_table_once(spark):
+    """Guards, dropped counts and the copy of the usable rows come from one scan."""
+    counted = spark.sparkContext.statusTracker()
+    train = stored(spark, "train", label_rows(spark, [(0, 0), (-1, 0)], split="train"))
+    val = stored(spark, "val", label_rows(spark, [(-1, 1)]))
+    spark.sparkContext.setJobGroup("guarded", "one scan")
+    tables = S.load_training_tables(spark, train, val)
+    jobs = counted.getJobIdsForGroup("guarded")
+    spark.sparkContext.setJobGroup("other", "after")
+    assert len(jobs) == 1 and tables.dropped == {"train": 1, "val": 1}
+    assert tables.val.count() == 0 and tables.val.columns == tables.train.columns
+    assert tables.train.first()["split"] == "train"
+
+
+def test_latest_run_comes_from_listings(spark):
+    path = run_folder(spark, "runs")
+    assert S.listed_runs(spark, path) == []
+    with pytest.raises(ValueError, match="no runs"):
+        S.read_latest_run(spark, path)
+    rows = label_rows(spark, [(0, 0)])
+    for run, split in (("2026-01-02T00-00-00Z", "val"), ("2026-01-03T00-00-00Z", "train"), ("a run: 1", "val")):
+        S.write_labels(rows.withColumns({"run_id": F.lit(run), "split": F.lit(split)}), path)
+    assert S.listed_runs(spark, path) == ["2026-01-02T00-00-00Z", "2026-01-03T00-00-00Z", "a run: 1"]
+    spark.sparkContext.setJobGroup("listing", "no job")
+    assert S.listed_runs(spark, path)[-1] == "a run: 1"
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    assert [r["run_id"] for r in S.read_latest_run(spark, path).collect()] == ["a run: 1"]
+
+
 def test_run_ids(spark):
     paths = ["s3a://b/v1/train/2026-05-12T10-00-00Z/labels.parquet", "/x/val/r1/labels.parquet/part-0.parquet", "/x/part-0.parquet"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
@@ -276,7 +311,7 @@ def test_a_run_with_its_prompt_and_summary(spark, paid_labeler, classes):
     run_id = spark.range(1).select(S.run_id_at(F.timestamp_seconds(F.lit(0)))).first()[0]
     assert run_id == "1970-01-01T00-00-00Z"
     jobs.store_run(result.answers, classes, described, path, "val", run_id, "3")
-    stored_rows = S.latest_run(S.read_runs(spark, f"{path}/labels")).collect()
+    stored_rows = S.read_latest_run(spark, f"{path}/labels").collect()
     assert [(r["teacher_intent_id"], r["gold_label_name"], r["correct"], r["split"]) for r in stored_rows] == [
         (1, "card_arrival", False, "val")
     ] * 4

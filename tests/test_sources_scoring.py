@@ -165,6 +165,15 @@ def test_classifier_solves_the_penalised_problem(spark):
     # Gradient of sum(weight * loss) + |w|^2 / 2 is zero at the solution.
     assert np.abs(residual.T @ x + w).max() < 1e-3
     assert np.abs(residual.sum(0)).max() < 1e-3
+    told = {(r["label"], r["component"]): r for r in ml.penalised_gradient(model, df).collect()}
+    assert len(told) == k * (d + 1)
+    for c in range(k):
+        for j in range(d):
+            assert told[c, j]["gradient"] == pytest.approx((residual.T @ x + w)[c, j], abs=1e-9)
+            assert told[c, j]["scale"] == pytest.approx((np.abs(residual.T) @ np.abs(x) + np.abs(w))[c, j])
+        assert told[c, -1]["gradient"] == pytest.approx(residual.sum(0)[c], abs=1e-9)
+    stopped = ml.penalised_gradient(ml.train_classifier(df, max_iter=1), df).collect()
+    assert max(abs(r["gradient"]) / r["scale"] for r in stopped) > 0.01
     got = np.array([r["logits"] for r in ml.predict_logits(model, df).collect()])
     np.testing.assert_allclose(np.sort(got, 0), np.sort(z, 0), atol=1e-9)
     path = run_folder(spark, "model")
