@@ -17,6 +17,8 @@ from deskspark.operators.labeling import validate_messages
 from deskspark.operators.redaction import redact_messages
 from deskspark.schemas import SCORES
 
+#: Name of the column that says where a row was read from.
+POSITION = "source_position"
 TextScorer = Callable[[Sequence[str]], np.ndarray]
 
 
@@ -66,9 +68,31 @@ def top_classes(
     ).drop("_top", "_names")
 
 
-def request_id(given: Column) -> Column:
-    """The caller's id, or a new one if it is missing or empty."""
-    return F.coalesce(F.nullif(given, F.lit("")), F.uuid())
+def source_position() -> Column:
+    """File and row number of each row as it is read from Parquet, in batch and stream."""
+    return F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
+def request_id(given: Column, position: Column | None = None) -> Column:
+    """The caller's id, or a new one if it is missing or empty.
+
+    With ``position`` the new id is a hash of where the row lies in its source,
+    in the form of a version 8 UUID: a task or batch that runs again gives the
+    same one. Without it, or for a null position, it is random and may change
+    when a task runs again.
+    """
+    fresh = F.uuid()
+    if position is not None:
+        told = F.sha2(position.cast("binary"), 256)
+        parts = [F.substring(told, 1, 8), F.substring(told, 9, 4), F.concat(F.lit("8"), F.substring(told, 13, 3))]
+        parts += [F.concat(F.lit("8"), F.substring(told, 16, 3)), F.substring(told, 19, 12)]
+        fresh = F.when(position.isNull(), fresh).otherwise(F.concat_ws("-", *parts))
+    return F.coalesce(F.nullif(given, F.lit("")), fresh)
+
+
+def _id_of(df: DataFrame) -> Column:
+    position = F.col(POSITION) if POSITION in df.columns else None
+    return request_id(F.col("request_id"), position).alias("request_id")
 
 
 def predict_messages(
@@ -87,7 +111,7 @@ def predict_messages(
     ``redact`` adds ``redacted_text`` and ``spans``.
 
     ``df`` has ``request_id, text`` and whatever else should be kept out of the
-    audit. ``score`` adds ``logits`` and ``latency_ms`` from the column it is
+    audit; a column ``source_position`` makes new ids repeatable. ``score`` adds ``logits`` and ``latency_ms`` from the column it is
     told to read, which is the redacted text: neither the model nor the audit
     sees the original.
     """
@@ -96,7 +120,7 @@ def predict_messages(
     scored = score(redacted, "redacted_text")
     ranked = top_classes(with_probabilities(scored, temperature), classes, k)
     return ranked.select(
-        request_id(F.col("request_id")).alias("request_id"),
+        _id_of(ranked),
         F.current_timestamp().alias("timestamp"),
         F.lit(model_version).alias("model_version"),
         F.col("redacted_text").alias("input_text_redacted"),
@@ -112,7 +136,7 @@ def rejected_messages(df: DataFrame, model_version: str) -> DataFrame:
     """The messages ``predict_messages`` does not score, with a reason and without their text."""
     _, rejected = validate_messages(df)
     return rejected.select(
-        request_id(F.col("request_id")).alias("request_id"),
+        _id_of(rejected),
         F.current_timestamp().alias("timestamp"),
         F.lit(model_version).alias("model_version"),
         F.when(F.col("text").isNull(), "no text").when(F.length("text") == 0, "empty").otherwise("too long").alias("reason"),

@@ -784,6 +784,16 @@ _SCORING = (
 )
 for _name in ("batch_scoring", "stream_scoring"):
     _recursive(_name, "SELECT * FROM audited", *_SCORING)
+_recursive(
+    "stream_outputs",
+    """SELECT request_id, predicted_intent, NULL::VARCHAR AS reason FROM audited
+UNION ALL SELECT request_id, NULL, CASE WHEN text IS NULL THEN 'no text' WHEN text = '' THEN 'empty' ELSE 'too long' END
+FROM asked WHERE coalesce(length(text), 0) NOT BETWEEN 1 AND 2000""",
+    """asked AS (SELECT conv_id || '-' || turn AS request_id,
+    CASE WHEN turn % 5 = 0 THEN '' WHEN turn % 7 = 0 THEN repeat(text, 99) ELSE text END AS text FROM conversations)""",
+    "requests AS (SELECT * FROM asked WHERE length(text) BETWEEN 1 AND 2000)",
+    *_SCORING[1:],
+)
 _recursive(
     "audit_log", "SELECT *, (SELECT count(*) FROM audited) AS n_dated FROM audited", *_SCORING
 )

@@ -15,9 +15,10 @@ from deskspark.operators import label_job as jobs
 from deskspark.operators import redaction, sampling, scoring, taxonomy, thresholds
 from deskspark.operators.prefix import exact_percentiles
 from deskspark.plans import tables as P
+from deskspark.schemas import AUDIT, REJECTED
 from deskspark.session import run_folder
 from deskspark.sources import audit, embeddings, golden, labels, latency, results
-from deskspark.streaming.scoring import start_scoring, stream_files
+from deskspark.streaming.scoring import read_output, start_scoring, start_scoring_and_rejecting, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -899,3 +900,23 @@ def stream_scoring(spark, folder):
     job = start_scoring(messages, predict, path, run_folder(spark, "stream-state"), once=True)
     job.awaitTermination()
     return _stable(audit.read_audit(spark, path))
+
+
+@query
+def stream_outputs(spark, folder):
+    """Scored and rejected messages of one stream; some texts are emptied or lengthened, so that both occur."""
+    path, state = run_folder(spark, "outputs"), run_folder(spark, "stream-state")
+    schema = P.read(spark, folder, "conversations").schema
+    rows = stream_files(spark, folder, schema, "conversations.parquet")
+    turn, text = F.col("turn"), F.col("text")
+    odd = F.when(turn % 5 == 0, "").when(turn % 7 == 0, F.repeat(text, F.lit(99))).otherwise(text)
+    messages = _requests(rows.withColumn("text", odd))
+    predict = _predict(spark, P.language_logits, "lang-1")
+    start_scoring_and_rejecting(messages, predict, "lang-1", path, state, once=True).awaitTermination()
+    scored = read_output(spark, path, "scored", AUDIT).select(
+        "request_id", "predicted_intent", F.lit(None).cast("string").alias("reason")
+    )
+    rejected = read_output(spark, path, "rejected", REJECTED).select(
+        "request_id", F.lit(None).cast("string").alias("predicted_intent"), "reason"
+    )
+    return scored.unionByName(rejected)

@@ -98,6 +98,16 @@ AUDIT = T.StructType(
     ]
 )
 
+REJECTED = T.StructType(
+    [
+        T.StructField("request_id", T.StringType()),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("model_version", T.StringType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("n_chars", T.IntegerType()),
+    ]
+)
+
 SCORES = T.StructType(
     [
         T.StructField("logits", T.ArrayType(T.DoubleType())),
