@@ -1,10 +1,11 @@
 """A whole evaluation from one pass over the predictions.
 
-Accuracy, F1, confusion, calibration and billing are all sums over rows, so they
-are taken together: grouping sets give the confusion cells and the calibration
-bins from one scan, and each task sends at most classes x classes + bins rows
-per model. Every table is derived from those few rows; only the latency
-percentiles need the predictions again.
+Accuracy, F1, confusion, calibration, billing and the sketch of the latencies
+are all sums over rows, so they are taken together: grouping sets give the
+confusion cells, the calibration bins and the latency codes from one scan, and
+each task sends at most classes x classes + bins + codes rows per model. Every
+table is derived from those few rows, in one task while they are small; exact
+latency percentiles count the latencies near them in one more pass.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from deskspark.functions.teacher import token_cost
 from deskspark.operators import cost, metrics
 from deskspark.operators.calibration import DEFAULT_BINS, confidence_bin
-from deskspark.operators.prefix import exact_percentiles
-from deskspark.operators.sizes import computed_now
+from deskspark.operators.prefix import exact_percentiles, percentiles_by_code, value_code
+from deskspark.operators.sizes import computed_small
 from deskspark.operators.thresholds import routing_stats
 from deskspark.sources.latency import IN_PROCESS, with_latency_source
 
@@ -29,12 +30,12 @@ _SUMS = ("conf", "latency_ms", "input_tokens", "output_tokens", "top_5_hit")
 def evaluation_cells(
     df: DataFrame, by: Sequence[str] = ("model",), n_bins: int = DEFAULT_BINS
 ) -> DataFrame:
-    """Counts and sums per (group, label, pred) and per (group, bin).
+    """Counts and sums per (group, label, pred), per (group, bin) and per (group, latency code).
 
     ``df`` has ``label, pred, conf, latency_ms`` and, for a token-billed model,
     ``input_tokens, output_tokens``, and for models with scores ``top_5_hit``
-    (null elsewhere). ``is_bin`` tells the two
-    kinds of rows apart.
+    (null elsewhere). ``kind`` tells the rows apart: ``cell``, ``bin`` or
+    ``code``.
     """
     by = list(by)
     sums = [c for c in _SUMS if c in df.columns]
@@ -44,11 +45,13 @@ def evaluation_cells(
         "pred",
         confidence_bin(F.col("conf"), n_bins).alias("bin"),
         (F.col("label") == F.col("pred")).cast("long").alias("hit"),
+        value_code(F.col("latency_ms").cast("double")).alias("_code"),
         *sums,
     )
-    sets = [[F.col(c) for c in [*by, "label", "pred"]], [F.col(c) for c in [*by, "bin"]]]
-    return binned.groupingSets(sets, *by, "label", "pred", "bin").agg(
-        (F.grouping("bin") == 0).alias("is_bin"),
+    sets = [[F.col(c) for c in [*by, *more]] for more in (("label", "pred"), ("bin",), ("_code",))]
+    kind = F.when(F.grouping("bin") == 0, "bin").when(F.grouping("_code") == 0, "code").otherwise("cell")
+    return binned.groupingSets(sets, *by, "label", "pred", "bin", "_code").agg(
+        kind.alias("kind"),
         F.count("*").alias("n"),
         F.sum("hit").alias("hits"),
         *[F.sum(c).alias(f"{c}_sum") for c in sums],
@@ -59,12 +62,12 @@ def stored_cells(
     df: DataFrame, by: Sequence[str] = ("model",), n_bins: int = DEFAULT_BINS
 ) -> DataFrame:
     """Cells computed at once, so that the tables made from them scan nothing twice."""
-    return computed_now(evaluation_cells(df, by, n_bins))
+    return computed_small(evaluation_cells(df, by, n_bins))
 
 
 def cell_counts(cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Confusion counts out of evaluation cells."""
-    return cells.where("NOT is_bin").select(*by, "label", "pred", "n")
+    return cells.where("kind = 'cell'").select(*by, "label", "pred", "n")
 
 
 def cell_scores(cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -72,7 +75,7 @@ def cell_scores(cells: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     gap = F.abs(F.col("conf_sum") - F.col("hits"))
     more = [(F.sum("top_5_hit_sum") / F.sum("n")).alias("top_5_accuracy")] if "top_5_hit_sum" in cells.columns else []
     return (
-        cells.where("is_bin")
+        cells.where("kind = 'bin'")
         .groupBy(*by)
         .agg(
             (F.sum("hits") / F.sum("n")).alias("top_1_accuracy"),
@@ -102,17 +105,25 @@ def cell_costs(
     if "input_tokens_sum" in cells.columns:
         tokens = token_cost(F.sum("input_tokens_sum"), F.sum("output_tokens_sum"), token_rates)
         dollars = F.coalesce(tokens, dollars)
-    bins = cells.where("is_bin")
+    bins = cells.where("kind = 'bin'")
     return bins.groupBy(*by).agg((dollars / n * 1000.0).alias("cost_per_1k_usd"))
 
 
+def cell_percentiles(
+    cells: DataFrame, df: DataFrame, fractions: dict[str, float], by: Sequence[str] = ("model",)
+) -> DataFrame:
+    """Exact latency percentiles of the rows the cells were made of, from their codes and one more pass."""
+    codes = cells.where("kind = 'code' AND _code IS NOT NULL").select(*by, "_code", F.col("n").alias("_n"))
+    return percentiles_by_code(df, codes, "latency_ms", fractions, by)
+
+
 def _join_groups(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-    """Join tables with one row per group."""
+    """Join tables with one row per group; merged, those in one partition need no exchange."""
     whole = parts[0]
     for part in parts[1:]:
         of = part.withColumnsRenamed({c: f"_of_{c}" for c in by})
         same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
-        whole = whole.join(of, same).drop(*[f"_of_{c}" for c in by])
+        whole = whole.join(of.hint("merge"), same).drop(*[f"_of_{c}" for c in by])
     return whole
 
 
@@ -126,7 +137,7 @@ def headline(
         [
             cell_scores(cells, by),
             metrics.macro_f1(counts, classes, by),
-            exact_percentiles(df, "latency_ms", {"latency_ms_p95": 0.95}, by),
+            cell_percentiles(cells, df, {"latency_ms_p95": 0.95}, by),
             cell_costs(cells, by),
         ],
         by,
@@ -154,17 +165,18 @@ def evaluation_tables(
     cells = stored_cells(df, by, n_bins)
     counts = cell_counts(cells, by)
     percentiles = {f"latency_ms_{p}": q for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
-    timed = df.withColumn("latency_source", F.lit(IN_PROCESS))
-    if load_test is not None:
-        timed = with_latency_source(df, load_test)
-    timed = timed.select(*by, "latency_source", "latency_ms")
+    if load_test is None:
+        latencies = cell_percentiles(cells, df, percentiles, by).withColumn("latency_source", F.lit(IN_PROCESS))
+    else:
+        timed = with_latency_source(df, load_test).select(*by, "latency_source", "latency_ms")
+        latencies = exact_percentiles(timed, "latency_ms", percentiles, [*by, "latency_source"])
     n_classes = classes.select("label_id").distinct().agg(F.count("*")).scalar()
     tables = {
         "metrics": _join_groups(
             [
                 cell_scores(cells, by).withColumn("n_classes", n_classes),
                 metrics.macro_f1(counts, classes, by),
-                exact_percentiles(timed, "latency_ms", percentiles, [*by, "latency_source"]),
+                latencies,
                 cell_costs(cells, by),
             ],
             by,

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskspark.functions import scores as S
-from deskspark.operators.classes import class_list, each_class, id_array, with_class_names
-from deskspark.operators.sizes import computed_now
+from deskspark.operators.classes import each_class, id_array, with_class_names
+from deskspark.operators.sizes import computed_small
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -31,7 +31,7 @@ def flatten_scores(df: DataFrame, probs: str = "probs") -> DataFrame:
 
 def confusion_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows per (label, pred), computed at once: every class metric starts here."""
-    return computed_now(df.groupBy(*by, "label", "pred").agg(F.count("*").alias("n")))
+    return computed_small(df.groupBy(*by, "label", "pred").agg(F.count("*").alias("n")))
 
 
 def top_k_accuracy(
@@ -48,32 +48,33 @@ def class_scores(counts: DataFrame, classes: DataFrame, by: Sequence[str] = ())
     """Per class: support, precision, recall, f1, top1_accuracy; 0 where undefined.
 
     Each confusion cell counts once as a true class and once as a predicted
-    class; a zero row per class keeps absent classes in the result.
+    class; absent classes are in the result with zeros.
     """
     by = list(by)
     hit = F.col("label") == F.col("pred")
     as_true = F.struct(
-        F.col("label").alias("label_id"),
+        F.col("label").alias("_id"),
         F.col("n").alias("support"),
         F.lit(0).cast("long").alias("predicted"),
         F.when(hit, F.col("n")).otherwise(0).alias("tp"),
     )
     as_pred = F.struct(
-        F.col("pred").alias("label_id"),
+        F.col("pred").alias("_id"),
         F.lit(0).cast("long").alias("support"),
         F.col("n").alias("predicted"),
         F.lit(0).cast("long").alias("tp"),
     )
-    cells = counts.select(*by, F.inline(F.array(as_true, as_pred)))
-    groups = counts.select(*by).distinct() if by else counts.groupBy().agg(F.lit(1).alias("_one"))
-    zeros = each_class(groups, classes).select(
-        *by, "label_id", *[F.lit(0).cast("long").alias(c) for c in ("support", "predicted", "tp")]
+    found = counts.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.inline(F.array(as_true, as_pred)))
+    found = found.groupBy(*[f"_of_{c}" for c in by], "_id").agg(
+        *[F.sum(c).alias(c) for c in ("support", "predicted", "tp")]
     )
-    sums = (
-        cells.unionByName(zeros)
-        .groupBy(*by, "label_id")
-        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
-        .join(class_list(classes), "label_id", "left_semi")
+    groups = counts.select(*by).distinct() if by else counts.groupBy().agg(F.lit(1).alias("_one"))
+    same = F.col("label_id") == F.col("_id")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    # Merged, two tables in one partition need no exchange.
+    sums = each_class(groups, classes).join(found.hint("merge"), same, "left").select(
+        *by, "label_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "predicted", "tp")]
     )
     precision = _ratio(F.col("tp"), F.col("predicted"))
     recall = _ratio(F.col("tp"), F.col("support"))

@@ -14,11 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskspark.operators.sizes import computed_now
+from deskspark.operators.sizes import computed_now, computed_small
 
 #: Rows of a bounded sample for each slice bound, and slices at most.
 SAMPLED_PER_SLICE = 32
 MOST_SLICES = 4096
+#: Codes of values per factor of e: neighbours are 1 / 4096 apart.
+CODE_STEPS = 4096
 
 
 def _directed(order: Sequence[str]) -> list[tuple[str, bool]]:
@@ -124,46 +126,88 @@ def _same_group(by: Sequence[str]) -> Column:
     return same
 
 
-def _brackets(rows: DataFrame, by: list[str], fractions: Sequence[float], accuracy: int) -> DataFrame:
-    """Per group, an interval around each percentile and the rows below it.
+def value_code(value: Column) -> Column:
+    """A whole number that never falls where ``value`` rises: its logarithm in steps of 1 / ``CODE_STEPS``.
 
-    A sketch proposes the intervals; counting the rows below and inside them
-    proves them. An interval the wanted ranks are not in becomes everything.
+    Counts by code are a quantile sketch that merges by adding, and they are
+    exact: the code that holds a rank is known from them for sure.
     """
-    margin = 2.0 / accuracy
-    marks = [min(1.0, max(0.0, q + side)) for q in fractions for side in (-margin, margin)]
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_size"),
-        F.percentile_approx("_value", F.array(*[F.lit(m) for m in marks]), accuracy).alias("_marks"),
-    )
-    proposed = computed_now(
-        sketch.select(
-            *[F.col(c).alias(f"_of_{c}") for c in by],
-            "_size",
-            *[F.get("_marks", F.lit(2 * i)).alias(f"_low{i}") for i in range(len(fractions))],
-            *[F.get("_marks", F.lit(2 * i + 1)).alias(f"_high{i}") for i in range(len(fractions))],
-        )
+    size = F.abs(value)
+    # The logarithm of the smallest double is above -745.2, so codes of positive values are positive.
+    step = F.floor((F.ln(size) + 746.0) * CODE_STEPS)
+    beyond = F.lit(1456 * CODE_STEPS)  # the logarithm of the largest is below 710
+    code = F.when(size == 0, 0).when(size == float("inf"), beyond).otherwise(step)
+    return F.when(F.isnan(value), beyond + 1).when(value < 0, -code).otherwise(code).cast("long")
+
+
+def _asked(codes: DataFrame, fractions: Sequence[float], by: list[str]) -> DataFrame:
+    """``_of_<by>, _of_code, _asks``: codes that hold a wanted rank, and which place in them it has.
+
+    ``codes`` has ``_code, _n``. A percentile lies between two neighbouring
+    ranks, which may have different codes.
+    """
+    within = Window.partitionBy(*by)
+    counted = codes.select(
+        *by,
+        "_code",
+        "_n",
+        F.sum("_n").over(within).alias("_size"),
+        F.sum("_n").over(within.orderBy("_code").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
     )
-    value, counts, proven = F.col("_value"), [], []
+    asks = []
     for i, q in enumerate(fractions):
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        counts.append(F.count_if(value < low).alias(f"_below{i}"))
-        counts.append(F.count_if(value.between(low, high)).alias(f"_inside{i}"))
-        below, inside = F.col(f"_below{i}"), F.col(f"_inside{i}")
-        first = F.floor(F.lit(float(q)) * (F.col("_size") - 1))
-        last = F.least(first + 1, F.col("_size") - 1)
-        holds = (below <= first) & (below + inside > last)
-        proven += [
-            F.when(holds, low).otherwise(F.lit(float("-inf"))).alias(f"_low{i}"),
-            F.when(holds, high).otherwise(F.lit(float("inf"))).alias(f"_high{i}"),
-            F.when(holds, below).otherwise(0).alias(f"_below{i}"),
-        ]
-    counted = (
-        rows.join(proposed, _same_group(by))
-        .groupBy(*proposed.columns)
-        .agg(*counts)
+        place = F.lit(float(q)) * (F.col("_size") - 1)
+        first = F.floor(place)
+        for last, rank in ((False, first), (True, F.least(first + 1, F.col("_size") - 1))):
+            here = (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n"))
+            told = F.struct(
+                F.lit(i).alias("f"),
+                F.lit(last).alias("last"),
+                (rank - F.col("_upto") + F.col("_n")).cast("long").alias("place"),
+                (place - first).alias("part"),
+            )
+            asks.append(F.when(here, told))
+    wanted = F.array_compact(F.array(*asks))
+    return counted.where(F.size(wanted) > 0).select(
+        *[F.col(c).alias(f"_of_{c}") for c in by], F.col("_code").alias("_of_code"), wanted.alias("_asks")
     )
-    return computed_now(counted.select(*[f"_of_{c}" for c in by], "_size", *proven))
+
+
+def percentiles_by_code(
+    rows: DataFrame, codes: DataFrame, value: str, fractions: dict[str, float], by: Sequence[str]
+) -> DataFrame:
+    """Percentiles of ``value`` from counts by code, ``codes`` with ``_code, _n``, and one more pass over the rows.
+
+    The pass counts the values whose code holds a wanted rank; only they are
+    ranked.
+    """
+    keys = list(by)
+    shares = list(fractions.values())
+    valued = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"))
+    same = _same_group(keys) & (value_code(F.col("_value")) == F.col("_of_code"))
+    near = valued.join(_asked(codes, shares, keys), same)
+    counts = computed_small(
+        near.groupBy(*keys, "_of_code", "_value", "_asks").agg(F.count("*").alias("_n"))
+    )
+    if counts.rdd.getNumPartitions() == 1:
+        upto = Window.partitionBy(*keys, "_of_code").orderBy("_value")
+        ranked = counts.withColumn("running__n", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        ranked = running_totals(counts, [*keys, "_of_code"], ["_value"], ["_n"])
+    each = ranked.select(*keys, "_value", "_n", "running__n", F.explode("_asks").alias("_ask"))
+    place = F.col("_ask")["place"]
+    found = each.where((place < F.col("running__n")) & (place >= F.col("running__n") - F.col("_n")))
+
+    def told(what: Column, i: int, last: bool) -> Column:
+        return F.max(F.when((F.col("_ask")["f"] == i) & (F.col("_ask")["last"] == last), what))
+
+    answers = []
+    for i, name in enumerate(fractions):
+        low, high = (told(F.col("_value"), i, last) for last in (False, True))
+        part = told(F.col("_ask")["part"], i, False)
+        # Next to an infinite value a share of nothing must stay nothing.
+        answers.append(F.when(part == 0, low).otherwise(low + (high - low) * part).alias(name))
+    return found.groupBy(*keys).agg(*answers)
 
 
 def exact_percentiles(
@@ -171,60 +215,19 @@ def exact_percentiles(
     value: str,
     fractions: dict[str, float],
     by: Sequence[str] = (),
-    accuracy: int = 10_000,
 ) -> DataFrame:
     """Linear-interpolation percentiles of ``value``, one column per fraction.
 
-    Exact at any size. Only rows in a proven interval around a percentile are
-    ranked, about ``4 / accuracy`` of them per fraction; they are counted by
-    value before the shuffle and ranked by a running count, so neither a hot
+    Exact at any size. Counting the rows by ``value_code`` finds the codes that
+    hold the wanted ranks, one more count finds the values in them, and only
+    those are ranked: a share of about 1 / ``CODE_STEPS`` of the rows where values
+    are spread out. Both counts are added up before they move, so neither a hot
     group nor a hot value lands in one task. Groups without values give no row,
     except that an ungrouped call always gives one.
     """
     keys = list(by) or ["_all"]
-    rows = df.where(F.col(value).isNotNull()).select(
-        *(by or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_value")
-    )
-    shares = list(fractions.values())
-    brackets = _brackets(rows, keys, shares, accuracy)
-    inside = [
-        F.col("_value").between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(shares))
-    ]
-    near = rows.join(brackets, _same_group(keys)).where(reduce(Column.__or__, inside))
-    each = F.array(
-        *[
-            F.when(
-                inside[i],
-                F.struct(
-                    F.lit(i).alias("_f"),
-                    F.lit(float(q)).alias("_share"),
-                    F.col(f"_below{i}").alias("_below"),
-                ),
-            )
-            for i, q in enumerate(shares)
-        ]
-    )
-    counts = (
-        near.select(*keys, "_value", "_size", F.explode(F.array_compact(each)).alias("_b"))
-        .select(*keys, "_value", "_size", "_b.*")
-        .groupBy(*keys, "_f", "_value", "_share", "_below", "_size")
-        .agg(F.count("*").alias("_n"))
-    )
-    ranked = running_totals(computed_now(counts), [*keys, "_f"], ["_value"], ["_n"])
-
-    upto = F.col("_below") + F.col("running__n")
-    place = F.col("_share") * (F.col("_size") - 1)
-    first = F.floor(place)
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((upto > rank) & (upto - F.col("_n") <= rank), F.col("_value")))
-
-    found = ranked.groupBy(*keys, "_f").agg(
-        at_rank(first).alias("_lo"),
-        at_rank(F.least(first + 1, F.col("_size") - 1)).alias("_hi"),
-        F.max(place - first).alias("_part"),
-    )
-    answer = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")
-    return found.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_f") == i, answer)).alias(name) for i, name in enumerate(fractions)]
-    )
+    rows = df.select(*(by or [F.lit(0).alias("_all")]), F.col(value).alias("_measure"))
+    coded = rows.where("_measure IS NOT NULL").withColumn("_code", value_code(F.col("_measure").cast("double")))
+    codes = computed_small(coded.groupBy(*keys, "_code").agg(F.count("*").alias("_n")))
+    found = percentiles_by_code(rows, codes, "_measure", fractions, keys)
+    return found if by else found.agg(*[F.max(name).alias(name) for name in fractions])

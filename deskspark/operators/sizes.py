@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from deskspark.session import run_folder
+from deskspark.sources.files import located
+
+#: A stored table of at most so many bytes may be read by one task.
+SMALL_BYTES = 32 << 20
 
 
 def computed_now(df: DataFrame) -> DataFrame:
@@ -16,3 +20,17 @@ def computed_now(df: DataFrame) -> DataFrame:
     path = run_folder(df.sparkSession, "computed")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def computed_small(df: DataFrame) -> DataFrame:
+    """``computed_now`` for tables that are small as a rule: one partition if the stored bytes allow it.
+
+    What is made of one partition by grouping, ranking or joining needs no
+    exchange, each of which would be a job. A table beyond ``SMALL_BYTES`` stays
+    spread, and the same plans then move its rows.
+    """
+    path = run_folder(df.sparkSession, "computed")
+    df.write.parquet(path)
+    files, location = located(df.sparkSession, path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    return table.coalesce(1) if files.getContentSummary(location).getLength() <= SMALL_BYTES else table

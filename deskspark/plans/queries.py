@@ -14,6 +14,7 @@ from deskspark.operators import calibration, cost, evaluation, labeling, metrics
 from deskspark.operators import label_job as jobs
 from deskspark.operators import redaction, sampling, scoring, taxonomy, thresholds
 from deskspark.operators.prefix import exact_percentiles
+from deskspark.operators.sizes import computed_now
 from deskspark.plans import tables as P
 from deskspark.schemas import AUDIT, REJECTED
 from deskspark.session import run_folder
@@ -700,24 +701,23 @@ def cost_breakdown(spark, folder):
     return cost.cost_breakdown(_model_costs(spark, folder))
 
 
-def _golden_rows(spark, folder) -> DataFrame:
-    """Golden predictions of all models; only the teacher is billed by tokens."""
+def _golden_rows(spark, folder, classes: DataFrame) -> DataFrame:
+    """Golden predictions of all models, stored for this call; only the teacher is billed by tokens."""
     columns = ["model", "row_id", "label", "pred", "conf", "latency_ms"]
     tokens = ["input_tokens", "output_tokens"]
-    classes = P.label_map(spark, folder)
-    taught = P.teacher_predictions(spark, folder, classes.count())
+    taught = P.teacher_predictions(spark, folder, classes)
     among = F.exists(S.top_k(F.col("probs"), 5), lambda c: c["label_id"] == F.col("label"))
-    own = P.predictions(spark, folder).where("split = 'golden'")
+    own = P.predicted(P.fresh_scores(spark, folder)).where("split = 'golden'")
     own = own.select(*columns, among.cast("long").alias("top_5_hit"))
-    return own.unionByName(
-        taught.where("split = 'golden'").select(*columns, *tokens), allowMissingColumns=True
-    )
+    taught = taught.where("split = 'golden'").select(*columns, *tokens)
+    return computed_now(own.unionByName(taught, allowMissingColumns=True))
 
 
 @query
 def headline_metrics(spark, folder):
     """One row per model over the golden rows."""
-    found = evaluation.headline(_golden_rows(spark, folder), P.label_map(spark, folder), BY)
+    classes = P.label_map(spark, folder)
+    found = evaluation.headline(_golden_rows(spark, folder, classes), classes, BY)
     return _round(
         found.drop("n", "top_5_accuracy"), "top_1_accuracy", "macro_f1", "ece", "latency_ms_p95", "cost_per_1k_usd"
     )
@@ -730,11 +730,12 @@ def results_document(spark, folder):
     The baseline's latencies come from a load test of twice its own.
     """
     path = run_folder(spark, "results")
-    rows = _golden_rows(spark, folder)
+    classes = P.label_map(spark, folder)
+    rows = _golden_rows(spark, folder, classes)
     tested = rows.where(F.col("model") == P.BASELINE).select("model", (F.col("latency_ms") * 2).alias("latency_ms"))
     limits = _fitted(spark, folder, _flat(spark, folder))
     found = evaluation.evaluation_tables(
-        rows, P.label_map(spark, folder), BY, load_test=tested, limits=limits, target=TARGET
+        rows, classes, BY, load_test=tested, limits=limits, target=TARGET
     )
     results.write_results(spark, found, {"target_precision": TARGET}, path)
     reals = "top_1_accuracy top_5_accuracy macro_f1 ece latency_ms_p50 latency_ms_p95 latency_ms_p99 cost_per_1k_usd".split()

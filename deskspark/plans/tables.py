@@ -22,7 +22,7 @@ from deskspark.functions.teacher import MESSAGE_HEADING, PROMPT_FOOTER
 from deskspark.operators.label_job import Answer
 from deskspark.operators.labeling import classify_responses, enrich_labels
 from deskspark.operators.metrics import flatten_scores
-from deskspark.operators.sizes import computed_now
+from deskspark.operators.sizes import computed_now, computed_small
 from deskspark.schemas import TEACHER_LABELS
 
 STUDENT, BASELINE, TEACHER = "student", "baseline", "teacher"
@@ -39,8 +39,17 @@ LANGUAGE_WORDS = {
 }
 
 
+#: Declared, so that opening a table starts no job.
+SCHEMAS = {
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    reader = spark.read.schema(SCHEMAS[table]) if table in SCHEMAS else spark.read
+    return reader.parquet(f"{folder}/{table}.parquet")
 
 
 def hashed_split(row_id: str) -> Column:
@@ -62,7 +71,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 def label_map(spark: SparkSession, folder: str) -> DataFrame:
     """The class list of the embeddings, written once per call and as small as it is."""
     labels = read(spark, folder, "embeddings").select("label").distinct()
-    return computed_now(
+    return computed_small(
         labels.select(F.col("label").alias("label_id"), F.concat(F.lit("class_"), "label").alias("label_name"))
     )
 
@@ -96,7 +105,7 @@ def _with_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return items(spark, folder).withColumn("m", centroids(spark, folder).scalar())
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
+def fresh_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Both models in one pass over the embeddings."""
     e, m = F.col("e"), F.col("m")
     dot = _compare(e, m, lambda a, b: a * b)
@@ -122,7 +131,7 @@ def scored(spark: SparkSession, folder: str, models: Sequence[str] = (STUDENT, B
     Written for this call only: scores are stored tables in practice, and
     metrics read them several times and prune their columns.
     """
-    rows = computed_now(_scores(spark, folder))
+    rows = computed_now(fresh_scores(spark, folder))
     return rows.where(F.col("model").isin(*models))
 
 
@@ -132,7 +141,11 @@ def rounded_probs(temperature: float = 1.0) -> Column:
 
 def predictions(spark: SparkSession, folder: str, models: Sequence[str] = (STUDENT, BASELINE)) -> DataFrame:
     """``scored`` with ``probs`` and flat ``pred, conf``."""
-    return flatten_scores(scored(spark, folder, models).withColumn("probs", rounded_probs()))
+    return predicted(scored(spark, folder, models))
+
+
+def predicted(scores: DataFrame) -> DataFrame:
+    return flatten_scores(scores.withColumn("probs", rounded_probs()))
 
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,17 +183,20 @@ def teacher_responses(spark: SparkSession, folder: str) -> DataFrame:
 
 def teacher_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The label table: checked answers with gold labels and lineage."""
-    classes = label_map(spark, folder)
-    checked = classify_responses(teacher_responses(spark, folder), classes)
+    return _labels(teacher_responses(spark, folder), label_map(spark, folder))
+
+
+def _labels(responses: DataFrame, classes: DataFrame) -> DataFrame:
+    checked = classify_responses(responses, classes)
     return enrich_labels(checked, classes, PROMPT_VERSION, FINGERPRINT).select(
         *TEACHER_LABELS.names
     )
 
 
-def teacher_predictions(spark: SparkSession, folder: str, n_classes: int) -> DataFrame:
-    """Teacher labels as score vectors, in the shape of ``predictions``."""
-    probs = S.one_hot(F.col("teacher_intent_id"), n_classes)
-    rows = teacher_labels(spark, folder).select(
+def teacher_predictions(spark: SparkSession, folder: str, classes: DataFrame) -> DataFrame:
+    """Teacher labels as score vectors, in the shape of ``predictions``; nothing is stored."""
+    probs = S.one_hot(F.col("teacher_intent_id"), classes.count())
+    rows = _labels(_answers(spark, folder), classes).select(
         F.lit(TEACHER).alias("model"),
         "row_id",
         "split",
