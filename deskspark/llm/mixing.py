@@ -156,22 +156,27 @@ def mix_sources(
 
     Sources go by code point, null last, and an empty name is a source of its
     own. Null texts have size 0; documents without words add nothing and get
-    the copies that all documents get. Repeated rows are documents of their own,
-    but equal in id and text they get equal copies, so the words taken may pass
-    the target by theirs. An empty table gives an empty one. Reruns agree: a
-    hash of seed, id and text ranks the documents of a length.
-
-    Bounds: one row per source on the driver; one group has one row per
-    distinct length of a source, at most the square root of twice its words.
-    Ranking is cut into slices by hash, only the slice that holds the cut is
-    ranked, and slices grow in number with the documents of that length.
+    the copies that all documents get. Repeated rows are documents of their own:
+    if only some of a set of equal rows are due a copy more, as many get it. An
+    empty table gives an empty one. Reruns agree: a hash of seed, id, text and
+    kept columns ranks the documents of a length.
+
+    Texts are read once; everything after that reads a row's size and hash from
+    the shared folder. Bounds: one row per source on the driver; one group has
+    one row per distinct length of a source, at most the square root of twice its
+    words. Ranking is cut into slices by hash, equal hashes count as one row, only
+    the slice that holds the cut is ranked, and slices grow in number with the
+    documents of that length.
     """
     spark = docs.sparkSession
     key = F.struct(F.col("_source").isNull().alias("last"), F.coalesce("_source", F.lit("")).alias("name"))
-    rows = docs.select(
+    kept = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in keep]))] if keep else []
+    read = docs.select(
         F.col(doc_id).alias("_doc_id"), F.col(source).cast("string").alias("_source"), length_of(F.col(text)).alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_ticket"), *[F.col(c).alias(f"_kept_{c}") for c in keep],
-    ).withColumn("_key", key)
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), *kept).alias("_ticket"),
+        *[F.col(f"`{c}`").alias(f"_kept_{c}") for c in keep],
+    )
+    rows = stored(read.withColumn("_key", key), "sizes")
     slim = rows.select("_key", "_size", "_ticket")
     counts = stored(slim.groupBy("_key", "_size").agg(F.count("*").alias("n")), "lengths").select(
         F.col("_key").alias("key"), F.col("_size").alias("size"), "n"
@@ -180,13 +185,11 @@ def mix_sources(
     of_source.sort(key=lambda r: (r["key"]["last"], r["key"]["name"].encode()))
     aims = targets([r["words"] for r in of_source], weights, share)
     aim_rows = [((r["key"]["last"], r["key"]["name"]), r["words"], a) for r, a in zip(of_source, aims)]
-    goal = spark.createDataFrame(
-        aim_rows, "key struct<last:boolean,name:string>, source_size long, target double"
+    goal = stored(
+        spark.createDataFrame(aim_rows, "key struct<last:boolean,name:string>, source_size long, target double"), "targets"
     )
     plan = stored(
-        counts.join(F.broadcast(goal), "key")
-        .groupBy("key")
-        .applyInArrow(
+        counts.join(goal, "key").groupBy("key").applyInArrow(
             _plan, "key struct<last:boolean,name:string>, size long, n long, whole long, extra long"
         ),
         "copies-by-length",
@@ -209,15 +212,25 @@ def mix_sources(
         (F.col("extra") - F.col("before")).alias("inside"),
     )
     here = [F.col("key") == F.col("e_key"), F.col("size") == F.col("e_size"), F.col("slice") == F.col("last_slice")]
-    rank = F.row_number().over(Window.partitionBy("key", "size").orderBy("_ticket"))
+    # Rows of one ticket are equal; they count before they move, and the cut may lie among them.
+    tickets = sliced.join(edge, here).groupBy("key", "size", "last_slice", "_ticket").agg(
+        F.count("*").alias("alike"), F.first("inside").alias("inside")
+    )
+    upto = F.sum("alike").over(
+        Window.partitionBy("key", "size").orderBy("_ticket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     marks = (
-        sliced.join(edge, here)
-        .withColumn("rank", rank)
-        .where(F.col("rank") == F.col("inside"))
-        .select("key", "size", "last_slice", F.col("_ticket").alias("last_ticket"))
+        tickets.withColumn("upto", upto)
+        .where("upto >= inside and upto - alike < inside")
+        .select(
+            "key", "size", "last_slice", F.col("_ticket").alias("last_ticket"), "alike",
+            (F.col("inside") - F.col("upto") + F.col("alike")).alias("due"),
+        )
     )
     table = stored(
-        plan.join(marks, ["key", "size"], "left").join(F.broadcast(goal), "key").select("key", "size", "n", "whole", "extra", "last_slice", "last_ticket", "source_size", "target"),
+        plan.join(marks, ["key", "size"], "left").join(goal, "key").select(
+            "key", "size", "n", "whole", "extra", "last_slice", "last_ticket", "alike", "due", "source_size", "target"
+        ),
         "cuts",
     )
     mine, last = F.pmod(F.col("_ticket"), slices), F.col("last_slice")
@@ -225,15 +238,41 @@ def mix_sources(
     once_more = (
         F.when(F.col("extra") == F.col("n"), 1).when(F.col("extra") == 0, 0).when(taken, 1).otherwise(0)
     )
+    split = (F.col("due") < F.col("alike")) & (mine == last) & (F.col("_ticket") == F.col("last_ticket"))
+    names = {"doc_id": "_doc_id", "size": "_size", "source_size": "source_size", "target": "target"}
+    also = {c: f"_kept_{c}" for c in keep}
     joined = rows.join(table, cut)
-    return joined.select(
-        F.col("_doc_id").alias("doc_id"),
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (F.col("whole") + once_more).alias("copies"),
-        *[F.col(f"_kept_{c}").alias(c) for c in keep],
+
+    def told(df: DataFrame, copies: Column) -> DataFrame:
+        parts = [F.col(f"`{c}`").alias(n) for n, c in names.items()]
+        return df.select(*parts, copies.alias("copies"), *[F.col(f"`{c}`").alias(n) for n, c in also.items()])
+
+    if table.where("due < alike").isEmpty():
+        return told(joined, F.col("whole") + once_more)
+    plain = told(joined.where(~F.coalesce(split, F.lit(False))), F.col("whole") + once_more)
+    return plain.unionByName(told(_dealt(joined.where(split), [*names.values(), *also.values()]), F.col("whole") + F.col("more")))
+
+
+def _dealt(alike: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Equal rows again, ``due`` of each set with ``more`` 1 and the others with 0.
+
+    A set moves as one row with its number of copies and is written out in
+    pieces of ``SLICE_ROWS``, spread over all tasks.
+    """
+    sets = alike.groupBy(*[F.col(f"`{c}`") for c in columns], "_ticket", "whole", "alike", "due").agg(F.count("*").alias("m"))
+    # Different rows of one ticket, a clash of hashes, take from what is due in order.
+    order = Window.partitionBy(F.col("_ticket"), F.col("_size"), F.col("source_size")).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    earlier = F.coalesce(F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.least(F.col("m"), F.greatest(F.lit(0), F.col("due") - F.col("before"))).cast("long")
+    halves = F.array(
+        F.struct(share.alias("rows"), F.lit(1).alias("more")),
+        F.struct((F.col("m") - share).alias("rows"), F.lit(0).alias("more")),
     )
+    each = sets.withColumn("before", earlier).select("*", F.inline(halves)).where("rows > 0")
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / SLICE_ROWS))
+    spread = each.withColumn("piece", F.explode(pieces)).repartition(F.col("_ticket"), F.col("more"), F.col("piece"))
+    here = F.least(F.lit(SLICE_ROWS), F.col("rows") - F.col("piece") * SLICE_ROWS).cast("int")
+    return spread.withColumn("_again", F.explode(F.array_repeat(F.lit(0), here)))
 
 
 def mix_report(mixed: DataFrame, *also: str) -> DataFrame:

@@ -55,3 +55,25 @@ def test_mix(frame, prose, odd, monkeypatch):
         slack = {"same": 12, "one": 3000}.get(s, 45)
         assert abs(taken - aim) <= slack
     assert M.mix_sources(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("slice_rows", [7, 4096])
+def test_equal_rows_are_split_where_the_cut_lies(frame, monkeypatch, slice_rows):
+    """One row a thousand times: every source still comes within one document of its target."""
+    monkeypatch.setattr(M, "SLICE_ROWS", slice_rows)
+    docs = [(1, "ten words in all of this one text right here", "en", "a")] * 1000
+    docs += [(2, "a b c", "en", "a")] * 7 + [(i, "x " * (i % 9), "en", "b") for i in range(10, 300)]
+    docs += [(5, "w " * 20, "en", "c")] * 40 + [(6, None, "en", "c"), (6, "", "en", "c")]
+    for keep in ([], ["source"]):
+        rows = M.mix_sources(frame(docs, 5), keep=keep).collect()
+        again = M.mix_sources(frame(docs, 3), keep=keep).collect()
+        assert sorted(map(repr, rows)) == sorted(map(repr, again)) and len(rows) == len(docs)
+        sizes = {"a": 1000 * 10 + 21, "b": sum(i % 9 for i in range(10, 300)), "c": 800}
+        for (name, size), aim in zip(sizes.items(), M.targets(list(sizes.values()))):
+            mine = [r for r in rows if r["source_size"] == size]
+            longest = max(r["size"] for r in mine)
+            assert abs(sum(r["copies"] * r["size"] for r in mine) - aim) <= longest, name
+            assert all(0 <= r["copies"] <= 2 for r in mine) and {r["target"] for r in mine} == {aim}
+        # Some of the equal rows are due one copy more than the others.
+        alike = [r["copies"] for r in rows if r["doc_id"] == 1]
+        assert len(alike) == 1000 and max(alike) - min(alike) == 1
