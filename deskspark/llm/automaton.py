@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 
 _parser, _ops = re._parser, re._constants
-NO_LIMIT = _ops.MAXREPEAT
 
 
 class _Nfa:
@@ -28,6 +27,16 @@ class _Nfa:
         self.jumps.append([])
         return len(self.moves) - 1
 
+    def turn(self, start: int) -> None:
+        """Turn all steps around, but for the jumps from ``start``."""
+        moves, jumps = [[] for _ in self.moves], [[] for _ in self.jumps]
+        for s, (steps, skips) in enumerate(zip(self.moves, self.jumps)):
+            for chars, t in steps:
+                moves[t].append((chars, s))
+            for t in skips:
+                jumps[start if s == start else t].append(t if s == start else s)
+        self.moves, self.jumps = moves, jumps
+
     def add(self, parsed, start: int) -> int:
         """States for a parsed regex from ``start`` on; returns its end."""
         for op, arg in parsed:
@@ -59,7 +68,7 @@ class _Nfa:
             least, most, inner = arg
             for _ in range(least):
                 start = self.add(inner, start)
-            if most is NO_LIMIT:
+            if most is _ops.MAXREPEAT:
                 loop, end = self.state(), self.state()
                 self.jumps[start].append(loop)
                 self.jumps[self.add(inner, loop)].append(loop)
@@ -107,19 +116,26 @@ class Automaton:
     hopes: np.ndarray
 
     @classmethod
-    def compile(cls, rules: Sequence[str], anywhere: bool, absorbing: bool = False) -> "Automaton":
+    def compile(
+        cls, rules: Sequence[str], anywhere: bool, absorbing: bool = False, backward: bool = False
+    ) -> "Automaton":
         """One automaton for all rules, matching from the first byte or from ``anywhere``.
 
         ``absorbing`` stays where a rule has accepted: the last state then tells
-        whether any rule matched.
+        whether any rule matched. ``backward`` reads a text from its end: a rule
+        accepts where a match of it begins.
         """
         nfa = _Nfa()
         start = nfa.state()
         ends = {}
         for i, rule in enumerate(rules):
             first = nfa.state()
-            nfa.jumps[start].append(first)
-            ends[nfa.add(_parser.parse(rule.encode()), first)] = i
+            end = nfa.add(_parser.parse(rule.encode()), first)
+            here, there = (end, first) if backward else (first, end)
+            nfa.jumps[start].append(here)
+            ends[there] = i
+        if backward:
+            nfa.turn(start)
         classes = _byte_classes(nfa)
         sample = [int(np.flatnonzero(classes == c)[0]) for c in range(classes.max() + 1)]
 

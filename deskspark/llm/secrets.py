@@ -1,15 +1,18 @@
 """Secret scans: all rules in one deterministic automaton, read byte by byte.
 
-Two automata come from the same rules. The first runs over every byte once and
+Three automata come from the same rules. The first runs over every byte once and
 stays in its last state as soon as any rule has matched, which most texts never
-reach. Only texts that do are read again to place the spans: at each byte all
-rules are tried together, and a rule looks no further than its last match.
+reach. Only texts that do are read again to place the spans: one pass from the
+end marks every byte at which a match of any rule begins, and from the leftmost
+mark of a rule behind its last match the third finds where the longest one ends.
+Marks are matches, so a rule's runs cover its own spans only, and the time of
+a text grows with its length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,60 +68,65 @@ RULES = (
 
 
 class Scanner:
-    """Both automata, and where each rule's matches lie."""
+    """The automata, and where each rule's matches lie."""
 
-    def __init__(self, rules: Sequence[Rule]) -> None:
+    def __init__(self, rules: Sequence[Rule], tables: Sequence[tuple] | None = None) -> None:
         self.rules = tuple(rules)
-        sieve = Automaton.compile([r.sieve for r in rules], anywhere=True, absorbing=True)
-        exact = Automaton.compile([r.pattern for r in rules], anywhere=False)
-        self.arrays = sieve, exact
-        self._linked: tuple[list, list] | None = None
-        self.tails = [Automaton.compile([r.tail], anywhere=False) if r.tail else None for r in rules]
-
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "_linked": None}
-
-    @property
-    def linked(self) -> tuple[list, list]:
-        if self._linked is None:
-            self._linked = self.arrays[0].linked()[0], self.arrays[1].linked()[0]
-        return self._linked
+        if tables is None:
+            sieve = Automaton.compile([r.sieve for r in rules], anywhere=True, absorbing=True)
+            begins = Automaton.compile([r.pattern for r in rules], anywhere=True, backward=True)
+            exact = Automaton.compile([r.pattern for r in rules], anywhere=False)
+            tails = [Automaton.compile([r.tail], anywhere=False) if r.tail else None for r in rules]
+        else:
+            sieve, begins, exact, *tails = [t and Automaton(*t) for t in tables]
+        self.automata = sieve, begins, exact
+        self.tails = tails
+        self.sieve, self.begins, self.exact = (a.linked()[0] for a in self.automata)
+
+    def plain(self) -> tuple[list[tuple], list[tuple | None]]:
+        """Rules and tables as tuples and arrays, which workers can read without this module."""
+        tables = [a and (a.table, a.accepts, a.hopes) for a in (*self.automata, *self.tails)]
+        return [astuple(r) for r in self.rules], tables
+
+    @classmethod
+    def from_plain(cls, told: tuple[list[tuple], list[tuple | None]]) -> Scanner:
+        rules, tables = told
+        return cls([Rule(*r) for r in rules], tables)
 
     def touched(self, text: bytes) -> bool:
         """One pass over all bytes, for all rules."""
-        state = self.linked[0]
+        state = self.sieve
         for byte in text:
             state = state[byte]
         return state[256] > 0
 
     def matches(self, text: bytes) -> list[tuple[int, int, int]]:
         """``(start, end, rule)`` in bytes: leftmost, non-overlapping per rule, longest from its start."""
-        origin, out = self.linked[1], []
-        masks = [1 << i for i in range(len(self.rules))]
-        free = [0] * len(masks)
-        size = len(text)
-        for start, byte in enumerate(text):
-            state = origin[byte]
-            if not state[257]:
-                continue
-            open_ = sum(m for m, at in zip(masks, free) if at <= start)
-            ends: dict[int, int] = {}
-            at = start + 1
-            while state[257] & open_:
-                if state[256] & open_:
-                    for i, m in enumerate(masks):
-                        if state[256] & open_ & m:
-                            ends[i] = at
-                if at == size:
-                    break
-                state = state[text[at]]
-                at += 1
-            for i, end in ends.items():
-                free[i] = end
-                if self._counts(i, text[start:end]):
-                    out.append((start, end, i))
+        marks, state = [], self.begins
+        for at in range(len(text) - 1, -1, -1):
+            state = state[text[at]]
+            if state[256]:
+                marks.append((at, state[256]))
+        out, free = [], [0] * len(self.rules)
+        for start, mask in reversed(marks):
+            for i, at in enumerate(free):
+                if at <= start and mask >> i & 1:
+                    free[i] = end = self._end(text, start, 1 << i)
+                    if self._counts(i, text[start:end]):
+                        out.append((start, end, i))
         return sorted(out, key=lambda m: (m[0], m[2]))
 
+    def _end(self, text: bytes, start: int, rule: int) -> int:
+        """Where the longest match of a rule from ``start`` ends."""
+        state, end = self.exact, start
+        for at in range(start, len(text)):
+            state = state[text[at]]
+            if state[256] & rule:
+                end = at + 1
+            if not state[257] & rule:
+                break
+        return end
+
     def _counts(self, rule: int, found: bytes) -> bool:
         if self.tails[rule] is None:
             return len(found) >= self.rules[rule].least
@@ -175,10 +183,10 @@ def find_secrets(
     each count; other columns are ignored; an empty table gives an empty one.
     Spans of different rules may overlap.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules).plain())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = shared.value
+        scanner = Scanner.from_plain(shared.value)
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
             raw = data.tobytes()

@@ -1,6 +1,9 @@
+import pickle
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from deskspark.llm import secrets as S
@@ -75,3 +78,39 @@ def test_query_masks_and_odd_rows(frame, odd, prose):
     report = {r["doc_id"]: r for r in S.secret_counts(S.find_secrets(frame(docs))).collect()}
     assert (report[1]["n_assign"], report[1]["n_hex"], report[3]["n_hex"]) == (1, 1, 1)
     assert S.find_secrets(frame([])).count() == 0
+
+
+def test_all_kinds_equal_a_regex_engine():
+    scanner, draw = S.Scanner(S.RULES), random.Random(11)
+    parts = ["eyJ", "eyJhbGci0", ".", ".eyJ", "ghp_", "gho_", "aB3" * 12, "xoxb-", "xox", "-", "1234567890", "-----BEGIN ", "RSA "]
+    parts += ["PRIVATE KEY-----", "AKIA", "0123456789ABCDEF", "token=", " ", "é", "deadbeef", "_", "\n"]
+    for _ in range(6000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 16)))
+        got = sorted(s for s in scanner.spans(text.encode()) if s[2] != "assign")
+        want = [
+            (m.start(), m.end(), r.kind)
+            for r in S.RULES
+            if r.kind != "assign"
+            for m in re.finditer(r.pattern, text)
+            if len(m[0]) >= r.least
+        ]
+        assert got == sorted(want), text
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "token", "api_key=token=", "xoxb-1", "-----BEGIN ", "ghp_", "AKIA"])
+def test_time_grows_with_the_length(unit):
+    """A mark is a match, so no run goes over the same bytes again; these would take hours otherwise."""
+    scanner = S.Scanner(S.RULES)
+    took = []
+    for n in (100_000, 400_000):
+        text = (unit * (n // len(unit)) + " token=abcdefghijklmnop").encode()
+        started = time.process_time()
+        assert len(scanner.spans(text)) >= 1
+        took.append(time.process_time() - started)
+    assert took[1] < 10 * max(took[0], 0.1)
+
+
+def test_tables_travel_as_plain_values():
+    scanner = S.Scanner.from_plain(pickle.loads(pickle.dumps(S.Scanner(S.RULES).plain())))
+    text = b"token=abcdefghijklmnop eyJhbGciOiJI.eyJzdWIiOiIx.TJVA95OrM7E2cBab30RMHr"
+    assert scanner.spans(text) == S.Scanner(S.RULES).spans(text) != []
