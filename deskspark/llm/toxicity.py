@@ -10,9 +10,11 @@ length, gives a probability.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -100,19 +102,22 @@ class Lexicon:
         if self.automaton is None:
             return []
         found = [(end + 1 - n, end + 1, w, spared) for end, (n, w, spared) in self.automaton.iter(told)]
-        spared = [(s, e) for s, e, _, x in found if x]
+        spared = sorted((s, e) for s, e, _, x in found if x)
         hits = [(s, e, w) for s, e, w, x in found if not x]
         if spared:
-            hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e in spared)]
+            # The furthest end of all phrases that begin no later than a hit decides.
+            starts, ends = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
+            places = ((h, bisect_right(starts, h[0])) for h in hits)
+            hits = [h for h, at in places if not at or ends[at - 1] < h[1]]
         return hits
 
-    def measures(self, told: str) -> tuple[float, float]:
+    def measures(self, told: str, hits: Sequence[tuple[int, int, float]] | None = None) -> tuple[float, float]:
         """Log of the weight found, and of the weight per hundred words."""
-        total = sum(w for _, _, w in self.hits(told))
+        total = sum(w for _, _, w in (self.hits(told) if hits is None else hits))
         return float(np.log1p(total)), float(np.log1p(100 * total / max(1, told.count(" ") - 1)))
 
-    def score(self, told: str) -> float:
-        x = self.slopes @ np.array([1.0, *self.measures(told)])
+    def score(self, told: str, hits: Sequence[tuple[int, int, float]] | None = None) -> float:
+        x = self.slopes @ np.array([1.0, *self.measures(told, hits)])
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
@@ -267,7 +272,8 @@ def learn_lexicon(
             columns = [[b[0] for b in both], [b[1] for b in both], batch.column(1)]
             yield batch_of(["plain", "dense", "label"], columns, [pa.float64(), pa.float64(), pa.int32()])
 
-    rows_ = map_batches(sample, measured, "plain double, dense double, label int").orderBy("plain", "dense", "label").collect()
+    # In an order that does not depend on the tasks, as sums of doubles do.
+    rows_ = sorted(map_batches(sample, measured, "plain double, dense double, label int").collect())
     values = np.array([[r["plain"], r["dense"]] for r in rows_])
     return Lexicon(lexicon.weights, lexicon.exceptions, fit_slopes(values, np.array([r["label"] for r in rows_], float)))
 
@@ -279,12 +285,19 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", te
     score of a text without hits. Repeated rows each count, other columns are
     ignored, an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    # Plain values: workers need not know this module to read them.
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slopes))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lexicon(*shared.value)
         for batch in batches:
-            told = [folded(t.as_py()) for t in batch.column(1)]
-            columns = [batch.column(0), [shared.value.score(t) for t in told], [len(shared.value.hits(t)) for t in told]]
+            scores, counts = [], []
+            for body in batch.column(1):
+                told = folded(body.as_py())
+                hits = known.hits(told)
+                scores.append(known.score(told, hits))
+                counts.append(len(hits))
+            columns = [batch.column(0), scores, counts]
             yield batch_of(["doc_id", "score", "matches"], columns, [batch.column(0).type, pa.float64(), pa.int64()])
 
     kind = docs.select(doc_id).schema[0].dataType.simpleString()

@@ -149,3 +149,30 @@ def test_quality_learning_and_odd_rows(spark, frame, odd, prose):
     assert min(of[i] for i in range(1, 120, 2)) > max(of[i] for i in range(0, 120, 2))
     none, net = Q.learn_quality(frame([]), labels)
     assert net is None and not none.any() and Q.score_quality(frame([(1, "a")]), none, net).first()["score"] == 0.5
+
+
+def test_hits_in_exceptions_equal_brute_force_and_stay_linear():
+    import random
+    import time
+
+    draw = random.Random(6)
+    weights = {" bad ": 1.0, " worse ": 2.0, " ba": 0.5}
+    lexicon = T.Lexicon(weights, ("bad day", "a bad day out", "worse luck", "day bad"))
+    spared = [T.folded(p) for p in lexicon.exceptions]
+    for _ in range(400):
+        told = T.folded(" ".join(draw.choice(["bad", "day", "a", "out", "worse", "luck", "bat"]) for _ in range(12)))
+        inside = [(i, i + len(p)) for p in spared for i in range(len(told)) if told.startswith(p, i)]
+        want = [
+            (i, i + len(e), w)
+            for e, w in weights.items()
+            for i in range(len(told))
+            if told.startswith(e, i) and not any(s <= i and i + len(e) <= t for s, t in inside)
+        ]
+        assert sorted(lexicon.hits(told)) == sorted(want)
+    took = []
+    for n in (20_000, 80_000):
+        told = T.folded("bad day worse " * n)
+        started = time.process_time()
+        assert len(lexicon.hits(told)) == n
+        took.append(time.process_time() - started)
+    assert took[1] < 10 * max(took[0], 0.1)
