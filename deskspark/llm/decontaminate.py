@@ -8,11 +8,12 @@ last block picks the windows to test, and bytes are compared to confirm.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from deskspark.llm.arrow_text import (
     text_bytes,
     with_rows,
 )
+from deskspark.llm.stored import stored
+from deskspark.session import run_folder
 
 WINDOW_WORDS = 10
 #: Bytes of windows in one search; more items make more searches of the same batch.
@@ -133,45 +136,68 @@ class Search:
 
 @dataclass
 class Windows:
-    """Distinct windows of some items, the items each belongs to, and their searches."""
+    """Distinct windows, the items each belongs to, and their searches."""
 
-    names: list[str]
-    owners: dict[bytes, list[int]]
+    owners: dict[bytes, list[str]]
     searches: list[Search]
 
     @classmethod
-    def build(cls, items: Sequence[tuple[str, bytes]], size: int) -> "Windows":
-        names: list[str] = []
-        owners: dict[bytes, list[int]] = {}
-        for name, text in items:
-            for window in dict.fromkeys(windows_of(words_of(text), size)):
-                owners.setdefault(window, []).append(len(names))
-            names.append(name)
+    def build(cls, owners: dict[bytes, list[str]]) -> "Windows":
         searches, below = [], 1 << 62
         for least, _, kind in BLOCKS:
             group = [w for w in owners if least <= len(w) < below]
             below = least
             if group:
                 searches.append(Search.build(group, kind))
-        return cls(names, owners, searches)
+        return cls(owners, searches)
 
 
-def _loads(items: DataFrame, item_id: str, text: str, size: int) -> Iterator[Windows]:
-    """Items in groups of ``SEARCH_BYTES``; only one group at a time is on the driver."""
-    group, held = [], 0
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"))
-    for row in rows.where("t is not null").toLocalIterator():
-        told = row["t"].encode()
-        group.append((row["i"] if row["i"] is not None else "null", told))
-        held += len(told) * size
-        if held >= SEARCH_BYTES:
-            yield Windows.build(group, size)
-            group, held = [], 0
-    if group:
-        yield Windows.build(group, size)
+def item_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
+    """``window, items``: every distinct window of the items, and the names of those that have it."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, told in zip(batch.column(0), batch.column(1)):
+                found = list(dict.fromkeys(windows_of(words_of(told.as_py().encode()), size)))
+                yield batch_of(["window", "item"], [found, [name.as_py()] * len(found)], [pa.binary(), pa.string()])
+
+    named = items.select(
+        F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(text).cast("string").alias("t")
+    )
+    each = map_batches(named.where("t IS NOT NULL"), task, "window binary, item string")
+    return each.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
-def _scan(texts: list[bytes], loads: Sequence[Windows]) -> tuple[list[int], list[list], list[list[str]]]:
+
+def _loads(items: DataFrame, item_id: str, text: str, size: int) -> tuple[list[tuple], str | None, int]:
+    """The windows if they fit one search, else the folder that holds them in so many loads.
+
+    A load is what falls to a hash of the window, about ``SEARCH_BYTES`` of
+    windows and names; neither the driver nor a task ever has two of them.
+    """
+    found = stored(item_windows(items, item_id, text, size), "windows")
+    names = F.aggregate("items", F.lit(0).cast("long"), lambda n, i: n + F.length(i) + 8)
+    held = found.agg(F.sum(F.length("window") + names)).first()[0] or 0
+    if held <= SEARCH_BYTES:
+        return [(bytes(r["window"]), r["items"]) for r in found.collect()], None, 1
+    loads = -(-held // SEARCH_BYTES)
+    folder = run_folder(items.sparkSession, "loads")
+    dealt = found.withColumn("load", F.pmod(F.xxhash64("window"), F.lit(loads)))
+    dealt.repartition("load").write.partitionBy("load").parquet(folder)
+    return [], folder, loads
+
+
+def _read_loads(folder: str, loads: int) -> Iterator[Windows]:
+    """One load after the other from the shared folder."""
+    files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+    for load in range(loads):
+        place = f"{root}/load={load}"
+        if files.get_file_info(place).type == fs.FileType.NotFound:
+            continue
+        table = dataset.dataset(place, filesystem=files, format="parquet").to_table(["window", "items"])
+        yield Windows.build(dict(zip(table.column("window").to_pylist(), table.column("items").to_pylist())))
+
+
+def _scan(texts: list[bytes], loads: Iterable[Windows]) -> tuple[list[int], list[list], list[list[str]]]:
     """Words, merged hit word ranges and occurring items of each text."""
     counts, parts, begins, at = [], [], [], 0
     for text in texts:
@@ -192,7 +218,7 @@ def _scan(texts: list[bytes], loads: Sequence[Windows]) -> tuple[list[int], list
                 pattern = search.patterns[w]
                 spans, names = hits.setdefault(doc, ([], set()))
                 spans.append((s, pattern.count(b" ") - 1))
-                names.update(load.names[i] for i in load.owners[pattern])
+                names.update(load.owners[pattern])
     ranges: list[list] = [[] for _ in texts]
     items: list[list[str]] = [[] for _ in texts]
     for doc, (spans, names) in hits.items():
@@ -231,24 +257,27 @@ def find_benchmark_text(
 
     With ``keep_rows`` a column ``row`` carries the document's own columns.
 
-    One map over the documents, no shuffle. Item windows go to the tasks as
-    broadcasts of at most about ``SEARCH_BYTES`` each, searched one after the
-    other; documents are read once. Null and empty texts have no words and no
+    One map over the documents, which are read once. Item windows are made and
+    told apart in Spark. Up to about ``SEARCH_BYTES`` of them are broadcast; more
+    lie in the shared folder in loads of that size, and each batch of documents
+    is searched for one load after the other, so memory does not grow with the
+    items while time does. The shared folder must then be of a kind Arrow can
+    open. Null and empty texts have no words and no
     hits; a null item has no window, a null item id is called ``null``; equal
     items and repeated rows each count; other columns are ignored; empty
     tables give no rows or no hits.
     """
-    context = docs.sparkSession.sparkContext
-    loads = [context.broadcast(load) for load in _loads(items, item_id, item_text, window_words)]
+    few, folder, loads = _loads(items, item_id, item_text, window_words)
+    shared = docs.sparkSession.sparkContext.broadcast(few)
     names = ["doc_id", "n_words", "hits", "items"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = [load.value for load in loads]
+        known = [Windows.build(dict(shared.value))] if folder is None else None
         for batch in batches:
             data, starts = text_bytes(batch.column(1))
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            counts, ranges, found = _scan(texts, searches)
+            counts, ranges, found = _scan(texts, known or _read_loads(folder, loads))
             kinds = [batch.column(0).type, pa.int64(), _RANGES, pa.list_(pa.string())]
             yield with_rows(batch, batch_of(names, [batch.column(0), counts, ranges, found], kinds))
 

@@ -69,6 +69,18 @@ def test_empty_tables(spark, frame, docs, items):
     assert [r[:4] for r in run(spark, frame, docs, items)] == [(1, 2, 0, 0)] * len(docs)
 
 
+def test_loads_are_of_bounded_size(spark, prose, monkeypatch):
+    monkeypatch.setattr(D, "SEARCH_BYTES", 3000)
+    items = spark.createDataFrame([(i, prose(i % 30, 40)) for i in range(60)], "item_id long, text string")
+    few, folder, loads = D._loads(items, "item_id", "text", 10)
+    read = list(D._read_loads(folder, loads))
+    assert few == [] and loads > 5
+    assert max(sum(len(w) for w in load.owners) for load in read) < 3 * 3000
+    whole = {w: names for load in read for w, names in load.owners.items()}
+    assert len(whole) == sum(len(load.owners) for load in read) == D.item_windows(items, "item_id", "text", 10).count()
+    assert all(len(names) == 2 for names in whole.values())
+
+
 def test_many_searches_give_the_same(spark, frame, prose, monkeypatch):
     monkeypatch.setattr(D, "SEARCH_BYTES", 400)
     items = [(i, prose(i, 15)) for i in range(20)]
