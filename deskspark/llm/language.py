@@ -7,7 +7,6 @@ of how far each is out of place there.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,12 +29,21 @@ LAST_POINT = 0x34000
 _SHIFT = np.uint64(21)
 
 
-@functools.cache
+_known_letters: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
     """For each code point its symbol: 0 if it is no letter, else two more than the code point.
 
-    No letters lie beyond the last point of the table, which stands for them.
+    No letters lie beyond the last point of the table, which stands for them. The
+    table is made once per process; it does not travel with the code.
     """
+    if not _known_letters:
+        _known_letters.append(_letter_table())
+    return _known_letters[0]
+
+
+def _letter_table() -> np.ndarray:
     symbols = np.zeros(LAST_POINT + 1, np.uint32)
     points = np.array([c for c in range(LAST_POINT) if chr(c).isalpha()])
     symbols[points] = points + 2
@@ -170,11 +178,13 @@ def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text:
     Repeated rows each count, other columns are ignored, an empty table gives an
     empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    # Plain values: workers need not know this module to read them.
+    shared = docs.sparkSession.sparkContext.broadcast((profiles.languages, profiles.codes, profiles.ranks, profiles.grams))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Profiles(*shared.value)
         for batch in batches:
-            found = [shared.value.predict(told.as_py()) for told in batch.column(1)]
+            found = [known.predict(told.as_py()) for told in batch.column(1)]
             columns = [batch.column(0), [f[0] for f in found], [f[1] for f in found]]
             yield batch_of(
                 ["doc_id", "lang_pred", "score"], columns, [batch.column(0).type, pa.string(), pa.float64()]

@@ -280,10 +280,12 @@ def score_quality(
     a network every score is 0.5. Repeated rows each count, other columns are
     ignored, an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
+    # Plain values: workers need not know this module to read them.
+    told = network and (network.centre, network.scale, network.layers, network.temperature)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, told))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net = shared.value
+        table, net = shared.value[0], shared.value[1] and Network(*shared.value[1])
         for batch in batches:
             x = pooled(*text_bytes(batch.column(1)), table)
             scores = np.full(len(x), 0.5) if net is None else net.predict(x)

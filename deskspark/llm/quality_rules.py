@@ -114,8 +114,9 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, doc_id: str, text: str)
     (bounded) ``trusted_ids`` also into the trusted one. N-grams are summed
     before the only shuffle, which holds at most ``BUCKETS`` rows per task.
     """
-    trusted = F.broadcast(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted_id")).distinct())
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    # Compared as text, so that ids of another kind than the labels' are no error.
+    trusted = F.broadcast(trusted_ids.select(F.col(trusted_ids.columns[0]).cast("string").alias("_trusted_id")).distinct())
+    rows = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text"))
     marked = rows.join(trusted, F.col("_id") == F.col("_trusted_id"), "left")
     grams = marked.select(
         F.col("_trusted_id").isNotNull().alias("trusted"), F.explode(_let(_hashes(words_of(F.col("_text"))), _buckets)).alias("bucket")

@@ -36,7 +36,9 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fold(parts: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+    """The remainder of an id's hash; a null id counts as an empty text, whose remainder is 0."""
+    told = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.pmod(F.crc32(told.cast("binary")), F.lit(parts))
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,5 +18,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
     )
     few = told.dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     mine = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    found = mine.join(F.broadcast(few), F.col("_id") == F.col("doc_id"))
+    # Compared as text, so that ids of another kind than the labels' are no error.
+    found = mine.join(F.broadcast(few), F.col("_id").cast("string") == F.col("doc_id").cast("string"))
     return stored(found.select("doc_id", "text", "label"), "labelled-sample")
