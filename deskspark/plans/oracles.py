@@ -577,6 +577,11 @@ _sql(
     "cost_student_per_1k",
     f"SELECT event_type AS model, count(*) AS n, round({_SERVE.format('value')}, 9) AS cost_per_1k_usd FROM events GROUP BY 1",
 )
+_sql(
+    "price_sheet_cost",
+    f"""SELECT event_type AS model, count(*) AS n, round(2 * ({_SERVE.format('value')}), 8) AS cost_per_1k_usd, '2026-06' AS pricing_date
+FROM events GROUP BY 1""",
+)
 _sql(
     "cost_breakdown",
     """SELECT '2026-05' AS pricing_date, round(t, 6) AS teacher_cost_per_1k_usd, round(s, 6) AS student_cost_per_1k_usd,

@@ -14,11 +14,13 @@ from deskspark.operators import calibration, cost, evaluation, labeling, metrics
 from deskspark.operators import label_job as jobs
 from deskspark.operators import redaction, sampling, scoring, taxonomy, thresholds
 from deskspark.operators.prefix import exact_percentiles
+from deskspark.operators.cost import SERVING_RATES, TEACHER_RATES
 from deskspark.operators.sizes import computed_now
 from deskspark.plans import tables as P
 from deskspark.schemas import AUDIT, REJECTED
 from deskspark.session import run_folder
 from deskspark.sources import audit, embeddings, golden, labels, latency, results
+from deskspark.sources.prices import read_prices
 from deskspark.streaming.scoring import read_output, start_scoring, start_scoring_and_rejecting, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -690,6 +692,19 @@ def cost_student_per_1k(spark, folder):
     return _round(cost.student_cost_per_1k(_events(spark, folder), BY), "cost_per_1k_usd", digits=9)
 
 
+@query
+def price_sheet_cost(spark, folder):
+    """Serving costs at the rates of a stored price sheet, twice those of the default one."""
+    path = run_folder(spark, "prices")
+    doubled = {n: 2 * rate for n, rate in SERVING_RATES.items()}
+    rates = {**TEACHER_RATES, **doubled}
+    sheet = spark.range(1).select(F.lit("2026-06").alias("pricing_date"), *[F.lit(r).alias(n) for n, r in rates.items()])
+    sheet.write.json(path)
+    prices = read_prices(spark, path)
+    found = cost.student_cost_per_1k(_events(spark, folder), BY, rates=prices.serving)
+    return _round(found.withColumn("pricing_date", F.lit(prices.pricing_date)), "cost_per_1k_usd", digits=8)
+
+
 def _model_costs(spark, folder) -> DataFrame:
     teacher = cost.teacher_cost_per_1k(P.teacher_labels(spark, folder))
     others = cost.student_cost_per_1k(P.scored(spark, folder).select("model", "latency_ms"), BY)
