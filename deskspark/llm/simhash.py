@@ -2,18 +2,20 @@
 
 A tree of vantage points, fitted on a bounded sample, deals all distinct
 fingerprints to shards by their Hamming distance to the points. Fingerprints
-close to a boundary go to both sides, so any two that link share a shard. Each
-shard grows its own tree the same way and compares only inside its leaves.
+close to a boundary go to both sides, so any two that link share a shard. Shards
+that stay large, as a dense cluster does, are dealt further by equal blocks of
+bits. Each shard grows its own tree and compares only inside its leaves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskspark.llm.arrow_text import batch_of, map_batches, text_bytes
@@ -23,8 +25,9 @@ from deskspark.llm.stored import stored
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
-#: Fingerprints from which the tree of shards is fitted; all fingerprints are dealt.
+#: Fingerprints from which the tree of shards is fitted, at least and at most; all fingerprints are dealt.
 SAMPLE_ROWS = 16_384
+MOST_SAMPLE_ROWS = 1 << 20
 SHARD_ROWS = 20_000
 LEAF_ROWS = 1_024
 SHINGLES_AT_ONCE = 65_536
@@ -175,30 +178,66 @@ def shard_links(prints: np.ndarray, bits: int = MAX_BITS) -> tuple[np.ndarray, n
     return (np.concatenate(heads), np.concatenate(tails)) if heads else (empty, empty)
 
 
+def cover_keys(blocks: int, bits: int) -> list[Column]:
+    """Keys such that any two fingerprints of a shard within ``bits`` bits have one in common.
+
+    The 64 bits are cut into ``blocks``; at most ``bits`` of them can differ, so
+    some choice of the others is equal in both. Different keys that hash alike
+    share a group, which costs time only.
+    """
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [
+        F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in zip(edges, edges[1:])
+    ]
+    chosen = combinations(range(blocks), blocks - bits)
+    return [F.xxhash64("shard", F.lit(k), *[parts[i] for i in which]) for k, which in enumerate(chosen)]
+
+
+def split_large(dealt: DataFrame, bits: int) -> DataFrame:
+    """``shard, fp`` with shards of over twice ``SHARD_ROWS`` dealt further, as no tree can split a dense cluster.
+
+    First by single blocks of ``bits + 1``, then, where many prints agree even
+    there, by choices of three blocks of ``bits + 3``. Every two that link still
+    share a shard.
+    """
+    for blocks in (bits + 1, bits + 3):
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
+        large = stored(sizes.where(F.col("n") > 2 * SHARD_ROWS).select("shard"), "large-shards")
+        if large.isEmpty():
+            break
+        further = dealt.join(large, "shard", "left_semi").select(
+            F.explode(F.array(*cover_keys(blocks, bits))).alias("shard"), "fp"
+        )
+        dealt = stored(dealt.join(large, "shard", "left_anti").unionByName(further), "dealt")
+    return dealt
+
+
 def print_links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``a, b``: links between distinct fingerprints, enough to connect each component.
 
     ``distinct`` is read three times (count, sample, all) and should be stored.
+    The sample grows with the shards, up to ``MOST_SAMPLE_ROWS``.
     """
     spark = distinct.sparkSession
     rows = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS)
+    wanted = min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, 8 * rows // SHARD_ROWS))
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted)
     held = np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64)
-    tree, shards = grow_shards(held, rows / SHARD_ROWS, bits)
+    tree, _ = grow_shards(held, rows / SHARD_ROWS, bits)
     shared = spark.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             shard, copies = route(shared.value, prints, bits)
-            yield batch_of(["shard", "fp"], [shard, copies.view(np.int64)], [pa.int32(), pa.int64()])
+            yield batch_of(["shard", "fp"], [shard.astype(np.int64), copies.view(np.int64)], [pa.int64(), pa.int64()])
 
     def link(table: pa.Table) -> pa.Table:
         prints = table.column("fp").to_numpy().view(np.uint64)
         a, b = shard_links(prints, bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = map_batches(distinct.select("fp"), deal, "shard int, fp long")
+    dealt = split_large(stored(map_batches(distinct.select("fp"), deal, "shard long, fp long"), "dealt"), bits)
     return dealt.groupBy("shard").applyInArrow(link, "a long, b long").distinct()
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from deskspark.llm import simhash as H
 from deskspark.llm.components import component_labels
@@ -87,6 +88,42 @@ def test_tree_loses_no_link():
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_a_dense_cluster_is_dealt_further_without_losing_a_link(spark, monkeypatch):
+    """Distinct prints 2 to 9 bits around one point: no vantage point splits them, equal blocks do."""
+    rng = np.random.default_rng(5)
+    middle, prints = np.uint64(rng.integers(0, 2**63)), set()
+    while len(prints) < 900:
+        p = middle
+        for b in rng.choice(64, rng.integers(2, 10), replace=False):
+            p ^= np.uint64(1) << np.uint64(b)
+        prints.add(int(p))
+    signed = np.array(sorted(prints), np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3)
+    one = table.select(F.lit(0).cast("long").alias("shard"), "fp")
+    for blocks in (4, 6):
+        near = [(a, b) for a in list(prints)[:300] for b in list(prints)[:300] if a < b and (a ^ b).bit_count() <= 3]
+        keyed = {r.fp % (1 << 64): set(r.k) for r in one.select("fp", F.array(*H.cover_keys(blocks, 3)).alias("k")).collect()}
+        assert near and all(keyed[a] & keyed[b] for a, b in near)
+        assert len(next(iter(keyed.values()))) == {4: 4, 6: 20}[blocks]
+    monkeypatch.setattr(H, "SHARD_ROWS", 60)
+    largest = [H.split_large(one, 3).groupBy("shard").count().agg(F.max("count")).first()[0]]
+    assert largest[0] < 900 / 3
+    monkeypatch.setattr(H, "SAMPLE_ROWS", 200)
+    links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in H.print_links(table).collect()]
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    want = brute_components(prints)
+    assert len({find(p) for p in prints}) == len(set(want.values()))
+    assert len({(find(p), want[p]) for p in prints}) == len(set(want.values()))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in component_labels(links, "a", "b").collect()}
