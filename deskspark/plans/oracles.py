@@ -508,6 +508,8 @@ FROM flat JOIN labeled USING (row_id) WHERE teacher_intent_id <> -1 GROUP BY mod
     _TEACHER,
 )
 
+ORACLES["agreement_bucketed"] = ORACLES["agreement"]
+
 # --- thresholds --------------------------------------------------------------
 
 _WALK = """walk AS (SELECT *, avg((label = pred)::INT) OVER (PARTITION BY model, {0} pred ORDER BY conf DESC, row_id

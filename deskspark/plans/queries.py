@@ -20,6 +20,7 @@ from deskspark.plans import tables as P
 from deskspark.schemas import AUDIT, REJECTED
 from deskspark.session import run_folder
 from deskspark.sources import audit, embeddings, golden, labels, latency, results
+from deskspark.sources.bucketed import write_bucketed
 from deskspark.sources.prices import read_prices
 from deskspark.streaming.scoring import read_output, start_scoring, start_scoring_and_rejecting, stream_files
 
@@ -559,6 +560,16 @@ def agreement(spark, folder):
     )
 
 
+@query
+def agreement_bucketed(spark, folder):
+    """Agreement over scores and labels that are stored by hash of ``row_id``: no row moves for the join."""
+    path, tables = run_folder(spark, "by-row"), []
+    for name, rows in (("scores", _flat(spark, folder)), ("labels", P.teacher_labels(spark, folder))):
+        table = f"{name}_{path.rsplit('-', 1)[-1]}"
+        tables.append(write_bucketed(rows, table, f"{path}/{name}", ["row_id"], 8))
+    return _round(metrics.agreement(*tables, BY), "vs_teacher", "vs_truth")
+
+
 @query
 def fit_temperature(spark, folder):
     found = calibration.fit_temperatures(P.scored(spark, folder), ["model", "split"])
