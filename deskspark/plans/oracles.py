@@ -804,3 +804,8 @@ FROM asked WHERE coalesce(length(text), 0) NOT BETWEEN 1 AND 2000""",
 _recursive(
     "audit_log", "SELECT *, (SELECT count(*) FROM audited) AS n_dated FROM audited", *_SCORING
 )
+_sql(
+    "own_redactor_and_writer",
+    """SELECT conv_id || '-' || turn AS request_id, regexp_replace(text, '[0-9]', '#', 'g') AS input_text_redacted
+FROM conversations WHERE length(text) BETWEEN 1 AND 2000""",
+)

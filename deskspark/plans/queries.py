@@ -947,3 +947,25 @@ def stream_outputs(spark, folder):
         "request_id", F.lit(None).cast("string").alias("predicted_intent"), "reason"
     )
     return scored.unionByName(rejected)
+
+
+@query
+def own_redactor_and_writer(spark, folder):
+    """A stream with another redactor, which hides digits alone, and another audit writer, one folder per batch."""
+    path = run_folder(spark, "own-audit")
+    schema = P.read(spark, folder, "conversations").schema
+    messages = _requests(stream_files(spark, folder, schema, "conversations.parquet"))
+
+    def hide_digits(df: DataFrame, salt: bytes) -> DataFrame:
+        hidden = F.regexp_replace("text", "[0-9]", "#")
+        return df.withColumns({"redacted_text": hidden, "spans": F.lit(None)})
+
+    def predict(df: DataFrame) -> DataFrame:
+        classes = P.language_classes(spark)
+        return scoring.predict_messages(df, classes, P.SALT, "lang-1", P.language_logits, redact=hide_digits)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    start_scoring(messages, predict, "", run_folder(spark, "stream-state"), once=True, write=write).awaitTermination()
+    return spark.read.parquet(path).select("request_id", "input_text_redacted")
