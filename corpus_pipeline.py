@@ -12,6 +12,11 @@ from deskspark.llm.stored import stored
 ORACLE_SQL: str | None = None
 
 
+#: Bits in which fingerprints of near copies may differ. Of text pairs with 0.8 of their five-word
+#: shingles in common, 3 bits find few; among pairs within 6, nearly all share half of them or more.
+NEAR_BITS = 6
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +58,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     by_id = F.coalesce(F.expr("try_cast(doc_id AS long)"), hashed).alias("id")
     # With the text's hash in it, a group's smallest key names no other group's document.
     keyed = docs.select(F.struct(by_id, F.xxhash64("text").alias("text")).alias("key"), F.col("text").alias("text"), _row(docs))
-    groups = stored(simhash.near_duplicates(keyed, doc_id="key"), "near-groups")
+    groups = stored(simhash.near_duplicates(keyed, doc_id="key", bits=NEAR_BITS), "near-groups")
     later = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("later")).distinct(), "later")
     counts = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     several = stored(counts.select(F.col("doc_id").alias("several")), "repeated-ids")
