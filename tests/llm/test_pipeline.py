@@ -23,7 +23,7 @@ def test_run_equals_the_operators_by_hand(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = {r["doc_id"] for r in quality_rules.judge(docs, labels).where("kept").collect()}
     left = docs.where(docs.doc_id.isin(list(good)))
-    groups = simhash.near_duplicates(left).collect()
+    groups = simhash.near_duplicates(left, bits=P.NEAR_BITS).collect()
     alone = {r["doc_id"] for r in groups if r["doc_id"] == r["component_id"]}
     left = left.where(docs.doc_id.isin(list(alone)))
     hits = decontaminate.find_benchmark_text(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
@@ -120,7 +120,7 @@ def first_of_each_group(docs):
 
     for a in range(len(docs)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
+            if (prints[a] ^ prints[b]).bit_count() <= P.NEAR_BITS:
                 root[max(top(a), top(b))] = min(top(a), top(b))
     return [d for k, d in enumerate(docs) if top(k) == k]
 
