@@ -12,9 +12,9 @@ from deskspark.llm.stored import stored
 ORACLE_SQL: str | None = None
 
 
-#: Bits in which fingerprints of near copies may differ. Of text pairs with 0.8 of their five-word
-#: shingles in common, 3 bits find few; among pairs within 6, nearly all share half of them or more.
-NEAR_BITS = 6
+#: Bits in which fingerprints of near copies may differ. More bits find more near copies, but deal
+#: several times as many copies of each fingerprint; README has figures for 6.
+NEAR_BITS = 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
