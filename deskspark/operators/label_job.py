@@ -199,7 +199,7 @@ def run_label_job(
         left = steps.where(F.col("step") == step).drop("step")
         while spent <= max_cost_usd:
             rest = max_cost_usd - spent
-            tasks = concurrency if call_usd == 0 else max(1, min(concurrency, int(rest / call_usd) + 1))
+            tasks = concurrency if call_usd == 0 else max(1, int(min(concurrency, rest / call_usd + 1)))
             dealt = left.repartitionByRange(tasks, "row_id").sortWithinPartitions("row_id")
             told = label_messages(dealt, load_labeler, rest / tasks, rates, policy)
             stored = append_responses(told, checkpoint, run, turn)

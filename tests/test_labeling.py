@@ -280,6 +280,13 @@ def test_cap_is_overshot_by_one_call_per_task(spark, paid_labeler, concurrency):
     assert 20 < got.answers.count() <= 20 + 1 + concurrency
 
 
+def test_job_without_a_cap_goes_on_after_its_first_step(spark, paid_labeler):
+    path = run_folder(spark, "job")
+    got = jobs.run_label_job(messages(spark, 10), path, paid_labeler, float("inf"), concurrency=2, step_rows=4)
+    assert sorted(r["row_id"] for r in got.answers.collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+    assert got.n_failed == 1 and got.spent_usd == pytest.approx(4.95) and not got.over_budget
+
+
 def test_failing_labeler_is_seen(spark):
     def always():
         def label(text):
