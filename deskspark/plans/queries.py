@@ -21,8 +21,9 @@ from deskspark.schemas import AUDIT, REJECTED
 from deskspark.session import run_folder
 from deskspark.sources import audit, embeddings, golden, labels, latency, results
 from deskspark.sources.bucketed import write_bucketed
+from deskspark.sources.files import path_exists
 from deskspark.sources.prices import read_prices
-from deskspark.streaming.scoring import read_output, start_scoring, start_scoring_and_rejecting, stream_files
+from deskspark.streaming.scoring import read_output, start_scoring, start_scoring_and_rejecting, stream_files, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -874,6 +875,10 @@ def _requests(df: DataFrame) -> DataFrame:
     )
 
 
+def _stream(spark, folder, table: str) -> DataFrame:
+    return stream_table(spark, f"{folder}/{table}.parquet", P.read(spark, folder, table).schema)
+
+
 def _stable(audit_table: DataFrame) -> DataFrame:
     """Audit rows without the columns that change from run to run."""
     return audit_table.select(
@@ -953,8 +958,7 @@ def stream_outputs(spark, folder):
 def own_redactor_and_writer(spark, folder):
     """A stream with another redactor, which hides digits alone, and another audit writer, one folder per batch."""
     path = run_folder(spark, "own-audit")
-    schema = P.read(spark, folder, "conversations").schema
-    messages = _requests(stream_files(spark, folder, schema, "conversations.parquet"))
+    messages = _requests(_stream(spark, folder, "conversations"))
 
     def hide_digits(df: DataFrame, salt: bytes) -> DataFrame:
         hidden = F.regexp_replace("text", "[0-9]", "#")
@@ -968,4 +972,6 @@ def own_redactor_and_writer(spark, folder):
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     start_scoring(messages, predict, "", run_folder(spark, "stream-state"), once=True, write=write).awaitTermination()
-    return spark.read.parquet(path).select("request_id", "input_text_redacted")
+    # A table without files makes no batch.
+    stored = spark.read.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], AUDIT)
+    return stored.select("request_id", "input_text_redacted")

@@ -41,6 +41,14 @@ def stream_files(
     return rows.withColumn(POSITION, source_position()) if positions else rows
 
 
+def stream_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One Parquet table as a stream: a folder of files, or a single file among others."""
+    files, place = located(spark, path)
+    if files.getFileStatus(place).isDirectory():
+        return stream_files(spark, path, schema, "*")
+    return stream_files(spark, place.getParent().toString(), schema, place.getName())
+
+
 def start_scoring(
     messages: DataFrame,
     predict: Callable[[DataFrame], DataFrame],

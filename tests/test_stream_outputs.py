@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from deskspark.operators import scoring
 from deskspark.plans import tables as P
+from deskspark.plans.queries import QUERIES
 from deskspark.schemas import AUDIT, REJECTED
 from deskspark.session import run_folder
+from deskspark.sources.files import located
 from deskspark.streaming import scoring as streaming
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+SMALL = "/root/testdata/sf0.001"
 SCHEMA = "request_id string, text string"
 ROWS = [("r1", " the and of "), ("", " le la de "), (None, " der die und "), ("r4", ""), (None, None), (None, "x" * 2001)]
 
@@ -103,3 +106,20 @@ def test_ids_do_not_change_when_a_task_runs_again(spark):
     # Without a position the id is random.
     loose = spark.read.schema(SCHEMA).parquet(source).select("text", scoring.request_id(F.col("request_id")).alias("id"))
     assert not {r.id for r in loose.collect()} & set(first.values())
+
+
+@pytest.mark.parametrize("name", ["own_redactor_and_writer"])
+def test_streamed_tables_may_be_folders(spark, name):
+    found = []
+    for folder in (SMALL, run_folder(spark, "sf")):
+        if folder != SMALL:
+            P.read(spark, SMALL, "conversations").repartition(3).write.parquet(f"{folder}/conversations.parquet")
+        found.append(sorted(QUERIES[name](spark, folder).collect(), key=str))
+    assert found[0] and found[0] == found[1]
+
+
+def test_a_table_without_files_gives_no_audit_rows(spark):
+    folder = run_folder(spark, "sf")
+    files, place = located(spark, f"{folder}/conversations.parquet")
+    files.mkdirs(place)
+    assert QUERIES["own_redactor_and_writer"](spark, folder).collect() == []
