@@ -938,8 +938,7 @@ def stream_scoring(spark, folder):
 def stream_outputs(spark, folder):
     """Scored and rejected messages of one stream; some texts are emptied or lengthened, so that both occur."""
     path, state = run_folder(spark, "outputs"), run_folder(spark, "stream-state")
-    schema = P.read(spark, folder, "conversations").schema
-    rows = stream_files(spark, folder, schema, "conversations.parquet")
+    rows = _stream(spark, folder, "conversations")
     turn, text = F.col("turn"), F.col("text")
     odd = F.when(turn % 5 == 0, "").when(turn % 7 == 0, F.repeat(text, F.lit(99))).otherwise(text)
     messages = _requests(rows.withColumn("text", odd))
