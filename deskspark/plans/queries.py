@@ -23,7 +23,7 @@ from deskspark.sources import audit, embeddings, golden, labels, latency, result
 from deskspark.sources.bucketed import write_bucketed
 from deskspark.sources.files import path_exists
 from deskspark.sources.prices import read_prices
-from deskspark.streaming.scoring import read_output, start_scoring, start_scoring_and_rejecting, stream_files, stream_table
+from deskspark.streaming.scoring import read_output, start_scoring, start_scoring_and_rejecting, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -926,8 +926,7 @@ def audit_log(spark, folder):
 @query
 def stream_scoring(spark, folder):
     path = run_folder(spark, "stream")
-    schema = P.read(spark, folder, "conversations").schema
-    messages = _requests(stream_files(spark, folder, schema, "conversations.parquet"))
+    messages = _requests(_stream(spark, folder, "conversations"))
     predict = _predict(spark, P.language_logits, "lang-1")
     job = start_scoring(messages, predict, path, run_folder(spark, "stream-state"), once=True)
     job.awaitTermination()

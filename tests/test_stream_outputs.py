@@ -108,7 +108,7 @@ def test_ids_do_not_change_when_a_task_runs_again(spark):
     assert not {r.id for r in loose.collect()} & set(first.values())
 
 
-@pytest.mark.parametrize("name", ["own_redactor_and_writer", "stream_outputs"])
+@pytest.mark.parametrize("name", ["own_redactor_and_writer", "stream_outputs", "stream_scoring"])
 def test_streamed_tables_may_be_folders(spark, name):
     found = []
     for folder in (SMALL, run_folder(spark, "sf")):
