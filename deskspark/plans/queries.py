@@ -822,8 +822,7 @@ def dataset_quality(spark, folder):
 @query
 def embed_cache_misses(spark, folder):
     docs = P.documents(spark, folder).withColumn("split", P.hashed_split("doc_id"))
-    key = embeddings.cache_key(ENCODER, F.col("text"))
-    cache = docs.where("split = 'train'").select(key.alias("cache_key")).distinct()
+    cache = embeddings.keyed_texts(docs.where("split = 'train'"), ENCODER).select("cache_key").distinct()
     missing = embeddings.cache_misses(docs, cache, ENCODER)
     return missing.select("cache_key", F.length("text").alias("n_chars"))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskspark.functions.scores import computed_once
 from deskspark.operators.sizes import computed_now
 from deskspark.schemas import EMBEDDINGS
 from deskspark.sources import commits
@@ -16,6 +17,8 @@ from deskspark.sources import commits
 TextEncoder = Callable[[Sequence[str]], np.ndarray]
 #: Texts handed to the encoder at once.
 ENCODE_ROWS = 64
+#: Words of 64 bits that sieve rows by their key, a power of two.
+SIEVE_WORDS = 1 << 19
 
 
 def cache_key(encoder: str, text: Column) -> Column:
@@ -23,18 +26,37 @@ def cache_key(encoder: str, text: Column) -> Column:
     return F.sha2(F.concat(F.lit(encoder), F.lit("\0"), text), 256)
 
 
+def keyed_texts(messages: DataFrame, encoder: str) -> DataFrame:
+    """``text, cache_key`` of all rows with a text; each text is hashed once, whatever a join asks of its key."""
+    key = computed_once(cache_key=cache_key(encoder, F.col("text")))
+    return messages.where("text IS NOT NULL").select("text", key)
+
+
+def _sieved(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose ``cache_key`` may be among ``keys``: every one that is, and hardly another unless keys are very many.
+
+    A bit per key's hash is broadcast, in ``SIEVE_WORDS`` rows at most.
+    """
+    spot = F.xxhash64("cache_key")
+    word = spot.bitwiseAND(F.lit(SIEVE_WORDS - 1).cast("long"))
+    bit = F.shiftrightunsigned(spot, 58).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    sieve = keys.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits"))
+    held = (word == F.col("_word")) & (F.bit_get("_bits", bit) == 1)
+    return keyed.join(F.broadcast(sieve), held, "left_semi")
+
+
 def cache_misses(messages: DataFrame, cache: DataFrame, encoder: str) -> DataFrame:
     """Distinct texts that still have to be encoded.
 
-    Keys are looked up first, without their texts, and copies of a text collapse
-    before they move. Only texts that are missing are read after that. A null
-    text has no key and is never missing.
+    Keys are looked up first, without their texts. Only texts that are missing
+    move after that, and copies of a text collapse before they do. A null text
+    has no key and is never missing.
     """
-    keyed = messages.select(cache_key(encoder, F.col("text")).alias("cache_key"), "text")
-    keys = keyed.select("cache_key").where("cache_key IS NOT NULL").distinct()
-    missing = computed_now(keys.join(cache.select("cache_key"), "cache_key", "left_anti"))
-    wanted = keyed.join(missing, "cache_key", "left_semi")
-    return wanted.groupBy("cache_key").agg(F.any_value("text").alias("text"))
+    keyed = keyed_texts(messages, encoder)
+    missing = computed_now(keyed.select("cache_key").distinct().join(cache.select("cache_key"), "cache_key", "left_anti"))
+    wanted = _sieved(keyed, missing).groupBy("cache_key").agg(F.any_value("text").alias("text"))
+    return wanted.join(missing, "cache_key", "left_semi")
 
 
 def with_embeddings(messages: DataFrame, cache: DataFrame, encoder: str) -> DataFrame:

@@ -116,3 +116,31 @@ def test_small_batches(spark):
     )
     rows = embeddings.encode_texts(texts, load, rows=7).collect()
     assert len(rows) == 50 and {r.embedding[0] for r in rows} == {1.0, 2.0}
+
+
+def test_only_missing_texts_move_and_copies_collapse_before(spark, capsys):
+    texts = [f"text {i % 2000}" for i in range(6000)]
+    asked, old = messages(spark, [*texts, None]), messages(spark, texts[:1950])
+    cache = old.select(embeddings.cache_key("enc", F.col("text")).alias("cache_key"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = embeddings.cache_misses(asked, cache, "enc")
+        found.explain()
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r.text for r in rows) == sorted(texts[1950:2000]) and len({r.cache_key for r in rows}) == 50
+    lines = capsys.readouterr().out.splitlines()
+    hashed = [i for i, line in enumerate(lines) if "sha2(" in line]
+    assert len(hashed) == 1, "a text's key is made once"
+    exchange = max(i for i, line in enumerate(lines[: hashed[0]]) if "Exchange hashpartitioning(cache_key" in line)
+    assert "partial_first(text" in lines[exchange + 1]
+
+
+def test_sieve_lets_all_keys_through_and_few_others(spark):
+    keyed = spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("cache_key"))
+    assert embeddings._sieved(keyed, keyed).count() == 200_000
+    some = keyed.where("id % 100 = 0")
+    passed = embeddings._sieved(keyed, some)
+    assert passed.where("id % 100 = 0").count() == 2_000 and passed.count() < 2_100
