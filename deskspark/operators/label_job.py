@@ -193,10 +193,10 @@ def run_label_job(
     asked = messages if "prompt" in messages.columns else messages.withColumn("prompt", F.col("text"))
     pending = resume_pending(asked, read_responses(spark, checkpoint))
     steps = _stepped(pending.select("row_id", "text", "gold_label_id", "prompt"), step_rows)
-    last = steps.agg(F.max("step")).first()[0]
+    sizes = {r["step"]: r["count"] for r in steps.groupBy("step").count().collect()}
     spent, n_failed, call_usd, turn = 0.0, 0, 0.0, 0
-    for step in range(0 if last is None else last + 1):
-        left = steps.where(F.col("step") == step).drop("step")
+    for step in sorted(sizes):
+        left, waiting = steps.where(F.col("step") == step).drop("step"), sizes[step]
         while spent <= max_cost_usd:
             rest = max_cost_usd - spent
             tasks = concurrency if call_usd == 0 else max(1, int(min(concurrency, rest / call_usd + 1)))
@@ -210,6 +210,9 @@ def run_label_job(
             spent, n_failed = spent + row["paid"], n_failed + row["bad"]
             if row["n"] > row["bad"]:
                 call_usd = row["paid"] / (row["n"] - row["bad"])
+            waiting -= row["n"]
+            if waiting == 0:
+                break
             left = computed_now(left.join(stored.select("row_id"), "row_id", "left_anti"))
             if left.isEmpty():
                 break

@@ -287,6 +287,13 @@ def test_job_without_a_cap_goes_on_after_its_first_step(spark, paid_labeler):
     assert got.n_failed == 1 and got.spent_usd == pytest.approx(4.95) and not got.over_budget
 
 
+def test_steps_that_are_answered_at_once_are_not_looked_through_again(spark, paid_labeler, monkeypatch):
+    looked = []
+    monkeypatch.setattr(jobs, "computed_now", lambda df: looked.append(df) or df.localCheckpoint())
+    got = jobs.run_label_job(messages(spark, 10), run_folder(spark, "job"), paid_labeler, 99.0, 2, step_rows=4)
+    assert got.answers.count() == 9 and got.n_failed == 1 and looked == []
+
+
 def test_failing_labeler_is_seen(spark):
     def always():
         def label(text):
